@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from hexloom.llm.common import written
 
 BLOCK_BYTES = 16 << 20
-EPSILON = 3.0
+EPSILON = 2.5
 SCHEMA = "query_id long, ids array<long>, scores array<double>"
 
 
@@ -135,17 +135,24 @@ def _merge(vid, x, ids, q, centre, turn, k, best_id, best) -> None:
     codes = Codes(x, centre, turn)
     for a in range(0, len(ids), 256):
         est, err = estimates(codes, q[a : a + 256], centre, turn)
-        own = ids[a : a + 256, None] == vid[None, :]
-        lower = np.where(own, -np.inf, est - err)
-        least = best[a : a + 256, -1].astype(np.float32)
-        if len(vid) > k:
-            least = np.maximum(least, np.partition(lower, len(vid) - k, axis=1)[:, len(vid) - k])
-        rows, cols = np.nonzero((est + err >= (least - np.abs(least) * np.float32(1e-5))[:, None]) & ~own)
+        rows, cols = np.nonzero(ids[a : a + 256, None] == vid[None, :])
+        est[rows, cols] = -np.inf
+        if len(vid) > 2 * k:  # exact scores of the best estimates first: they set the bar for all others
+            top = np.argpartition(est, len(vid) - k, axis=1)[:, len(vid) - k :]
+            rows = np.repeat(np.arange(len(est)), k)
+            _score(a, rows, top.ravel(), vid, x, q, best_id, best, k)
+            err[rows, top.ravel()] = -np.inf
+        est += err
+        bar = best[a : a + 256, -1].astype(np.float32)
+        rows, cols = np.nonzero((est >= (bar - np.abs(bar) * np.float32(1e-5))[:, None]) & (est > -np.inf))
         for lo in range(0, len(rows), 1 << 16):
-            r, c = rows[lo : lo + (1 << 16)], cols[lo : lo + (1 << 16)]
-            exact = (q[a + r] * x[c]).sum(axis=1)
-            good = exact >= best[a + r, -1]
-            _insert(a + r[good], vid[c[good]], exact[good], best_id, best, k)
+            _score(a, rows[lo : lo + (1 << 16)], cols[lo : lo + (1 << 16)], vid, x, q, best_id, best, k)
+
+
+def _score(a, rows, cols, vid, x, q, best_id, best, k) -> None:
+    exact = (q[a + rows] * x[cols]).sum(axis=1)
+    good = (exact >= best[a + rows, -1])
+    _insert(a + rows[good], vid[cols[good]], exact[good], best_id, best, k)
 
 
 def _insert(row, vid, score, best_id, best, k) -> None:
