@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from hexloom.llm import chat_format, vector_search
+from hexloom.llm import chat_format, decontaminate, language_id, sentencepiece_codec, vector_search
 
 
 def queries() -> dict:
     return {
+        "op1_sentencepiece": sentencepiece_codec.query,
         "op2_chat_format": chat_format.query,
+        "op3_language_id": language_id.query,
+        "op4_decontaminate": decontaminate.query,
         "op7_vector_search": vector_search.query,
     }
 
