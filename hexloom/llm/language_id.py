@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import Words, bytes_of, gathered, mix, pieces, remainder, span_hash
+from hexloom.llm.common import Words, bytes_of, gathered, mix, pieces, remainder, span_hash, written
 
 MAX_DOCS, MAX_WORDS, MAX_GRAMS, LONGEST = 12_000, 1 << 18, 1 << 18, 5
 #: After lower-casing, words are runs of a-z and of bytes beyond ASCII.
@@ -120,14 +120,20 @@ def train(df: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, m
             grams, of = _grams(w, w.start[first], w.end[first], n)
             yield n, grams, lang[first][of]
 
+    if not langs:
+        return Model([], *[np.zeros(0, np.uint64), np.zeros((0, 0))] * 2)
     counts = rows.select("text", "lang").mapInArrow(run, "kind long, key long, lang long, n long")
-    counts = counts.groupBy((F.col("kind") > 0).alias("gram"), "key").agg(*[F.sum(F.when(F.col("lang") == j, F.col("n")).otherwise(0)).alias(f"n{j}") for j in range(len(langs))], F.sum("n").alias("n"), F.max("kind").alias("kind")) if langs else None
+    counts = counts.groupBy("kind", "key").agg(*[F.sum(F.when(F.col("lang") == j, F.col("n")).otherwise(0)).alias(f"n{j}") for j in range(len(langs))], F.sum("n").alias("n"))
+    counts = written(counts.filter("n > 1"), "counts")
     tables = []
-    for gram, most in ((False, max_words), (True, max_grams)):
-        if counts is None:
-            tables += [np.zeros(0, np.uint64), np.zeros((0, 0))]
-            continue
-        got = counts.filter((F.col("gram") == gram) & (F.col("n") > 1)).orderBy(F.desc("n"), "key").limit(most).toArrow()
+    for these, most in ((F.col("kind") == 0, max_words), (F.col("kind") > 0, max_grams)):
+        least, total = 2, 0
+        for r in counts.filter(these).groupBy("n").agg(F.count("*").alias("entries")).orderBy(F.desc("n")).toLocalIterator():
+            total += r["entries"]
+            if total > most:
+                least = r["n"] + 1
+                break
+        got = counts.filter(these & (F.col("n") >= least)).toArrow()
         key = got.column("key").to_numpy().view(np.uint64)
         n = np.stack([got.column(f"n{j}").to_numpy().astype(float) for j in range(len(langs))], axis=1) if len(key) else np.zeros((0, len(langs)))
         kind = got.column("kind").to_numpy()
@@ -140,12 +146,12 @@ def train(df: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, m
     return Model(langs, *tables)
 
 
-def predict(df: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``df`` with ``lang_pred`` and ``lang_score`` for each whole ``text``."""
+def predict(df: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``df``, or all, with ``lang_pred`` and ``lang_score`` for each whole ``text``."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     own = ("lang_pred", "lang_score")
-    schema = StructType([*[f for f in df.schema.fields if f.name not in own], StructField(own[0], StringType()), StructField(own[1], DoubleType())])
+    schema = StructType([*[f for f in df.schema.fields if f.name not in own and (keep is None or f.name in keep)], StructField(own[0], StringType()), StructField(own[1], DoubleType())])
     names = [f.name for f in schema.fields[:-2]]
     sent = df.sparkSession.sparkContext.broadcast(model)
 
@@ -164,7 +170,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs.filter(remainder("doc_id", 4) != 2))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder("doc_id", 4) == 2).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return predict(rows, model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+    return predict(rows, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
 #: A stage rejects texts without a language, and those whose best language has a posterior below this.
