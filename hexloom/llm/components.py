@@ -1,0 +1,31 @@
+"""Connected components of an edge table by distributed label propagation with pointer jumping."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from hexloom.llm.common import dropped, written
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, component) for every id in ``edges``; the component is the smallest id that can be reached.
+
+    Every round hooks each vertex to the smallest label among its neighbours' and follows that label once more; labels
+    are written to the shared folder each round, which cuts lineage. Nothing is collected but one count a round.
+    """
+    e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
+    e = written(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    label = written(e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")), "labels")
+    while True:
+        near = e.join(label.select(F.col("u").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("low"))
+        hook = label.join(near, "u").select("u", F.least("label", "low").alias("next"), "label")
+        far = label.select(F.col("u").alias("next"), F.col("label").alias("beyond"))
+        new = written(hook.join(far, "next", "left").select("u", F.least("next", F.coalesce("beyond", "next")).alias("label"), (F.least("next", F.coalesce("beyond", "next")) < F.col("label")).alias("moved")), "labels")
+        done = new.filter("moved").isEmpty()
+        dropped(label)
+        label = new.select("u", "label")
+        label._hexloom_path = new._hexloom_path
+        if done:
+            dropped(e)
+            return label.select(F.col("u").alias("id"), F.col("label").alias("component"))
