@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hexloom.llm import chat_format, decontaminate, jaccard_join, language_id, sentencepiece_codec, vector_search
+from hexloom.llm import chat_format, decontaminate, jaccard_join, language_id, line_dedup, sentencepiece_codec, vector_search
 
 
 def queries() -> dict:
@@ -11,10 +11,11 @@ def queries() -> dict:
         "op2_chat_format": chat_format.query,
         "op3_language_id": language_id.query,
         "op4_decontaminate": decontaminate.query,
+        "op5_line_dedup": line_dedup.query,
         "op7_vector_search": vector_search.query,
         "op8_jaccard_join": jaccard_join.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat_format.SQL, "op8_jaccard_join": jaccard_join.SQL}
+    return {"op2_chat_format": chat_format.SQL, "op5_line_dedup": line_dedup.SQL, "op8_jaccard_join": jaccard_join.SQL}
