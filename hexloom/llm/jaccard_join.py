@@ -20,8 +20,9 @@ compared across components, in blocks of bounded size, by their dense sketches,
 Copies are never expanded into pairs.
 
 Defined cases: a null or empty text has no shingles and links with nothing; a text with fewer words than a shingle is
-one shingle; rows with a null id take part but name no component; rows that share an id are one document for links;
-copies, ties and repeated rows fall into one component, named by the smallest id; an empty table gives no rows.
+one shingle; rows with a null id take part but name no component; rows that share an id and differ in text are
+documents of their own; copies, ties and repeated rows fall into one component, named by the smallest id; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,6 +44,7 @@ while BANDS[-1] < 1 << 40:
     BANDS.append(max(BANDS[-1] + 1, int(BANDS[-1] * 1.7)))
 BANDS = np.array(BANDS, np.int64)
 SHORT, BLOCK, FLUSH_KEYS, BUCKET_BYTES, SENT_ROWS = 8, 2048, 1_500_000, 4 << 20, 500_000
+PAIR, STAR, MEMBER = range(3)
 SIG = "doc_id long, node long, n long, band int, own binary, guest binary"
 SALT = U(0x5851F42D4C957F2D)
 
@@ -197,7 +199,7 @@ def _blobs(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
 
 
 def _runs(table: pa.Table) -> pa.Table:
-    """Candidate pairs of one bucket (key null), and the members of its long runs (b null)."""
+    """Of one bucket: pairs of short runs, pairs of long runs' members with their smallest, and long runs' members."""
     cols = [np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("low", np.uint32), ("high", np.uint16), ("nodes", U))]
     key, node = cols[0].astype(U) | cols[1].astype(U) << U(32), cols[2]
     order = np.lexsort((node, key))
@@ -217,16 +219,17 @@ def _runs(table: pa.Table) -> pa.Table:
     long = length > SHORT
     at = gathered(begin[long], length[long])
     first = np.repeat(begin[long], length[long])
-    a.append(node[first][first != at])
-    b.append(node[at][first != at])
-    pair = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+    distinct = lambda x, y: np.unique(np.stack([np.concatenate(x), np.concatenate(y)], axis=1), axis=0) if x else np.zeros((0, 2), U)
+    pair = distinct(a, b)
+    star = distinct([node[first][first != at]], [node[at][first != at]])
     bucket = np.int64(table.column("bucket")[0].as_py())
     names = mix(key[at] + U(bucket) * SALT).view(np.int64)
     return pa.table(
         {
-            "run": pa.concat_arrays([pa.nulls(len(pair), pa.int64()), pa.array(names)]),
-            "a": pa.array(np.concatenate([pair[:, 0], node[at]]).view(np.int64)),
-            "b": pa.concat_arrays([pa.array(np.ascontiguousarray(pair[:, 1]).view(np.int64)), pa.nulls(len(at), pa.int64())]),
+            "kind": pa.array(np.repeat([PAIR, STAR, MEMBER], [len(pair), len(star), len(at)]).astype(np.int32)),
+            "run": pa.concat_arrays([pa.nulls(len(pair) + len(star), pa.int64()), pa.array(names)]),
+            "a": pa.array(np.concatenate([pair[:, 0], star[:, 0], node[at]]).view(np.int64)),
+            "b": pa.concat_arrays([pa.array(np.concatenate([pair[:, 1], star[:, 1]]).view(np.int64)), pa.nulls(len(at), pa.int64())]),
         }
     )
 
@@ -325,22 +328,35 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> DataFrame:
     reps = written(some, "reps")
     one = sig.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("band").alias("band"), F.first("own").alias("own"), F.first("guest").alias("guest"))
     buckets = max(1, min(1 << 20, -(-_size(docs) // BUCKET_BYTES)))
-    found = written(_blobs(docs, size, percent, buckets).groupBy("bucket").applyInArrow(_runs, "run long, a long, b long"), "runs")
-    pairs = written(_close(found.filter("run IS NULL").select("a", "b").distinct(), one, percent), "pairs")
-    edges = written(_verified(pairs, docs, reps, size, percent), "edges")
-    members = found.filter("run IS NOT NULL").select("run", F.col("a").alias("node"))
+    found = written(_blobs(docs, size, percent, buckets).groupBy("bucket").applyInArrow(_runs, "kind int, run long, a long, b long"), "runs")
+    short = found.filter(F.col("kind") == PAIR).select("a", "b")
+    # of the smallest nodes of its long runs, a node is first paired with the one it shares most keys with
+    star = found.filter(F.col("kind") == STAR).groupBy("a", "b").count().groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
+    pairs = written(_close(short.unionByName(star).distinct(), one, percent), "pairs")
+    label = components(_verified(pairs, docs, reps, size, percent))
+    members = found.filter(F.col("kind") == MEMBER).select("run", F.col("a").alias("node"))
     if not members.isEmpty():
-        label = components(edges)
         more = _across(members, one, label, percent)
         tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = written(more.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
-            edges = edges.unionByName(_verified(more, docs, reps, size, percent))
-    left, right = (reps.select(F.col("node").alias(s), F.col("rep").alias("rep_" + s)) for s in "ab")
-    by_id = edges.join(left, "a").join(right, "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).filter("a IS NOT NULL AND b IS NOT NULL")
-    label = components(by_id)
-    out = sig.select("doc_id", "node", "n").join(reps, "node", "left").join(label, F.col("rep") == F.col("id"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+            label = _merged(label, _verified(more, docs, reps, size, percent))
+    label = label.select(F.col("id").alias("node"), "component")
+    least = label.join(reps, "node").groupBy("component").agg(F.min("rep").alias("least"))
+    label = label.join(least, "component").select("node", "least")
+    out = sig.select("doc_id", "node", "n").join(reps, "node", "left").join(label, "node", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "rep", "doc_id").alias("component_id"))
+
+
+def _merged(label: DataFrame, edges: DataFrame) -> DataFrame:
+    """Components after some more edges, which are contracted to the components known so far."""
+    left, right = (label.select(F.col("id").alias(s), F.col("component").alias("c" + s)) for s in "ab")
+    between = edges.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    between = written(between, "between")
+    over = components(between).select(F.col("id").alias("component"), F.col("component").alias("final"))
+    ends = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id")))
+    lone = ends.join(label, "id", "left_anti").distinct().select("id", F.col("id").alias("component"))
+    return label.unionByName(lone).join(over, "component", "left").select("id", F.coalesce("final", "component").alias("component"))
 
 
 def _size(df: DataFrame) -> int:
