@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hexloom.llm import chat_format, decontaminate, jaccard_join, language_id, line_dedup, sentencepiece_codec, toxicity, vector_search
+from hexloom.llm import chat_format, decontaminate, jaccard_join, language_id, line_dedup, lm_scoring, sentencepiece_codec, toxicity, vector_search
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op7_vector_search": vector_search.query,
         "op8_jaccard_join": jaccard_join.query,
         "op9_toxicity": toxicity.query,
+        "op10_lm_scoring": lm_scoring.query,
     }
 
 
