@@ -1,10 +1,34 @@
-"""The corpus pipeline: stages that each take and return documents."""
+"""The corpus pipeline: raw documents to token ids in five stages.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; ``run`` writes it as Parquet to the cluster's
+shared folder and rereads it as the next stage's documents, so every stage works on all that its predecessor kept, and
+a lost executor costs no more than the stage it worked on.
+
+SQL can't express language identification, greedy tiling or the tokenizer, so there is no SQL twin; the stages are
+tested against brute-force versions.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
+from hexloom.llm import decontaminate, jaccard_join, language_id, line_dedup, sentencepiece_codec
+from hexloom.llm.common import written
+
+STAGES = [
+    ("language_id", language_id.stage),
+    ("line_dedup", line_dedup.stage),
+    ("jaccard_join", jaccard_join.stage),
+    ("decontaminate", decontaminate.stage),
+    ("sentencepiece", sentencepiece_codec.stage),
+]
+
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from hexloom.llm import chat_format, decontaminate, jaccard_join, language_id, line_dedup, lm_scoring, sentencepiece_codec, toxicity, vector_search
+from hexloom.llm import chat_format, decontaminate, jaccard_join, language_id, line_dedup, lm_scoring, quality, sentencepiece_codec, toxicity, vector_search
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_language_id": language_id.query,
         "op4_decontaminate": decontaminate.query,
         "op5_line_dedup": line_dedup.query,
+        "op6_quality": quality.query,
         "op7_vector_search": vector_search.query,
         "op8_jaccard_join": jaccard_join.query,
         "op9_toxicity": toxicity.query,
