@@ -16,8 +16,8 @@ Scale. Equal sets are one node, named by a 64-bit hash of the set, so copies of
 Keys travel as packed blobs by bucket of the key; the number of buckets follows the input. In a bucket, the members of
 a short run of equal keys are paired; those of a long run are only paired with the run's smallest node. What that
 leaves open is closed after these pairs were verified: long runs whose members are not all in one component are
-compared across components, in blocks of bounded size, by their dense sketches, and what passes is verified too.
-Copies are never expanded into pairs.
+compared across components, in blocks of bounded size, by their dense sketches, and what passes is verified too, the
+nearest pairs first, until no pair is left that could join two components. Copies are never expanded into pairs.
 
 Defined cases: a null or empty text has no shingles and links with nothing; a text with fewer words than a shingle is
 one shingle; rows with a null id take part but name no component; rows that share an id and differ in text are
@@ -136,7 +136,7 @@ def keys_of(h: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np
 
 
 def bits_of(band: int) -> int:
-    return 1 << max(6, int(2 * BANDS[band] - 1).bit_length())
+    return 1 << max(6, int(4 * BANDS[band] - 1).bit_length())
 
 
 def sketch(tokens: np.ndarray, band: int) -> bytes:
@@ -288,8 +288,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, per
     return both.mapInArrow(check, "a long, b long")
 
 
-def _across(members: DataFrame, sig: DataFrame, label: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components within long runs that keep to the Hamming bound, compared block by block."""
+def _across(members: DataFrame, sig: DataFrame, label: DataFrame, percent: int, top: int) -> DataFrame:
+    """Pairs across components within long runs that keep to the Hamming bound, compared block by block.
+
+    Every such pair has an end outside the block's largest component; each node outside gives its ``top`` nearest
+    partners, and ``more`` tells whether it has others.
+    """
     m = members.join(label, F.col("node") == F.col("id"), "left").select("run", "node", F.coalesce("component", "node").alias("component"))
     mixed = m.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high")
     m = m.join(mixed.select("run", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "run")
@@ -306,18 +310,21 @@ def _across(members: DataFrame, sig: DataFrame, label: DataFrame, percent: int)
         x = np.frombuffer(b"".join(own[k] if band[k] == low else guest[k] for k in rows), np.uint64).reshape(len(rows), -1)
         node, comp, block, n = node[rows], comp[rows], block[rows], n[rows]
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        right = np.flatnonzero(block == j)
-        for k in np.flatnonzero(block == i):
-            other = right[(comp[right] != comp[k]) & ((node[right] > node[k]) if i == j else True)]
+        names, sizes = np.unique(comp, return_counts=True)
+        a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        for k in np.flatnonzero(comp != names[sizes.argmax()]):
+            other = np.flatnonzero((comp != comp[k]) & (block == (j if block[k] == i else i)))
             other = other[100 * np.minimum(n[other], n[k]) >= percent * np.maximum(n[other], n[k])]
             apart = np.bitwise_count(x[other] ^ x[k]).sum(axis=1)
-            other = other[apart <= (n[other] + n[k]) * (100 - percent) // (100 + percent)]
-            a.append(np.minimum(node[other], node[k]))
-            b.append(np.maximum(node[other], node[k]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+            near = apart <= (n[other] + n[k]) * (100 - percent) // (100 + percent)
+            other, apart = other[near], apart[near]
+            best = other[np.lexsort((node[other], apart))[:top]]
+            a.append(np.minimum(node[best], node[k]))
+            b.append(np.maximum(node[best], node[k]))
+            more.append(np.full(len(best), len(other) > top))
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "more": np.concatenate(more)})
 
-    return m.groupBy("run", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return m.groupBy("run", "i", "j").applyInArrow(compare, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
 
 
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> DataFrame:
@@ -335,12 +342,16 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> DataFrame:
     pairs = written(_close(short.unionByName(star).distinct(), one, percent), "pairs")
     label = components(_verified(pairs, docs, reps, size, percent))
     members = found.filter(F.col("kind") == MEMBER).select("run", F.col("a").alias("node"))
-    if not members.isEmpty():
-        more = _across(members, one, label, percent)
-        tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = written(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not more.isEmpty():
-            label = _merged(label, _verified(more, docs, reps, size, percent))
+    tried, top = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), 1
+    while not members.isEmpty():
+        near = written(_across(members, one, label, percent, top), "near")
+        new = written(near.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not new.isEmpty():
+            label = written(_merged(label, written(_verified(new, docs, reps, size, percent), "links")), "label")
+            tried = tried.unionByName(new)
+        elif near.filter("more").isEmpty():
+            break  # every pair in a long run is in one component, was verified, or can't link
+        top *= 4
     label = label.select(F.col("id").alias("node"), "component")
     least = label.join(reps, "node").groupBy("component").agg(F.min("rep").alias("least"))
     label = label.join(least, "component").select("node", "least")
