@@ -6,6 +6,7 @@ sums of a polynomial hash modulo 2**64, so that any span of bytes is hashed with
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,6 +21,24 @@ CHUNK_BYTES = 1 << 20
 _own_dir: list[str] = []
 
 
+def _lean() -> None:
+    """Make a Python worker give freed arrays back to the system at once, instead of keeping them for later.
+
+    Workers stay alive between tasks and share their executor's memory; where the C library has no such knob, nothing
+    changes.
+    """
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 18)  # from this size on, blocks are mapped, and unmapped when freed
+        libc.mallopt(-1, 1 << 18)  # trim the heap's top from this size on
+    except (OSError, AttributeError):
+        pass
+
+
+_lean()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)

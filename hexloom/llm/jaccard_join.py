@@ -43,7 +43,7 @@ BANDS = [5]
 while BANDS[-1] < 1 << 40:
     BANDS.append(max(BANDS[-1] + 1, int(BANDS[-1] * 1.7)))
 BANDS = np.array(BANDS, np.int64)
-SHORT, BLOCK, FLUSH_KEYS, BUCKET_BYTES, SENT_ROWS = 8, 2048, 1_500_000, 4 << 20, 500_000
+SHORT, BLOCK, FLUSH_KEYS, BUCKET_BYTES, SENT_ROWS = 8, 2048, 1_000_000, 4 << 20, 500_000
 PAIR, STAR, MEMBER = range(3)
 SIG = "doc_id long, node long, n long, band int, own binary, guest binary"
 SALT = U(0x5851F42D4C957F2D)
@@ -275,8 +275,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, per
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, U), np.frombuffer(y, U)
+            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
                 at = np.minimum(np.searchsorted(q, p), len(q) - 1)
                 both = int((q[at] == p).sum())
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
