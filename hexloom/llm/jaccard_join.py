@@ -43,7 +43,7 @@ BANDS = [5]
 while BANDS[-1] < 1 << 40:
     BANDS.append(max(BANDS[-1] + 1, int(BANDS[-1] * 1.7)))
 BANDS = np.array(BANDS, np.int64)
-SHORT, BLOCK, FLUSH_KEYS, BUCKET_BYTES, SENT_ROWS = 8, 2048, 1_000_000, 4 << 20, 500_000
+SHORT, BLOCK, FLUSH_KEYS, BUCKET_BYTES, SENT_ROWS = 8, 8192, 1_000_000, 4 << 20, 500_000
 PAIR, STAR, MEMBER = range(3)
 SIG = "doc_id long, node long, n long, band int, own binary, guest binary"
 SALT = U(0x5851F42D4C957F2D)
@@ -239,6 +239,17 @@ def _allowed(na: int, nb: int, percent: int) -> int:
     return -1 if 100 * min(na, nb) < percent * max(na, nb) else (na + nb) * (100 - percent) // (100 + percent)
 
 
+def _only(sig: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One signature of each of the nodes. A short list of nodes goes to the signatures, so that these aren't shuffled."""
+    need = written(nodes.distinct(), "nodes")
+    few = need.count() <= SENT_ROWS  # 8 bytes each
+    return sig.join(F.broadcast(need) if few else need, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+
+
 def _close(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
     """The pairs whose dense sketches keep to the Hamming bound."""
 
@@ -253,14 +264,14 @@ def _close(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
                 keep.append(most >= 0 and near)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    sig = written(_only(sig, _ends(pairs)), "ends")
     side = lambda s: sig.select(F.col("node").alias(s), F.col("n").alias(s + "n"), F.col("band").alias(s + "b"), F.col("own").alias(s + "o"), F.col("guest").alias(s + "g"))
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs of nodes whose sets reach the threshold."""
-    need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    need = written(need.join(reps, "node").select("node", F.col("rep").alias("doc_id")), "need")
+    need = written(_ends(pairs).distinct().join(reps, "node").select("node", F.col("rep").alias("doc_id")), "need")
     few = need.count() <= SENT_ROWS  # 16 bytes each; beyond that the documents are shuffled
     found = docs.select("doc_id", "text").join(F.broadcast(need) if few else need, "doc_id")
 
@@ -296,7 +307,8 @@ def _across(members: DataFrame, sig: DataFrame, label: DataFrame, percent: int,
     """
     m = members.join(label, F.col("node") == F.col("id"), "left").select("run", "node", F.coalesce("component", "node").alias("component"))
     mixed = m.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high")
-    m = m.join(mixed.select("run", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "run")
+    m = written(m.join(mixed.select("run", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "run"), "mixed")
+    sig = _only(sig, m.select("node"))
     m = m.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.select("run", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -333,18 +345,17 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> DataFrame:
     sig = written(_signatures(docs, size, percent), "signatures")
     some = sig.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
     reps = written(some, "reps")
-    one = sig.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("band").alias("band"), F.first("own").alias("own"), F.first("guest").alias("guest"))
     buckets = max(1, min(1 << 20, -(-_size(docs) // BUCKET_BYTES)))
     found = written(_blobs(docs, size, percent, buckets).groupBy("bucket").applyInArrow(_runs, "kind int, run long, a long, b long"), "runs")
     short = found.filter(F.col("kind") == PAIR).select("a", "b")
     # of the smallest nodes of its long runs, a node is first paired with the one it shares most keys with
     star = found.filter(F.col("kind") == STAR).groupBy("a", "b").count().groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
-    pairs = written(_close(short.unionByName(star).distinct(), one, percent), "pairs")
+    pairs = written(_close(written(short.unionByName(star).distinct(), "found"), sig, percent), "pairs")
     label = components(_verified(pairs, docs, reps, size, percent))
     members = found.filter(F.col("kind") == MEMBER).select("run", F.col("a").alias("node"))
     tried, top = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), 1
     while not members.isEmpty():
-        near = written(_across(members, one, label, percent, top), "near")
+        near = written(_across(members, sig, label, percent, top), "near")
         new = written(near.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
         if not new.isEmpty():
             label = written(_merged(label, written(_verified(new, docs, reps, size, percent), "links")), "label")
