@@ -396,13 +396,13 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: of each component the document with the smallest id stays, and of rows that share this id
     one; rows with a null id stay."""
     found = written(join(docs), "components")
-    keep = found.filter("component_id = doc_id OR doc_id IS NULL").groupBy("doc_id").count()
-    kept = docs.join(keep.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    twice = keep.filter("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_twice"))
+    keep = found.filter("component_id = doc_id OR doc_id IS NULL").groupBy(F.col("doc_id").alias("kept")).count()
+    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept"]), "left_semi")
+    twice = written(keep.filter("count > 1 AND kept IS NOT NULL").select(F.col("kept").alias("twice")), "twice")
     if twice.isEmpty():
         return kept
-    one = kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(twice, F.col("doc_id") == F.col("_twice"), "left_anti").unionByName(one)
+    same = kept["doc_id"] == twice["twice"]
+    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 SQL = r"""

@@ -256,15 +256,15 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     return kept.groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("lines")).withColumnRenamed("doc", "doc_id")
 
 
-def _rewritten(batch: pa.RecordBatch) -> Iterator[tuple[int, str | None, int, int]]:
+def _rewritten(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, str | None, int, int]]:
     """(lines, kept text, kept lines, lines with words that were kept) of each document."""
-    raw, offsets = bytes_of(batch.column("text"))
+    raw, offsets = bytes_of(batch.column(column))
     at, text, number = lines_of(raw, offsets)
     w = Words(raw, at)
     empty = np.diff(w.offsets) == 0
     whole = raw.tobytes()
     first = np.searchsorted(text, np.arange(batch.num_rows + 1))
-    for k, (t, lines) in enumerate(zip(batch.column("text").is_null().to_pylist(), batch.column("lines").to_pylist(), strict=True)):
+    for k, (t, lines) in enumerate(zip(batch.column(column).is_null().to_pylist(), batch.column("lines").to_pylist(), strict=True)):
         if t:
             yield 0, None, 0, 0
             continue
@@ -276,11 +276,10 @@ def _rewritten(batch: pa.RecordBatch) -> Iterator[tuple[int, str | None, int, in
 
 
 def _with_lines(df: DataFrame) -> DataFrame:
-    """All columns of ``df`` and ``lines``; the id column keeps its nulls."""
+    """The columns of ``df`` by position (c0, c1, ...), whatever their names, and ``lines``."""
     kept = written(kept_lines(df), "kept")
-    names = [c for c in df.columns if c not in ("lines", "_id")]
-    joined = _picked(df.select(*names, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id")).withColumnRenamed("doc_id", "_own").withColumnRenamed("_id", "doc_id"), kept, "left")
-    return joined.drop("doc_id").withColumnRenamed("_own", "doc_id").select(*names, "lines")
+    own = [df[c].alias(f"c{k}") for k, c in enumerate(df.columns)]
+    return _picked(df.select(*own, F.coalesce(df["doc_id"].cast("long"), F.lit(LAST)).alias("doc_id")), kept, "left").drop("doc_id")
 
 
 def dedup(df: DataFrame) -> DataFrame:
@@ -290,16 +289,17 @@ def dedup(df: DataFrame) -> DataFrame:
     """
     joined = _with_lines(df)
     schema, names = df.schema, df.columns
+    text = f"c{names.index('text')}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
-                got = list(_rewritten(part))
-                had = np.array([bool(t and t.strip(" \t\n\r\f\v")) for t in part.column("text").to_pylist()])
+            for part in pieces(batch, text):
+                got = list(_rewritten(part, text))
+                had = np.array([bool(t and t.strip(" \t\n\r\f\v")) for t in part.column(text).to_pylist()])
                 stay = np.array([g[3] > 0 for g in got]) | ~had
                 new = pa.array([g[1] for g in got], pa.string())
                 chars = pa.array([None if g[1] is None else len(g[1]) for g in got], pa.int64())
-                cols = [new if n == "text" else chars.cast(part.column(n).type) if n == "n_chars" else part.column(n) for n in names]
+                cols = [new if n == "text" else chars.cast(part.column(f"c{k}").type) if n == "n_chars" else part.column(f"c{k}") for k, n in enumerate(names)]
                 yield pa.RecordBatch.from_arrays(cols, names=names).filter(pa.array(stay))
 
     return joined.mapInArrow(run, schema)
@@ -311,13 +311,13 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch, "text"):
-                lines, text, kept, _ = zip(*_rewritten(part), strict=True)
+            for part in pieces(batch, "c1"):
+                lines, text, kept, _ = zip(*_rewritten(part, "c1"), strict=True)
                 digest = [None if t is None else hashlib.md5(t.encode()).hexdigest() for t in text]
                 chars = [None if t is None else len(t) for t in text]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lines), pa.array(kept), pa.array(chars, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_lines", "n_kept", "kept_chars", "kept_md5"])
+                yield pa.RecordBatch.from_arrays([part.column("c0"), pa.array(lines), pa.array(kept), pa.array(chars, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_lines", "n_kept", "kept_chars", "kept_md5"])
 
-    return joined.select("doc_id", "text", "lines").mapInArrow(run, "doc_id long, n_lines long, n_kept long, kept_chars long, kept_md5 string")
+    return joined.mapInArrow(run, "doc_id long, n_lines long, n_kept long, kept_chars long, kept_md5 string")
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

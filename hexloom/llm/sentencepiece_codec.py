@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -149,7 +150,8 @@ class Codec:
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a string column and offsets of each text's ids."""
-        raw, offsets = bytes_of(column)
+        # a marker that stands in a text means a space, as everywhere in this format
+        raw, offsets = bytes_of(pc.replace_substring(column, MARK, " ") if self.segments else column)
         if not self.segments:
             ids, n = self._ids(["" if t is None else t for t in column.to_pylist()])
             return ids, np.concatenate([[0], np.cumsum(n)])
