@@ -10,6 +10,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -49,13 +50,33 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage."""
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete the tables that ``written`` makes inside, but for those made with ``keep``, when the block ends."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for df in _scratch.pop():
+            dropped(df)
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage.
+
+    ``keep``: the table outlives the innermost ``scratch`` block (but not one around that).
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._hexloom_path = path
+    level = len(_scratch) - 1 - keep
+    if level >= 0:
+        _scratch[level].append(back)
     return back
 
 

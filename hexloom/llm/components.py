@@ -27,5 +27,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         label = new.select("u", "label")
         label._hexloom_path = new._hexloom_path
         if done:
-            dropped(e)
             return label.select(F.col("u").alias("id"), F.col("label").alias("component"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import Words, bytes_of, gathered, mix, pieces, written
+from hexloom.llm.common import Words, bytes_of, gathered, mix, pieces, scratch, written
 from hexloom.llm.components import components
 
 U = np.uint64
@@ -341,6 +341,11 @@ def _across(members: DataFrame, sig: DataFrame, label: DataFrame, percent: int,
 
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> DataFrame:
     """Per document: ``n_shingles`` and ``component_id``, the smallest id that links reach."""
+    with scratch():
+        return _join(docs, size, percent)
+
+
+def _join(docs: DataFrame, size: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sig = written(_signatures(docs, size, percent), "signatures")
     some = sig.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
@@ -367,7 +372,7 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> DataFrame:
     least = label.join(reps, "node").groupBy("component").agg(F.min("rep").alias("least"))
     label = label.join(least, "component").select("node", "least")
     out = sig.select("doc_id", "node", "n").join(reps, "node", "left").join(label, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "rep", "doc_id").alias("component_id"))
+    return written(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "rep", "doc_id").alias("component_id")), "components", keep=True)
 
 
 def _merged(label: DataFrame, edges: DataFrame) -> DataFrame:
@@ -395,7 +400,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: of each component the document with the smallest id stays, and of rows that share this id
     one; rows with a null id stay."""
-    found = written(join(docs), "components")
+    found = join(docs)
     keep = found.filter("component_id = doc_id OR doc_id IS NULL").groupBy(F.col("doc_id").alias("kept")).count()
     kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept"]), "left_semi")
     twice = written(keep.filter("count > 1 AND kept IS NOT NULL").select(F.col("kept").alias("twice")), "twice")

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import Words, bytes_of, gathered, mix, pieces, remainder, span_hash, written
+from hexloom.llm.common import Words, bytes_of, gathered, mix, pieces, remainder, scratch, span_hash, written
 
 MAX_DOCS, MAX_WORDS, MAX_GRAMS, LONGEST = 12_000, 1 << 18, 1 << 18, 5
 #: After lower-casing, words are runs of a-z and of bytes beyond ASCII.
@@ -96,6 +96,11 @@ def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def train(df: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
     """Learn from ``text`` and non-null ``lang`` of ``df``; ``doc_id`` only chooses the bounded sample."""
+    with scratch():
+        return _train(df, max_docs, max_words, max_grams)
+
+
+def _train(df: DataFrame, max_docs: int, max_words: int, max_grams: int) -> Model:
     rows = df.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(per)

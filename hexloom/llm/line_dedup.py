@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import Words, bytes_of, gathered, mix, pieces, written
+from hexloom.llm.common import Words, bytes_of, gathered, mix, pieces, scratch, written
 
 U = np.uint64
 NEAR_WORDS, BUCKET_LINES, FLUSH_KEYS = 8, 20_000, 1_000_000
@@ -236,6 +236,11 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 def kept_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, lines): the numbers of the lines with words that stay, for each document that keeps any."""
+    with scratch():
+        return written(_kept_lines(docs), "kept", keep=True)
+
+
+def _kept_lines(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
     halves = F.array_compact(F.array_distinct(F.array("f.k0", "f.k1", "f.k2", "f.k3")))
     first = _scan(docs).groupBy("h1", "h2").agg(F.min(F.struct("doc", "line", "k0", "k1", "k2", "k3")).alias("f"))
@@ -277,7 +282,7 @@ def _rewritten(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, str |
 
 def _with_lines(df: DataFrame) -> DataFrame:
     """The columns of ``df`` by position (c0, c1, ...), whatever their names, and ``lines``."""
-    kept = written(kept_lines(df), "kept")
+    kept = kept_lines(df)
     own = [df[c].alias(f"c{k}") for k, c in enumerate(df.columns)]
     return _picked(df.select(*own, F.coalesce(df["doc_id"].cast("long"), F.lit(LAST)).alias("doc_id")), kept, "left").drop("doc_id")
 

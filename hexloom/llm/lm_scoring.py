@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import Words, bytes_of, mix, pieces, remainder, written
+from hexloom.llm.common import Words, bytes_of, mix, pieces, remainder, scratch, written
 from hexloom.llm.elias_fano import CHILD_BITS, Trie
 
 U = np.uint64
@@ -248,6 +248,11 @@ def _scored(joined: DataFrame, shards: int, tokens: int, distinct: int) -> DataF
 
 def score(docs: DataFrame) -> DataFrame:
     """Score the whole texts of ``docs`` (doc_id, text, held_out) with a model of those that aren't held out."""
+    with scratch():
+        return _score(docs)
+
+
+def _score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     name = f"hexloom_chunks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -264,7 +269,7 @@ def score(docs: DataFrame) -> DataFrame:
     joined = chunks.select("chunk", "doc_ids", "held", "lengths", "vocab", "tokens").join(by_chunk(answers, "counts"), "chunk")
     asked = _ask_pairs(joined, max(1, pairs))
     leaves = written(asked.groupBy("shard").applyInArrow(_answer_pairs, "chunk long, shard long, answer binary"), "leaves")
-    out = written(_scored(joined.join(by_chunk(leaves, "leaves"), "chunk"), max(1, pairs), tokens, distinct), "scores")
+    out = written(_scored(joined.join(by_chunk(leaves, "leaves"), "chunk"), max(1, pairs), tokens, distinct), "scores", keep=True)
     spark.sql(f"DROP TABLE {name}")
     return out
 

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import Words, bytes_of, pieces, remainder, span_hash, written
+from hexloom.llm.common import Words, bytes_of, pieces, remainder, scratch, span_hash, written
 
 MAX_DOCS, MAX_TERMS, MAX_CANDIDATES, WINDOW, PURE, PURE_STEM, LEAST_GAIN, LEAST_SHARE = 12_000, 256, 60_000, 6, 0.9, 0.5, 2, 0.004
 STEMS = (4, 5, 6, 7)
@@ -220,6 +220,11 @@ def _entries(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
 
 def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_terms: int = MAX_TERMS) -> Model:
     """Learn lexicon and weights from ``labels`` (doc_id, toxic) and the texts of their documents."""
+    with scratch():
+        return _train(docs, labels, max_docs, max_terms)
+
+
+def _train(docs: DataFrame, labels: DataFrame, max_docs: int, max_terms: int) -> Model:
     spark = docs.sparkSession
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     share = min(1.0, max_docs / max(1, known.count()))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import written
+from hexloom.llm.common import scratch, written
 
 BLOCK_BYTES = 16 << 20
 EPSILON = 2.5
@@ -79,6 +79,11 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 
 def search(df: DataFrame, is_query, k: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The ``k`` vectors with the largest inner product for every row where ``is_query`` holds."""
+    with scratch():
+        return _search(df, is_query, k, block_bytes)
+
+
+def _search(df: DataFrame, is_query, k: int, block_bytes: int) -> DataFrame:
     vectors = written(_valid(df), "vectors")
     sizes = vectors.groupBy(F.size("embedding").alias("d")).agg(F.sum(F.when(is_query, 1).otherwise(0)).alias("q"), F.count("*").alias("n")).collect()
     parts = []
@@ -103,7 +108,7 @@ def search(df: DataFrame, is_query, k: int = 20, block_bytes: int = BLOCK_BYTES)
         out = out.unionByName(p)
     pairs = out.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("p")).select("query_id", F.col("p.ids").alias("vec_id"), F.col("p.scores").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return written(pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest", keep=True)
 
 
 def _scan(here: DataFrame, ids: np.ndarray, q: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> DataFrame:
