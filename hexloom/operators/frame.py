@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hexloom.functions import bits as B
 from hexloom.functions import geo as X
 from hexloom.operators.components import components
+from hexloom.sources.shared import written
 
 
 class InvalidCells(ValueError):
@@ -94,14 +95,12 @@ def compact(df: DataFrame, cell: str, exploded: bool = True) -> DataFrame:
     left = df.filter(B.is_valid(cell)).select(*keys, cell).distinct()
     top = left.agg(F.max(B.raw_resolution(cell))).first()[0] or 0
     for r in range(top, 0, -1):
-        fine, rest = left.filter(B.raw_resolution(cell) == r), left.filter(B.raw_resolution(cell) != r)
-        up = B.raw_parent(cell, r - 1)
-        sets = fine.groupBy(*keys, up.alias("_up")).agg(F.collect_set(cell).alias("_set"))
-        full = F.size("_set") == F.when(B.is_pentagon("_up"), 6).otherwise(7)
-        merged = sets.select(*keys, F.explode(F.when(full, F.array("_up")).otherwise(F.col("_set"))).alias(cell))
-        left = merged if r == top else merged.unionByName(rest)
-        left = left.distinct() if r < top else left.unionByName(rest).distinct()
-    out = purge_covered(left, cell, keys)
+        fine = B.raw_resolution(cell) == r
+        up = F.when(fine, B.raw_parent(cell, r - 1)).otherwise(F.col(cell))
+        sets = left.groupBy(*keys, up.alias("_up"), fine.alias("_fine")).agg(F.collect_set(cell).alias("_set"))
+        full = F.col("_fine") & (F.size("_set") == F.when(B.is_pentagon("_up"), 6).otherwise(7))
+        left = sets.select(*keys, F.explode(F.when(full, F.array("_up")).otherwise(F.col("_set"))).alias(cell))
+    out = purge_covered(written(left.distinct(), "compacted"), cell, keys)
     return out.select(*keys, cell) if exploded else out.groupBy(*keys).agg(F.array_sort(F.collect_set(cell)).alias(cell))
 
 

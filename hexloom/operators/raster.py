@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -98,19 +99,19 @@ def to_cells(pixels: DataFrame, shape: tuple[int, int], transform: Transform, re
     tiles = data.select(F.floor(F.col("_x") / tile).alias("tx"), F.floor(F.col("_y") / tile).alias("ty")).distinct()
     nx, ny = (shape[1], shape[0]) if axis == "yx" else shape
 
-    def fill(tx: pa.Array, ty: pa.Array) -> pa.Array:
-        out = []
-        for a, b in zip(tx.to_pylist(), ty.to_pylist(), strict=True):
-            x0, x1, y0, y1 = a * tile, min((a + 1) * tile, nx), b * tile, min((b + 1) * tile, ny)
-            ring = np.array([transform.apply(*p) for p in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
-            cells = S.polygon_cells([ring], res)
-            lon, lat = G.to_lonlat(cells)
-            px, py = np.floor(lon * back.a + lat * back.b + back.c), np.floor(lon * back.d + lat * back.e + back.f)
-            own = (px >= x0) & (px < x1) & (py >= y0) & (py < y1)
-            out.append([{"cell": int(c), "x": int(p), "y": int(q)} for c, p, q in zip(cells[own], px[own], py[own], strict=True)])
-        return pa.array(out, pa.list_(pa.struct([("cell", pa.int64()), ("x", pa.int64()), ("y", pa.int64())])))
-
-    cells = tiles.select(F.inline(F.arrow_udf(fill, "array<struct<cell:bigint,x:bigint,y:bigint>>")("tx", "ty"))).distinct()
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x0, x1, y0, y1 = a * tile, min((a + 1) * tile, nx), b * tile, min((b + 1) * tile, ny)
+                ring = np.array([transform.apply(*p) for p in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
+                cells = S.polygon_cells([ring], res)
+                lon, lat = G.to_lonlat(cells)
+                px, py = np.floor(lon * back.a + lat * back.b + back.c), np.floor(lon * back.d + lat * back.e + back.f)
+                own = (px >= x0) & (px < x1) & (py >= y0) & (py < y1)
+                yield pa.RecordBatch.from_arrays([pa.array(cells[own]), pa.array(px[own].astype(np.int64)), pa.array(py[own].astype(np.int64))], names=["cell", "x", "y"])
+
+    # pixels are half open, so a cell is in one tile only, but for centres on a tile's edge
+    cells = tiles.repartition("tx", "ty").mapInArrow(fill, "cell bigint, x bigint, y bigint")
     out = cells.join(data.select(F.col("_x").alias("x"), F.col("_y").alias("y"), "value"), ["x", "y"]).select("value", "cell").distinct()
     return compact_frame(out, "cell") if compact else out
 
