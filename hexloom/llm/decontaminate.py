@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from hexloom.llm.common import Words, bytes_of, mix, pieces
 
-MIN_MATCH, COVERAGE, BLOCK_BYTES = 5, 0.6, 4 << 20
+MIN_MATCH, COVERAGE, BLOCK_BYTES = 5, 0.5, 4 << 20
 SCHEMA = "doc_id long, item_id long, coverage double, n_tiles long, matched_words long, item_words long"
 _BREAKS = np.ones(256, bool)
 _BREAKS[48:58] = _BREAKS[97:123] = _BREAKS[128:] = False

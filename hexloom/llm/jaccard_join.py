@@ -43,7 +43,7 @@ BANDS = [5]
 while BANDS[-1] < 1 << 40:
     BANDS.append(max(BANDS[-1] + 1, int(BANDS[-1] * 1.7)))
 BANDS = np.array(BANDS, np.int64)
-SHORT, BLOCK, FLUSH_KEYS, BUCKET_BYTES, SENT_ROWS = 8, 8192, 1_000_000, 4 << 20, 500_000
+SHORT, BLOCK, FLUSH_KEYS, BUCKET_BYTES, SENT_ROWS = 4, 8192, 1_000_000, 4 << 20, 500_000
 PAIR, STAR, MEMBER = range(3)
 SIG = "doc_id long, node long, n long, band int, own binary, guest binary"
 SALT = U(0x5851F42D4C957F2D)
@@ -145,6 +145,22 @@ def sketch(tokens: np.ndarray, band: int) -> bytes:
     return np.packbits(np.bincount((mix(tokens ^ SALT) & U(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
+def folded(raw: bytes | None) -> bytes | None:
+    """A sketch of a quarter of the bits: its quarters' parity, which bounds the difference like the sketch itself."""
+    if raw is None or len(raw) < 32:
+        return raw
+    return np.bitwise_xor.reduce(np.frombuffer(raw, U).reshape(4, -1), axis=0).tobytes()
+
+
+def _folded(sig: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = [pa.array(map(folded, batch.column(c).to_pylist()), pa.binary()) for c in ("own", "guest")]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("node", "n", "band")], *cols], names=["node", "n", "band", "own", "guest"])
+
+    return sig.select("node", "n", "band", "own", "guest").mapInArrow(run, "node long, n long, band int, own binary, guest binary")
+
+
 def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,12 +319,12 @@ def _across(members: DataFrame, sig: DataFrame, label: DataFrame, percent: int,
     """Pairs across components within long runs that keep to the Hamming bound, compared block by block.
 
     Every such pair has an end outside the block's largest component; each node outside gives its ``top`` nearest
-    partners, and ``more`` tells whether it has others.
+    partners by folded sketches, and ``more`` tells whether it has others.
     """
     m = members.join(label, F.col("node") == F.col("id"), "left").select("run", "node", F.coalesce("component", "node").alias("component"))
     mixed = m.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high")
     m = written(m.join(mixed.select("run", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "run"), "mixed")
-    sig = _only(sig, m.select("node"))
+    sig = _folded(_only(sig, m.select("node")))
     m = m.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.select("run", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -358,16 +374,17 @@ def _join(docs: DataFrame, size: int, percent: int) -> DataFrame:
     pairs = written(_close(written(short.unionByName(star).distinct(), "found"), sig, percent), "pairs")
     label = components(_verified(pairs, docs, reps, size, percent))
     members = found.filter(F.col("kind") == MEMBER).select("run", F.col("a").alias("node"))
-    tried, top = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), 1
+    tried, top = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), 8
     while not members.isEmpty():
         near = written(_across(members, sig, label, percent, top), "near")
         new = written(near.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
         if not new.isEmpty():
-            label = written(_merged(label, written(_verified(new, docs, reps, size, percent), "links")), "label")
+            close = written(_close(new, sig, percent), "close")
+            label = written(_merged(label, written(_verified(close, docs, reps, size, percent), "links")), "label")
             tried = tried.unionByName(new)
         elif near.filter("more").isEmpty():
             break  # every pair in a long run is in one component, was verified, or can't link
-        top *= 4
+        top *= 8
     label = label.select(F.col("id").alias("node"), "component")
     least = label.join(reps, "node").groupBy("component").agg(F.min("rep").alias("least"))
     label = label.join(least, "component").select("node", "least")

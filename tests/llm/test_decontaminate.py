@@ -66,4 +66,4 @@ def test_leaks_reordered_and_clean(spark):
 
 def test_query_on_the_tables(spark):
     rows = D.query(spark, "/root/testdata/sf0.001").collect()
-    assert all(0.6 <= r.coverage <= 1 and r.matched_words == round(r.coverage * r.item_words) for r in rows)
+    assert all(D.COVERAGE <= r.coverage <= 1 and r.matched_words == round(r.coverage * r.item_words) for r in rows)

@@ -5,7 +5,7 @@ import random
 import sentencepiece
 
 import corpus_pipeline
-from hexloom.llm import sentencepiece_codec
+from hexloom.llm import decontaminate, sentencepiece_codec
 from tests.llm import test_decontaminate, test_jaccard_join, test_line_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -52,7 +52,7 @@ def test_stages(spark, tmp_path):
         elif name == "jaccard_join":
             assert set(got) == {c for _, _, c in test_jaccard_join.brute([(r[0], r[1]) for r in had.values()])}
         elif name == "decontaminate":
-            leaky = {d for d, r in had.items() if sum(t[2] for t in test_decontaminate.brute(item, r[1].split(), 5)) >= 0.6 * len(item)}
+            leaky = {d for d, r in had.items() if sum(t[2] for t in test_decontaminate.brute(item, r[1].split(), 5)) >= decontaminate.COVERAGE * len(item)}
             assert leaky and set(got) == set(had) - leaky
         else:
             sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
