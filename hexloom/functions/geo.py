@@ -18,6 +18,7 @@ from hexloom.functions.bits import col
 from hexloom.kernel import cells as C
 from hexloom.kernel import grid as G
 from hexloom.kernel import shapes as S
+from hexloom.kernel import vertexes as V
 
 POINT = "struct<x:double,y:double>"
 RING = f"array<{POINT}>"
@@ -96,7 +97,7 @@ def _fixed(run: Callable, n: int) -> Callable:
     return (one, two, three)[n - 1]
 
 
-_ARITY = dict(from_lonlat=2, from_lonlat_at=3, to_lonlat=1, boundary=1, area=1, disk=1, disk_distances=1, ring=1, distance=2, neighbors=2, edge_to=2, edge_destination=1, edge_reversed=1, edge_boundary=1, edge_length=1, path=2, line=1, local_ij=2, from_local_ij=2, polygon_cells=1, polygon_cells_touching=1, touches=1, contains_point=2, envelope=1, dissolve=1, smooth=1, aligned=1, covered=1, vertexes=1, faces=1)
+_ARITY = dict(from_lonlat=2, from_lonlat_at=3, to_lonlat=1, boundary=1, area=1, disk=1, disk_distances=1, ring=1, distance=2, neighbors=2, edge_to=2, edge_destination=1, edge_reversed=1, edge_boundary=1, edge_length=1, path=2, line=1, local_ij=2, from_local_ij=2, polygon_cells=1, polygon_cells_touching=1, touches=1, contains_point=2, envelope=1, dissolve=1, smooth=1, aligned=1, covered=1, vertexes=1, vertex_ids=1, vertex_to_lonlat=1, valid_vertex=1, max_polygon_cells=1, faces=1)
 
 
 def from_lonlat(lon: Column | str, lat: Column | str, res: int) -> Column:
@@ -492,20 +493,62 @@ def vertexes(c: Column | str) -> Column:
 def _vertexes(c):
     h, good = _cells(c)
     at = np.flatnonzero(good)
-    # a class II child of the same shape has just the topological vertices; where no edge is crossed, so has the cell
-    rings = []
-    for ring, five in zip(G.boundary(h[at]), G.is_pentagon(h[at]), strict=True):
-        n = 5 if five else 6
-        while len(ring) > n:
-            turn = np.roll(ring, 1, axis=0) - ring
-            ahead = np.roll(ring, -1, axis=0) - ring
-            bend = np.abs(turn[:, 0] * ahead[:, 1] - turn[:, 1] * ahead[:, 0]) / (np.hypot(*turn.T) * np.hypot(*ahead.T))
-            ring = np.delete(ring, bend.argmin(), axis=0)
-        rings.append(ring)
+    rings = V.rings(h[at])
     xy = np.concatenate(rings) if rings else np.zeros((0, 2))
     return _lists(len(h), at, np.array([len(r) for r in rings], np.int64), _points(xy))
 
 
+def vertex_ids(c: Column | str) -> Column:
+    """Ids of a cell's vertices; cells that meet in a vertex name it alike."""
+    return _udf("vertex_ids", "array<bigint>")(col(c))
+
+
+def _vertex_ids(c):
+    h, good = _cells(c)
+    at = np.flatnonzero(good)
+    ids = V.of_cells(h[at]) if len(at) else []
+    return _lists(len(h), at, np.array([len(v) for v in ids], np.int64), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64)))
+
+
+def vertex_to_lonlat(v: Column | str) -> Column:
+    return _udf("vertex_to_lonlat", POINT)(col(v))
+
+
+def _vertex_to_lonlat(v):
+    h, good = _cells(v, V.is_valid)
+    xy = np.zeros((len(h), 2))
+    xy[good] = V.to_lonlat(h[good])
+    return pa.StructArray.from_arrays([pa.array(xy[:, 0]), pa.array(xy[:, 1])], fields=list(_POINT), mask=pa.array(~good))
+
+
+def is_valid_vertex(v: Column | str) -> Column:
+    return _udf("valid_vertex", "boolean")(col(v))
+
+
+def _valid_vertex(v):
+    _, good = _cells(v, V.is_valid)
+    return pa.array(good, mask=np.asarray(v.is_null()))
+
+
+def max_polygon_cells(polygon: Column | str, res: int) -> Column:
+    """An upper estimate of how many cells a polygon has, from its envelope."""
+    return _udf("max_polygon_cells", "bigint", res)(col(polygon))
+
+
+def _max_polygon_cells(p, res):
+    out = []
+    for x in p.to_pylist():
+        if x is None:
+            out.append(None)
+            continue
+        xy = np.concatenate(_polygon(x))
+        (x0, y0), (x1, y1) = xy.min(axis=0), xy.max(axis=0)
+        area = S.ring_area_m2(S.box(x0, y0, x1, y1)[0]) / 1e6
+        edge = np.hypot(x1 - x0, y1 - y0) * 111.2 / C.EDGE_KM[res]
+        out.append(int(np.ceil(2 * area / C.AREA_KM2[res] + 4 * edge)) + 12)
+    return pa.array(out, pa.int64())
+
+
 def icosahedron_faces(c: Column | str) -> Column:
     """The faces of the icosahedron that a cell reaches."""
     return _udf("faces", "array<int>")(col(c))

@@ -546,3 +546,16 @@ def graph_differential(spark, sf):
 @query("graph_covered_area")
 def graph_covered_area(spark, sf):
     return GR.covered_area(_cell_graph(spark, sf), 1)
+
+
+@query("cell_vertexes")
+def cell_vertexes(spark, sf):
+    v = _customer_cells(spark, sf, 8).select("c_custkey", F.explode(X.vertex_ids("cell")).alias("vertex"))
+    return v.select("c_custkey", "vertex", X.vertex_to_lonlat("vertex").alias("at"))
+
+
+@query("polyfill_estimate", "SELECT c_custkey, TRUE AS enough FROM customer")
+def polyfill_estimate(spark, sf):
+    """No polygon has more cells than estimated."""
+    p = I.customer_points(spark, sf).withColumn("polygon", _square(0.5))
+    return p.select("c_custkey", (F.size(X.polygon_cells("polygon", 5)) <= X.max_polygon_cells("polygon", 5)).alias("enough"))
