@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from hexloom.llm.common import Words, bytes_of, pieces, remainder, scratch, span_hash, written
 
-MAX_DOCS, MAX_TERMS, MAX_CANDIDATES, WINDOW, PURE, PURE_STEM, LEAST_GAIN, LEAST_SHARE = 12_000, 256, 60_000, 6, 0.9, 0.5, 2, 0.004
+MAX_DOCS, MAX_TERMS, MAX_CANDIDATES, WINDOW, PURE, PURE_STEM, LEAST_GAIN, LEAST_SHARE = 12_000, 256, 60_000, 6, 0.9, 0.5, 2, 0.002
 STEMS = (4, 5, 6, 7)
 QUOTES = '"“”„«»‹›'
 REPORTS = ("said", "says", "wrote", "writes", "quoted", "quote", "called", "calls", "word", "term", "sagte", "schrieb", "nannte", "wort", "dit", "écrit", "appelé", "mot", "dijo", "escribió", "llamó", "palabra")
