@@ -417,10 +417,12 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: of each component the document with the smallest id stays, and of rows that share this id
     one; rows with a null id stay."""
-    found = join(docs)
-    keep = found.filter("component_id = doc_id OR doc_id IS NULL").groupBy(F.col("doc_id").alias("kept")).count()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["kept"]), "left_semi")
-    twice = written(keep.filter("count > 1 AND kept IS NOT NULL").select(F.col("kept").alias("twice")), "twice")
+    stays = (F.col("component_id") == F.col("doc_id")).cast("int")
+    per = join(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.sum(stays).alias("n"))
+    gone = written(per.filter("n = 0").select(F.col("doc_id").alias("gone")), "gone")
+    few = gone.count() <= SENT_ROWS  # 8 bytes each; beyond that the documents are shuffled
+    kept = docs.join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["gone"], "left_anti")
+    twice = written(per.filter("n > 1").select(F.col("doc_id").alias("twice")), "twice")
     if twice.isEmpty():
         return kept
     same = kept["doc_id"] == twice["twice"]

@@ -88,3 +88,10 @@ def test_pigeonhole_keys_meet(size):
             continue
         keys = [set(J.keys_of(x, np.array([0, len(x)]), 80)[0].tolist()) for x in (a, b)]
         assert keys[0] & keys[1]
+
+
+def test_stage_keeps_one_of_each_group(spark):
+    rows = [(1, "a b c d e f", "x"), (2, "a b c d e f", "y"), (1, "a b c d e f", "x"), (3, "other text here", None), (None, "a b c d e f", "z"), (4, None, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string")
+    got = sorted((r.doc_id or 0, r.gone or "") for r in J.stage(spark, docs, "").collect())
+    assert got == [(0, "z"), (1, "x"), (3, ""), (4, "w")]
