@@ -358,16 +358,18 @@ def _join(docs: DataFrame, size: int, percent: int) -> DataFrame:
     pairs = written(_close(written(short.unionByName(star).distinct(), "found"), sig, percent), "pairs")
     label = components(_verified(pairs, docs, reps, size, percent))
     members = found.filter(F.col("kind") == MEMBER).select("run", F.col("a").alias("node"))
-    tried, top = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), 8
+    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    top, some = 8, True  # the first round looks at a quarter of the runs, which joins most of what can be joined
     while not members.isEmpty():
-        near = written(_across(members, sig, label, percent, top), "near")
+        near = _across(members.filter("pmod(run, 4) = 0") if some else members, sig, label, percent, top)
+        near = written(near, "near")
         new = written(near.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
         if not new.isEmpty():
             label = written(_merged(label, written(_verified(new, docs, reps, size, percent), "links")), "label")
             tried = tried.unionByName(new)
-        elif near.filter("more").isEmpty():
+        elif not some and near.filter("more").isEmpty():
             break  # every pair in a long run is in one component, was verified, or can't link
-        top *= 8
+        top, some = top * 8, False
     label = label.select(F.col("id").alias("node"), "component")
     least = label.join(reps, "node").groupBy("component").agg(F.min("rep").alias("least"))
     label = label.join(least, "component").select("node", "least")
