@@ -97,6 +97,24 @@ def remainder(col: str, n: int):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def stratified(df: DataFrame, by: str, most: int, per: dict | None = None) -> DataFrame:
+    """About ``most`` rows, chosen by a hash of ``doc_id``: as many of each value of ``by`` (null is one), all rows of a
+    value that has fewer, and what those leave goes to the others. ``per`` has the rows of each value, if known."""
+    per = {r[0]: r[1] for r in df.groupBy(by).count().collect()} if per is None else per
+    left, share = float(most), {}
+    for k, (value, n) in enumerate(sorted(per.items(), key=lambda x: x[1])):
+        take = min(n, left / (len(per) - k))
+        left -= take
+        share[value] = take / max(1, n)
+    if all(x >= 1 for x in share.values()):
+        return df
+    parts = [x for value, s in share.items() if value is not None for x in (F.lit(value), F.lit(int(s * (1 << 30))))]
+    limit = F.lit(int(share.get(None, 0) * (1 << 30)))
+    if parts:
+        limit = F.when(F.col(by).isNull(), limit).otherwise(F.create_map(*parts)[F.col(by)])
+    return df.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < limit)
+
+
 # ---- hashing -----------------------------------------------------------------------------------------------------
 
 U = np.uint64
