@@ -4,8 +4,9 @@
 first 4 to 7 characters of a word) that mostly do, chosen by greedy cover, so that a word which merely keeps company
 with a chosen term adds nothing. The terms form a trie; its product with the Levenshtein automata of the whole words (one edit from five
 bytes on, two from nine; the first byte must match) is determinised once, into a table of transitions. All distinct
-words of a chunk walk that table together. A hit is a term, a misspelled term or a word that begins with a stem,
-and quoted or not: within ``WINDOW`` words it stands between quotation marks, or a word of report stands by. These
+words of a chunk walk that table together; words without a hit, and words with digits or symbols in them, walk a second
+one, in which the first byte may be edited too. A hit is a term, a misspelled term, a word that begins with a stem, or
+a term of the second walk, and quoted or not: within ``WINDOW`` words it stands between quotation marks, or a word of report stands by. These
 counts, and how dense stems are, feed a logistic regression, which learns what each kind of hit is worth.
 
 Bounds. A fit reads at most about ``MAX_DOCS`` labelled rows, chosen by a hash of the id, and keeps at most
@@ -37,15 +38,36 @@ REPORTS = ("said", "says", "wrote", "writes", "quoted", "quote", "called", "call
 _BREAKS = np.ones(256, bool)
 _BREAKS[97:123] = _BREAKS[128:] = False
 _QUOTE = "".join(QUOTES)
+#: Of disguised words only white space, control characters and the (now ASCII) quotation mark are the ends.
+_ENDS = np.zeros(256, bool)
+_ENDS[:33] = _ENDS[[34, 127]] = True
+_SIGNS = _BREAKS & ~_ENDS
 
 
-def words_of(column: pa.Array) -> Words:
-    """Runs of letters; quotation marks, which are bytes beyond ASCII, are made ASCII first."""
+def _lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets in lower case; quotation marks, which are bytes beyond ASCII, are made ASCII."""
     low = pc.utf8_lower(column.cast(pa.large_string()))
     for q in _QUOTE[1:]:
         low = pc.replace_substring(low, q, '"')
-    raw, offsets = bytes_of(low)
-    return Words(raw, offsets, _BREAKS, lower=False)
+    return bytes_of(low)
+
+
+def words_of(column: pa.Array) -> Words:
+    """Runs of letters."""
+    return Words(*_lowered(column), _BREAKS, lower=False)
+
+
+def disguised(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of words that hold digits or symbols, without the symbols around them."""
+    wide = Words(raw, offsets, _ENDS, lower=False)
+    solid = np.flatnonzero(~_BREAKS[raw] | (raw >= 48) & (raw <= 57))
+    a, b = np.searchsorted(solid, wide.start), np.searchsorted(solid, wide.end)
+    a, b = a[a < b], b[a < b]
+    start, end = solid[a], solid[b - 1] + 1
+    signs = np.concatenate([[0], np.cumsum(_SIGNS[raw])])
+    n = signs[end] - signs[start]
+    mixed = (n > 0) & (n < end - start)
+    return start[mixed], end[mixed]
 
 
 def tolerance(term: bytes) -> int:
@@ -55,9 +77,9 @@ def tolerance(term: bytes) -> int:
 
 class Automaton:
     """The determinised product of a lexicon trie with Levenshtein automata. Results: 0 no hit, 1 a term, 2 a misspelled
-    term, 3 a word that begins with a stem."""
+    term, 3 a word that begins with a stem. With ``root`` the first byte may be edited, too."""
 
-    def __init__(self, terms: list[str], stems: list[str]):
+    def __init__(self, terms: list[str], stems: list[str], root: bool = False):
         child: list[dict[int, int]] = [{}]
         end: dict[int, int] = {}
         stem: set[int] = set()
@@ -77,15 +99,16 @@ class Automaton:
         for t in terms:
             end[insert(t.encode(), tolerance(t.encode()))] = tolerance(t.encode())
         stem.update(insert(s.encode(), 0) for s in stems)
+        reach[0] = max(reach) if root else 0
 
         def closed(items: set[tuple[int, int]]) -> frozenset:
             todo, best = list(items), {}
             while todo:
                 node, e = todo.pop()
-                if e > reach[node] and node or best.get(node, 99) <= e:
+                if e > reach[node] and (node or root) or best.get(node, 99) <= e:
                     continue
                 best[node] = e
-                if node:
+                if node or root:
                     todo += [(c, e + 1) for c in child[node].values()]
             return frozenset(best.items())
 
@@ -105,7 +128,7 @@ class Automaton:
                     for node, e in s:
                         if b in child[node]:
                             nxt.add((child[node][b], e))
-                        if node:
+                        if node or root:
                             nxt.add((node, e + 1))
                             nxt.update((c, e + 1) for c in child[node].values())
                     t = hit if any(n in stem and e == 0 for n, e in nxt) else closed(nxt)
@@ -143,19 +166,31 @@ class Model:
 
     def __post_init__(self):
         self.automaton = Automaton(self.terms, self.stems)
+        self.loose = Automaton(self.terms, [], root=True)
         raw = "\n".join(REPORTS).encode()
         a = np.frombuffer(raw, np.uint8)
         self.reports = np.unique(Words(a, np.array([0, len(a)]), _BREAKS, lower=False).hash)
 
     def features(self, column: pa.Array) -> np.ndarray:
-        """Of each text: terms, misspelled terms and stems outside quotation, all hits inside it, and its words."""
-        w = words_of(column)
-        out = np.zeros((w.texts, 5))
+        """Of each text: terms, misspelled terms and stems outside quotation, all hits inside it, its words, and terms
+        outside quotation whose first letter is wrong or that are disguised by digits or symbols."""
+        raw, offsets = _lowered(column)
+        w = Words(raw, offsets, _BREAKS, lower=False)
+        out = np.zeros((w.texts, 6))
         out[:, 4] = np.diff(w.offsets)
         if not len(w.hash):
             return out
         _, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-        kind = self.automaton.walk(w.raw, w.start[first], w.end[first])[which]
+        kind = self.automaton.walk(w.raw, w.start[first], w.end[first])
+        rest = np.flatnonzero(kind == 0)
+        kind[rest[self.loose.walk(w.raw, w.start[first[rest]], w.end[first[rest]]) > 0]] = 4
+        kind = kind[which]
+        start, end = disguised(raw, offsets)
+        before = np.concatenate([[0], np.cumsum(kind > 0)])
+        lo, hi = np.searchsorted(w.start, start), np.searchsorted(w.start, end)
+        new = (before[hi] == before[lo]) & (lo < hi)  # no part is a hit by itself
+        start, end, lo = start[new], end[new], lo[new]
+        kind[lo[self.loose.walk(w.raw, start, end) > 0]] = 4  # stands at the first part
         hits = np.flatnonzero(kind)
         text = np.searchsorted(w.offsets, hits, "right") - 1
         if len(hits):
@@ -166,7 +201,7 @@ class Model:
             after = mark[w.end[hi]] - mark[w.end[hits]]
             edge = mark[np.minimum(w.end[hits] + 1, len(w.raw))] > mark[w.end[hits]]
             quoted = ((before % 2 == 1) & ((after > 0) | edge)) | (report[hi + 1] > report[lo])
-            np.add.at(out, (text, np.where(quoted, 3, kind[hits] - 1)), 1)
+            np.add.at(out, (text, np.where(quoted, 3, np.array([0, 0, 1, 2, 5])[kind[hits]])), 1)
         return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -176,16 +211,16 @@ class Model:
 
 
 def _design(x: np.ndarray) -> np.ndarray:
-    hits, stem, words = x[:, :4], x[:, 2:3], x[:, 4:]
-    return np.hstack([np.ones((len(x), 1)), np.log1p(hits), np.minimum(hits, 1), np.minimum(np.maximum(stem - 1, 0), 2), np.log1p(1000 * stem / np.maximum(words, 50))])
+    hits, stem, words, loose = x[:, :4], x[:, 2:3], x[:, 4:5], x[:, 5:]
+    return np.hstack([np.ones((len(x), 1)), np.log1p(hits), np.minimum(hits, 1), np.minimum(np.maximum(stem - 1, 0), 2), np.log1p(1000 * stem / np.maximum(words, 50)), np.log1p(loose), np.minimum(loose, 1)])
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton's method. A priori a term counts, a misspelled one or a stem half as much,
-    a quoted hit a quarter."""
+    """Ridge logistic regression by Newton's method. A priori a term counts, a misspelled or disguised one or a stem half as
+    much, a quoted hit a quarter."""
     d = _design(x)
-    prior = np.array([0, 1, 0.5, 0.5, 0.25, 2, 1, 0.5, 0.25, 0.5, 0.1])
-    ridge = np.array([1e-3] + [1.0] * 10)
+    prior = np.array([0, 1, 0.5, 0.5, 0.25, 2, 1, 0.5, 0.25, 0.5, 0.1, 0.5, 1])
+    ridge = np.array([1e-3] + [1.0] * 12)
     w = prior.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-(d @ w)))
@@ -286,12 +321,12 @@ def _train(docs: DataFrame, labels: DataFrame, max_docs: int, max_terms: int) ->
         for batch in batches:
             for part in pieces(batch, "text"):
                 x = shared.value.features(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), *[pa.array(x[:, j]) for j in range(5)]], names=["toxic", *"abcde"])
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), *[pa.array(x[:, j]) for j in range(6)]], names=["toxic", *"abcdef"])
 
-    t = sample.mapInArrow(features, "toxic int, a double, b double, c double, d double, e double").toArrow()
+    t = sample.mapInArrow(features, "toxic int, a double, b double, c double, d double, e double, f double").toArrow()
     y = t.column("toxic").to_numpy() > 0
     if y.any() and not y.all():
-        model.weights = _fit(np.stack([t.column(c).to_numpy() for c in "abcde"], axis=1), y.astype(float))
+        model.weights = _fit(np.stack([t.column(c).to_numpy() for c in "abcdef"], axis=1), y.astype(float))
     return model
 
 

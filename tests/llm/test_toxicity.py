@@ -64,3 +64,24 @@ def test_defined_cases(spark):
     assert X.score(docs.limit(0), m).count() == 0
     with pytest.raises(AttributeError):
         _ = m.nothing
+
+
+def test_first_letters_and_signs_against_unrestricted_distance():
+    import pyarrow as pa
+
+    terms = ["idiot", "moron", "trash", "bad", "disgusting"]
+    a = X.Automaton(terms, [], root=True)
+    rng = random.Random(5)
+    words = ["xdiot", "diot", "aidiot", "id1ot", "1diot", "m*ron", "tr@sh", "d1sgu5ting", "xisgustng"]
+    for _ in range(3000):
+        w = list(rng.choice(terms))
+        for _ in range(rng.randrange(4)):
+            p = rng.randrange(len(w) + 1) if rng.random() < 0.5 else 0
+            w[p : p + rng.randrange(2)] = rng.choice([[], [rng.choice("abdegimnorst1@*")]])
+        words.append("".join(w) or "x")
+    end = np.cumsum([len(w) for w in words])
+    got = a.walk(np.frombuffer("".join(words).encode(), np.uint8), end - [len(w) for w in words], end)
+    for w, k in zip(words, got.tolist(), strict=True):
+        assert k == (1 if w in terms else 2 if any(distance(w, t) <= X.tolerance(t.encode()) for t in terms) else 0), (w, k)
+    x = X.Model(terms, []).features(pa.array([f"you {w}, go" for w in words[:9]] + ["call 555 a.b now", "1 idiot-like"]))
+    assert x[:, 5].tolist() == [1] * 9 + [0, 0] and x[:, :4].sum(axis=1).tolist() == [0] * 9 + [0, 1]
