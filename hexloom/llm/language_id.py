@@ -4,13 +4,13 @@ A known word scores its log frequency in each language. An unseen word is cut in
 (five characters down to one): the first length of which any n-gram is known scores the word with the mean over its
 known n-grams. A text's score is the sum over its words; the best language's posterior probability is the confidence.
 
-``train`` is a classifier's fit: it reads at most about ``MAX_DOCS`` labelled rows, chosen by a hash of the id, and
-keeps the ``MAX_WORDS`` and ``MAX_GRAMS`` most frequent entries, so the model that goes to every task is bounded
-(12 to 40 bytes an entry) whatever the corpus. Prediction covers whole texts of all rows and shuffles nothing.
+``train`` is a classifier's fit: it reads at most about ``MAX_DOCS`` labelled rows, chosen by a hash of the id, as many
+of each language (all of a language that has fewer), and keeps the ``MAX_WORDS`` and ``MAX_GRAMS`` most frequent
+entries, so the model that goes to every task is bounded (12 to 40 bytes an entry) whatever the corpus. Prediction covers whole texts of all rows and shuffles nothing.
 
 Defined cases: a text that is null, empty or without a letter is ``und`` with score 0; ties go to the language that
-sorts first; rows without a language teach nothing, and with no labelled row every text is ``und``; repeated rows
-each get a row; an empty table gives no rows.
+sorts first; rows without a language teach nothing, a language without counted entries is no answer,
+and with no labelled row every text is ``und``; repeated rows each get a row; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import Words, bytes_of, gathered, mix, pieces, remainder, scratch, span_hash, written
+from hexloom.llm.common import Words, bytes_of, gathered, mix, pieces, remainder, scratch, span_hash, stratified, written
 
 MAX_DOCS, MAX_WORDS, MAX_GRAMS, LONGEST = 12_000, 1 << 18, 1 << 18, 5
 #: After lower-casing, words are runs of a-z and of bytes beyond ASCII.
@@ -104,8 +104,7 @@ def _train(df: DataFrame, max_docs: int, max_words: int, max_grams: int) -> Mode
     rows = df.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(per)
-    share = min(1.0, max_docs / max(1, sum(per.values())))
-    rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = stratified(rows, "lang", max_docs, per)
     place = {lang: k for k, lang in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,6 +129,12 @@ def _train(df: DataFrame, max_docs: int, max_words: int, max_grams: int) -> Mode
     counts = rows.select("text", "lang").mapInArrow(run, "kind long, key long, lang long, n long")
     counts = counts.groupBy("kind", "key").agg(*[F.sum(F.when(F.col("lang") == j, F.col("n")).otherwise(0)).alias(f"n{j}") for j in range(len(langs))], F.sum("n").alias("n"))
     counts = written(counts.filter("n > 1"), "counts")
+    # a language of which nothing was counted would win with its smoothed values for rare words
+    sums = counts.agg(*[F.sum(f"n{j}").alias(f"n{j}") for j in range(len(langs))]).first()
+    some = [j for j in range(len(langs)) if sums[f"n{j}"]]
+    langs = [langs[j] for j in some]
+    if not langs:
+        return Model([], *[np.zeros(0, np.uint64), np.zeros((0, 0))] * 2)
     tables = []
     for these, most in ((F.col("kind") == 0, max_words), (F.col("kind") > 0, max_grams)):
         least, total = 2, 0
@@ -140,7 +145,7 @@ def _train(df: DataFrame, max_docs: int, max_words: int, max_grams: int) -> Mode
                 break
         got = counts.filter(these & (F.col("n") >= least)).toArrow()
         key = got.column("key").to_numpy().view(np.uint64)
-        n = np.stack([got.column(f"n{j}").to_numpy().astype(float) for j in range(len(langs))], axis=1) if len(key) else np.zeros((0, len(langs)))
+        n = np.stack([got.column(f"n{j}").to_numpy().astype(float) for j in some], axis=1) if len(key) else np.zeros((0, len(langs)))
         kind = got.column("kind").to_numpy()
         logs = np.zeros_like(n)
         for k in np.unique(kind):

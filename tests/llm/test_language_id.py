@@ -26,3 +26,13 @@ def test_backoff_and_defined_cases(spark):
     assert {r.lang_pred for r in L.predict(spark.createDataFrame(asked, "doc_id long, text string"), empty).collect()} == {"und"}
     assert L.predict(train.limit(0), model).count() == 0
     _ = remainder
+
+
+def test_rare_language_is_learned_whole(spark):
+    rows = [(i, f"the cat number{i % 9} and the dog", "en") for i in range(900)] + [(2000 + i, "kissa ja koira talossa", "fi") for i in range(6)] + [(3000, "123", "zz")]
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_docs=30)
+    assert model.langs == ["en", "fi"]  # nothing is known of zz
+    got = L.predict(spark.createDataFrame([(1, "koira ja kissa"), (2, "the dog")], "doc_id long, text string"), model).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {1: "fi", 2: "en"}
+    share = L.stratified(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "lang", 30).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in share}["fi"] == 6
