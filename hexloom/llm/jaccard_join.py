@@ -12,12 +12,20 @@ may differ in; pieces that hold no token of a set say nothing and give no key. A
 the pigeonhole argument could fail draws its pieces again with the next seed, and gives keys for every seed up to the
 first that serves: the pair is met at the earlier of both sets' seeds. So no link is lost and no key is shared by all.
 
-Scale. Equal sets are one node, named by a 64-bit hash of the set, so copies of any number cost one key set per task.
-Keys travel as packed blobs by bucket of the key; the number of buckets follows the input. In a bucket, the members of
-a short run of equal keys are paired; those of a long run are only paired with the run's smallest node. What that
-leaves open is closed after these pairs were verified: long runs whose members are not all in one component are
-compared across components, in blocks of bounded size, by their dense sketches, and what passes is verified too, the
-nearest pairs first, until no pair is left that could join two components. Copies are never expanded into pairs.
+Scale. Equal sets are one node, named by 128 bits of the set, so copies of any number cost one key set per task. Keys
+travel as packed blobs by bucket of the key; the number of buckets follows the input. Nodes with an equal key are a
+run; runs are kept as (run, node) rows of ids, and all that follows is decided on these before a sketch is sent:
+
+- a node is first compared with one other, the most central node (that of the most and longest runs) of most of its
+  runs, and links between these are contracted to components;
+- only runs with nodes of different components are looked at again. The counting form of the pigeonhole argument says
+  that a node shares at least ``need`` pieces with any partner, so of a node's mixed runs the ``need - 1`` costliest are
+  left out; pairs meet in the cheapest run that they share, and a node with fewer mixed runs than ``need`` is settled;
+- what is left is compared by dense sketches, each node outside a run's largest component with those of other
+  components, in cells of bounded size; the members of the largest component are sent once for each slice of the nodes
+  outside. The nearest pairs are verified first; runs with more than those are looked at again, until none is left.
+
+Copies are never expanded into pairs, and no pair is tried within a component.
 
 Defined cases: a null or empty text has no shingles and links with nothing; a text with fewer words than a shingle is
 one shingle; rows with a null id take part but name no component; rows that share an id and differ in text are
@@ -31,10 +39,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import Words, bytes_of, gathered, mix, pieces, scratch, written
+from hexloom.llm.common import Words, bytes_of, gathered, mix, pieces, scratch, size_of, written
 from hexloom.llm.components import components
 
 U = np.uint64
@@ -43,10 +51,10 @@ BANDS = [5]
 while BANDS[-1] < 1 << 40:
     BANDS.append(max(BANDS[-1] + 1, int(BANDS[-1] * 1.7)))
 BANDS = np.array(BANDS, np.int64)
-SHORT, BLOCK, FLUSH_KEYS, BUCKET_BYTES, SENT_ROWS = 4, 8192, 1_000_000, 4 << 20, 500_000
-PAIR, STAR, MEMBER = range(3)
-SIG = "doc_id long, node long, n long, band int, own binary, guest binary"
-SALT = U(0x5851F42D4C957F2D)
+BLOCK, BLOCK_BYTES, NEAREST, FLUSH_KEYS, BUCKET_BYTES, SENT_ROWS = 8192, 32 << 20, 16, 1_000_000, 4 << 20, 500_000
+SIG = "doc_id long, row long, node long, name binary, n long, band int, own binary, guest binary"
+MOST_NEED = 127
+SALT, TWIN = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 
 
 def shingles(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -74,16 +82,22 @@ def shingles(w: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(of, np.arange(w.texts + 1))
 
 
-def nodes_of(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+def nodes_of(h: np.ndarray, at: np.ndarray, salt: np.uint64 = SALT) -> np.ndarray:
     """A 64-bit name for each set (order-free); sets without tokens get 0."""
-    sums = np.concatenate([[U(0)], np.cumsum(mix(h + SALT))])
+    sums = np.concatenate([[U(0)], np.cumsum(mix(h + salt))])
     n = np.diff(at)
-    name = mix(sums[at[1:]] - sums[at[:-1]] + n.astype(U) * SALT)
+    name = mix(sums[at[1:]] - sums[at[:-1]] + n.astype(U) * salt)
     name[name == 0] = U(1)
     name[n == 0] = 0
     return name
 
 
+def names_of(h: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A 128-bit name for each set, whose first half is the node."""
+    both = np.stack([nodes_of(h, at), nodes_of(h, at, TWIN)], axis=1)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(both), [None, pa.py_buffer(both.tobytes())]).cast(pa.binary())
+
+
 def entries(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Band entries of sets of the given sizes: set, band, pieces, and the most tokens that a partner there may differ in.
 
@@ -108,11 +122,16 @@ def entries(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return set_of[keep], bands[keep], (wide + 3 + wide // 25)[keep], differ[keep]
 
 
-def keys_of(h: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of non-empty sketch pieces and the index of each one's set."""
+def keys_of(h: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of non-empty sketch pieces, the index of each one's set, and a byte for its entry: whether the set is a guest
+    (the upper bit), and how many keys it shares at least with any partner in the band (``MOST_NEED`` at most).
+
+    Partners differ in no more than ``differ`` pieces, and of the others no more than this set's empty ones give no key.
+    That counts pieces of the first seed, so it holds for sets which that seed serves; others share one key.
+    """
     n = np.diff(at)
     set_of, band, count, differ = entries(n, percent)
-    keys, owners = [], []
+    keys, owners, marks = [], [], []
     seed = 0
     while len(set_of):
         size = n[set_of]
@@ -130,9 +149,11 @@ def keys_of(h: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np
         owners.append(set_of[owner[full]])
         empty = count - np.add.reduceat(full.astype(np.int64), base[:-1])
         again = count < differ + empty + 1
+        need = np.where(again | (seed > 0), 1, np.minimum(count - differ - empty, MOST_NEED))
+        marks.append((need + 128 * (BANDS[band] < size))[owner[full]].astype(np.uint8))
         set_of, band, count, differ = set_of[again], band[again], count[again], differ[again]
         seed += 1
-    return (np.concatenate(keys), np.concatenate(owners)) if keys else (np.zeros(0, U), np.zeros(0, np.int64))
+    return (np.concatenate(keys), np.concatenate(owners), np.concatenate(marks)) if keys else (np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.uint8))
 
 
 def bits_of(band: int) -> int:
@@ -153,31 +174,33 @@ def _signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 n = np.diff(at)
                 band = np.searchsorted(BANDS, n)
                 own, guest = [], []
-                for k, (a, b, m, j) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), n.tolist(), band.tolist(), strict=True)):
+                for a, b, m, j in zip(at[:-1].tolist(), at[1:].tolist(), n.tolist(), band.tolist(), strict=True):
                     own.append(sketch(h[a:b], j) if m else None)
                     guest.append(sketch(h[a:b], j - 1) if m and j and m <= BANDS[j - 1] * 100 // percent else None)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(nodes_of(h, at).view(np.int64)), pa.array(n), pa.array(band, pa.int32()), pa.array(own, pa.binary()), pa.array(guest, pa.binary())], names=["doc_id", "node", "n", "band", "own", "guest"])
+                cols = [part.column("doc_id"), part.column("row"), pa.array(nodes_of(h, at).view(np.int64)), names_of(h, at), pa.array(n), pa.array(band, pa.int32()), pa.array(own, pa.binary()), pa.array(guest, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "row", "node", "name", "n", "band", "own", "guest"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIG)
+    return docs.select("doc_id", "row", "text").mapInArrow(run, SIG)
 
 
 def _blobs(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
-    """Packed (key, node) records by bucket of the key."""
+    """Packed (key, node, mark) records by bucket of the key."""
 
-    def flush(keys: list, nodes: list) -> Iterator[pa.RecordBatch]:
-        key, node = np.concatenate(keys), np.concatenate(nodes)
+    def flush(keys: list, nodes: list, marks: list) -> Iterator[pa.RecordBatch]:
+        key, node, mark = np.concatenate(keys), np.concatenate(nodes), np.concatenate(marks)
         bucket = ((key >> U(32)) * U(buckets) >> U(32)).astype(np.int64)
         order = np.argsort(bucket.astype(np.uint16 if buckets < 65536 else np.int64), kind="stable")
-        bucket, key, node = bucket[order], key[order], node[order]
+        bucket, key, node, mark = bucket[order], key[order], node[order], mark[order]
         # the upper half's leading bits are the bucket; 48 bits below tell keys apart within it
         low, high = (key & U(0xFFFFFFFF)).astype(np.uint32), (key >> U(32) & U(0xFFFF)).astype(np.uint16)
         present, first = np.unique(bucket, return_index=True)
         ends = np.append(first[1:], len(bucket))
-        cols = [[x[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)] for x in (low, high, node)]
-        yield pa.RecordBatch.from_arrays([pa.array(present), *[pa.array(c, pa.binary()) for c in cols]], names=["bucket", "low", "high", "nodes"])
+        cols = [[x[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)] for x in (low, high, node, mark)]
+        yield pa.RecordBatch.from_arrays([pa.array(present), *[pa.array(c, pa.binary()) for c in cols]], names=["bucket", "low", "high", "nodes", "marks"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nodes, held = [], [], 0
+        held: tuple[list, list, list] = ([], [], [])
+        count = 0
         for batch in batches:
             for part in pieces(batch, "text"):
                 h, at = shingles(Words(*bytes_of(part.column("text"))), size)
@@ -185,53 +208,34 @@ def _blobs(docs: DataFrame, size: int, percent: int, buckets: int) -> DataFrame:
                 _, first = np.unique(node, return_index=True)  # copies within the piece give their keys once
                 n = np.diff(at)[first]
                 h, at = h[gathered(at[first], n)], np.concatenate([[0], np.cumsum(n)])
-                key, of = keys_of(h, at, percent)
-                keys.append(key)
-                nodes.append(node[first][of])
-                held += len(key)
-                if held > FLUSH_KEYS:
-                    yield from flush(keys, nodes)
-                    keys, nodes, held = [], [], 0
-        if held:
-            yield from flush(keys, nodes)
+                key, of, mark = keys_of(h, at, percent)
+                for own, new in zip(held, (key, node[first][of], mark), strict=True):
+                    own.append(new)
+                count += len(key)
+                if count > FLUSH_KEYS:
+                    yield from flush(*held)
+                    held, count = ([], [], []), 0
+        if count:
+            yield from flush(*held)
 
-    return docs.select("text").mapInArrow(run, "bucket long, low binary, high binary, nodes binary")
+    return docs.select("text").mapInArrow(run, "bucket long, low binary, high binary, nodes binary, marks binary")
 
 
 def _runs(table: pa.Table) -> pa.Table:
-    """Of one bucket: pairs of short runs, pairs of long runs' members with their smallest, and long runs' members."""
-    cols = [np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("low", np.uint32), ("high", np.uint16), ("nodes", U))]
-    key, node = cols[0].astype(U) | cols[1].astype(U) << U(32), cols[2]
+    """Of one bucket: the members of its runs, with each run's length."""
+    cols = [np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("low", np.uint32), ("high", np.uint16), ("nodes", U), ("marks", np.uint8))]
+    key, node, mark = cols[0].astype(U) | cols[1].astype(U) << U(32), cols[2], cols[3]
     order = np.lexsort((node, key))
-    key, node = key[order], node[order]
+    key, node, mark = key[order], node[order], mark[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    key, node = key[new], node[new]
+    key, node, mark = key[new], node[new], mark[new]
     begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     length = np.diff(np.append(begin, len(key)))
-    a, b = [], []
-    for m in range(2, SHORT + 1):
-        at = begin[length == m]
-        for i in range(m):
-            for j in range(i + 1, m):
-                a.append(node[at + i])
-                b.append(node[at + j])
-    long = length > SHORT
-    at = gathered(begin[long], length[long])
-    first = np.repeat(begin[long], length[long])
-    distinct = lambda x, y: np.unique(np.stack([np.concatenate(x), np.concatenate(y)], axis=1), axis=0) if x else np.zeros((0, 2), U)
-    pair = distinct(a, b)
-    star = distinct([node[first][first != at]], [node[at][first != at]])
-    bucket = np.int64(table.column("bucket")[0].as_py())
-    names = mix(key[at] + U(bucket) * SALT).view(np.int64)
-    return pa.table(
-        {
-            "kind": pa.array(np.repeat([PAIR, STAR, MEMBER], [len(pair), len(star), len(at)]).astype(np.int32)),
-            "run": pa.concat_arrays([pa.nulls(len(pair) + len(star), pa.int64()), pa.array(names)]),
-            "a": pa.array(np.concatenate([pair[:, 0], star[:, 0], node[at]]).view(np.int64)),
-            "b": pa.concat_arrays([pa.array(np.concatenate([pair[:, 1], star[:, 1]]).view(np.int64)), pa.nulls(len(at), pa.int64())]),
-        }
-    )
+    some = length > 1
+    at = gathered(begin[some], length[some])
+    names = mix(key[at] + mix(np.full(1, table.column("bucket")[0].as_py(), U))[0]).view(np.int64)
+    return pa.table({"run": names, "length": np.repeat(length[some], length[some]), "node": node[at].view(np.int64), "need": (mark[at] & 127).astype(np.int32), "guest": pa.array(mark[at] > 127)})
 
 
 def _allowed(na: int, nb: int, percent: int) -> int:
@@ -239,15 +243,24 @@ def _allowed(na: int, nb: int, percent: int) -> int:
     return -1 if 100 * min(na, nb) < percent * max(na, nb) else (na + nb) * (100 - percent) // (100 + percent)
 
 
-def _only(sig: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One signature of each of the nodes. A short list of nodes goes to the signatures, so that these aren't shuffled."""
-    need = written(nodes.distinct(), "nodes")
-    few = need.count() <= SENT_ROWS  # 8 bytes each
-    return sig.join(F.broadcast(need) if few else need, "node", "left_semi").dropDuplicates(["node"])
+def _only(sig: DataFrame, names: DataFrame) -> DataFrame:
+    """One signature of each of the nodes. A short list of them goes to the signatures, so that these aren't shuffled."""
+    need = written(names.distinct(), "nodes")
+    few = need.count() <= SENT_ROWS  # 16 bytes each
+    return sig.join(F.broadcast(need) if few else need, "name", "left_semi").dropDuplicates(["name"])
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    return pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name")))
+
+
+def _first_pairs(members: DataFrame) -> DataFrame:
+    """Each node with the most central node of most of its runs, but for nodes that are that themselves."""
+    weight = F.sum("length").over(Window.partitionBy("name"))
+    m = written(members.select("run", "name", weight.alias("weight")), "weights")
+    centre = m.groupBy("run").agg(F.max(F.struct("weight", "name")).alias("c")).select("run", F.col("c.name").alias("a"))
+    shared = m.select("run", "name").join(centre, "run").filter("a <> name").groupBy("name", "a").agg(F.count("*").alias("k"))
+    return shared.groupBy("name").agg(F.max(F.struct("k", "a")).alias("best")).select(F.least("best.a", "name").alias("a"), F.greatest("best.a", "name").alias("b")).distinct()
 
 
 def _close(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
@@ -265,23 +278,23 @@ def _close(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     sig = written(_only(sig, _ends(pairs)), "ends")
-    side = lambda s: sig.select(F.col("node").alias(s), F.col("n").alias(s + "n"), F.col("band").alias(s + "b"), F.col("own").alias(s + "o"), F.col("guest").alias(s + "g"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    side = lambda s: sig.select(F.col("name").alias(s), F.col("n").alias(s + "n"), F.col("band").alias(s + "b"), F.col("own").alias(s + "o"), F.col("guest").alias(s + "g"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a binary, b binary")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs of nodes whose sets reach the threshold."""
-    need = written(_ends(pairs).distinct().join(reps, "node").select("node", F.col("rep").alias("doc_id")), "need")
-    few = need.count() <= SENT_ROWS  # 16 bytes each; beyond that the documents are shuffled
-    found = docs.select("doc_id", "text").join(F.broadcast(need) if few else need, "doc_id")
+    need = written(_ends(pairs).distinct().join(reps, "name").select("name", "row"), "need")
+    few = need.count() <= SENT_ROWS  # 24 bytes each; beyond that the documents are shuffled
+    found = docs.select("row", "text").join(F.broadcast(need) if few else need, "row")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 h, at = shingles(Words(*bytes_of(part.column("text"))), size)
-                right = nodes_of(h, at).view(np.int64) == part.column("node").to_numpy()
+                right = pa.array([x == y for x, y in zip(names_of(h, at).to_pylist(), part.column("name").to_pylist(), strict=True)], pa.bool_())
                 raw = [h[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(raw, pa.binary())], names=["node", "tokens"]).filter(pa.array(right))
+                yield pa.RecordBatch.from_arrays([part.column("name"), pa.array(raw, pa.binary())], names=["name", "tokens"]).filter(right)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -293,50 +306,77 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, size: int, per
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    tokens = written(found.select("node", "text").mapInArrow(sets, "node long, tokens binary").dropDuplicates(["node"]), "sets")
-    both = pairs.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a")
-    both = both.join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-    return both.mapInArrow(check, "a long, b long")
+    tokens = written(found.select("name", "text").mapInArrow(sets, "name binary, tokens binary").dropDuplicates(["name"]), "sets")
+    both = pairs.join(tokens.select(F.col("name").alias("a"), F.col("tokens").alias("x")), "a")
+    both = both.join(tokens.select(F.col("name").alias("b"), F.col("tokens").alias("y")), "b")
+    return both.mapInArrow(check, "a binary, b binary")
+
+
+def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
+    """The members of runs with several components: with their component, the run's largest one, and its numbers."""
+    known = label.select(F.col("id").alias("name"), "component")
+    m = members.join(known, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    per = m.groupBy("run", "component").agg(F.count("*").alias("size"), F.max("n").alias("n"))
+    runs = per.groupBy("run").agg(F.count("*").alias("parts"), F.sum("size").alias("all"), F.max(F.struct("size", "component")).alias("main"), F.sum(F.col("size") * F.col("size")).alias("square"), F.max("n").alias("widest"))
+    runs = runs.filter("parts > 1").select("run", "all", F.col("main.component").alias("main"), F.col("main.size").alias("inside"), (F.col("all") * F.col("all") - F.col("square")).alias("cost"), "widest")
+    return m.join(runs, "run")
+
+
+def _open(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows of mixed runs in which pairs across components must be looked for: each such pair is left in the cheapest run
+    that it shares. A node shares ``need`` runs with a partner, all of them mixed, so the costliest ``need - 1`` may go."""
+    order = Window.partitionBy("name", "guest").orderBy(F.desc("cost"), "run")
+    m = _mixed(members, label).withColumn("rank", F.row_number().over(order))
+    return m.filter("rank >= need").select(*members.columns)
 
 
 def _across(members: DataFrame, sig: DataFrame, label: DataFrame, percent: int, top: int) -> DataFrame:
-    """Pairs across components within long runs that keep to the Hamming bound, compared block by block.
+    """Pairs across components within runs that keep to the Hamming bound, compared cell by cell.
 
-    Every such pair has an end outside the block's largest component; each node outside gives its ``top`` nearest
-    partners, and ``more`` tells whether it has others.
+    Every such pair has an end outside the run's largest component; each node outside gives its ``top`` nearest
+    partners in a cell. A row without a pair names a run in which a node has others.
     """
-    m = members.join(label, F.col("node") == F.col("id"), "left").select("run", "node", F.coalesce("component", "node").alias("component"))
-    mixed = m.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high")
-    m = written(m.join(mixed.select("run", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "run"), "mixed")
-    sig = _only(sig, m.select("node"))
-    m = m.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    m = m.select("run", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    m = m.join(sig.select("node", "n", "band", "own", "guest"), "node")
+    m = _mixed(members, label)
+    block = F.least(F.lit(BLOCK), F.greatest(F.lit(64), F.floor(F.lit(BLOCK_BYTES) / F.col("widest"))))
+    blocks = lambda c: F.ceil(c / block).cast("int")
+    m = m.withColumn("out", F.col("component") != F.col("main")).withColumn("ins", blocks(F.col("inside"))).withColumn("outs", blocks(F.col("all") - F.col("inside")))
+    m = m.withColumn("slice", F.pmod(F.xxhash64("name"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("ins"))).cast("int"))
+    # cell (i, j): slice i inside with slice j outside; cell (-1 - i, j): two slices outside
+    span = lambda n: F.sequence(F.lit(0), n - 1)
+    inner = F.transform(span(F.col("outs")), lambda j: F.struct(F.col("slice").alias("i"), j.alias("j")))
+    outer = F.transform(span(F.col("ins")), lambda i: F.struct(i.alias("i"), F.col("slice").alias("j")))
+    others = F.transform(F.filter(span(F.col("outs")), lambda k: k != F.col("slice")), lambda k: F.struct((-1 - F.least(k, F.col("slice"))).alias("i"), F.greatest(k, F.col("slice")).alias("j")))
+    m = m.withColumn("cell", F.explode(F.when(F.col("out"), F.concat(outer, others)).otherwise(inner)))
+    m = written(m.select("run", "guest", "name", "component", "out", "slice", F.col("cell.i").alias("i"), F.col("cell.j").alias("j")), "mixed")
+    bits = _only(sig, m.select("name")).select("name", "n", "band", "own", F.col("guest").alias("other"))
+    m = m.join(bits, "name").withColumn("bits", F.when(F.col("guest"), F.col("other")).otherwise(F.col("own")))
+    m = m.withColumn("band", F.col("band") - F.col("guest").cast("int")).drop("own", "other", "guest")
 
     def compare(t: pa.Table) -> pa.Table:
-        node, comp, block, n, band = (t.column(c).to_numpy() for c in ("node", "component", "block", "n", "band"))
-        own, guest = t.column("own").to_pylist(), t.column("guest").to_pylist()
-        low = int(band.min())
-        rows = [k for k in range(len(node)) if band[k] == low or band[k] == low + 1 and guest[k] is not None]
-        x = np.frombuffer(b"".join(own[k] if band[k] == low else guest[k] for k in rows), np.uint64).reshape(len(rows), -1)
-        node, comp, block, n = node[rows], comp[rows], block[rows], n[rows]
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        names, sizes = np.unique(comp, return_counts=True)
-        a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-        for k in np.flatnonzero(comp != names[sizes.argmax()]):
-            other = np.flatnonzero((comp != comp[k]) & (block == (j if block[k] == i else i)))
-            other = other[100 * np.minimum(n[other], n[k]) >= percent * np.maximum(n[other], n[k])]
+        comp = t.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+        n, out, part, name = t.column("n").to_numpy(), t.column("out").to_numpy(), t.column("slice").to_numpy(), t.column("name").combine_chunks()
+        x = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(n), -1)
+        first, run = t.column("i")[0].as_py(), t.column("run")[0].as_py()
+        a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
+        for k in np.flatnonzero(out):
+            other = comp != comp[k]
+            if first < 0:
+                other &= part != part[k]
+            elif first > 0:
+                other &= ~out  # those outside meet each other in slice 0
+            other = np.flatnonzero(other & (100 * np.minimum(n, n[k]) >= percent * np.maximum(n, n[k])))
             apart = np.bitwise_count(x[other] ^ x[k]).sum(axis=1)
             near = apart <= (n[other] + n[k]) * (100 - percent) // (100 + percent)
             other, apart = other[near], apart[near]
-            best = other[np.lexsort((node[other], apart))[:top]]
-            a.append(np.minimum(node[best], node[k]))
-            b.append(np.maximum(node[best], node[k]))
-            more.append(np.full(len(best), len(other) > top))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "more": np.concatenate(more)})
+            more |= len(other) > top
+            best = other[np.argsort(apart, kind="stable")[:top]]
+            a.append(np.full(len(best), k))
+            b.append(best)
+        a, b = pa.array(np.concatenate(a)), pa.array(np.concatenate(b))
+        rows = pa.table({"run": pa.nulls(len(a), pa.int64()), "a": name.take(a), "b": name.take(b)})
+        return pa.concat_tables([rows, pa.table({"run": [run], "a": pa.nulls(1, pa.binary()), "b": pa.nulls(1, pa.binary())})]) if more else rows
 
-    return m.groupBy("run", "i", "j").applyInArrow(compare, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more"))
+    return m.groupBy("run", "band", "i", "j").applyInArrow(compare, "run long, a binary, b binary")
 
 
 def join(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> DataFrame:
@@ -347,34 +387,33 @@ def join(docs: DataFrame, size: int = SHINGLE, percent: int = 80) -> DataFrame:
 
 def _join(docs: DataFrame, size: int, percent: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     sig = written(_signatures(docs, size, percent), "signatures")
-    some = sig.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    some = sig.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.first("node").alias("node"), F.first("n").alias("n"))
     reps = written(some, "reps")
-    buckets = max(1, min(1 << 20, -(-_size(docs) // BUCKET_BYTES)))
-    found = written(_blobs(docs, size, percent, buckets).groupBy("bucket").applyInArrow(_runs, "kind int, run long, a long, b long"), "runs")
-    short = found.filter(F.col("kind") == PAIR).select("a", "b")
-    # of the smallest nodes of its long runs, a node is first paired with the one it shares most keys with
-    star = found.filter(F.col("kind") == STAR).groupBy("a", "b").count().groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
-    pairs = written(_close(written(short.unionByName(star).distinct(), "found"), sig, percent), "pairs")
+    buckets = max(1, -(-size_of(docs) // BUCKET_BYTES))
+    found = written(_blobs(docs, size, percent, buckets).groupBy("bucket").applyInArrow(_runs, "run long, length long, node long, need int, guest boolean"), "runs")
+    # the two sets of an equal 64-bit node would both be members
+    members = written(found.join(reps.select("node", "name", "n"), "node").drop("node"), "members")
+    pairs = written(_close(_first_pairs(members), sig, percent), "pairs")
     label = components(_verified(pairs, docs, reps, size, percent))
-    members = found.filter(F.col("kind") == MEMBER).select("run", F.col("a").alias("node"))
-    tried = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    top, some = 8, True  # the first round looks at a quarter of the runs, which joins most of what can be joined
+    members, tried, top = written(_open(members, label), "open"), pairs, NEAREST
     while not members.isEmpty():
-        near = _across(members.filter("pmod(run, 4) = 0") if some else members, sig, label, percent, top)
-        near = written(near, "near")
-        new = written(near.select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not new.isEmpty():
-            label = written(_merged(label, written(_verified(new, docs, reps, size, percent), "links")), "label")
-            tried = tried.unionByName(new)
-        elif not some and near.filter("more").isEmpty():
-            break  # every pair in a long run is in one component, was verified, or can't link
-        top, some = top * 8, False
-    label = label.select(F.col("id").alias("node"), "component")
-    least = label.join(reps, "node").groupBy("component").agg(F.min("rep").alias("least"))
-    label = label.join(least, "component").select("node", "least")
-    out = sig.select("doc_id", "node", "n").join(reps, "node", "left").join(label, "node", "left")
-    return written(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "rep", "doc_id").alias("component_id")), "components", keep=True)
+        near = written(_across(members, sig, label, percent, top), "near")
+        pairs = near.filter("run IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not pairs.isEmpty():
+            label = written(_merged(label, written(_verified(pairs, docs, reps, size, percent), "links")), "label")
+            tried = tried.unionByName(pairs)
+        # all pairs of the other runs were given out; those of these that are still in two components come next
+        members = written(members.join(near.filter("run IS NOT NULL").select("run").distinct(), "run", "left_semi"), "open")
+        top *= 8
+    label = label.select(F.col("id").alias("name"), "component")
+    least = label.join(reps, "name").groupBy("component").agg(F.min("rep").alias("least"))
+    label = label.join(least, "component").select("name", "least")
+    groups = reps.join(label, "name", "left").select("name", F.coalesce("least", "rep").alias("least"))
+    out = sig.select("doc_id", F.when(F.col("n") > 0, F.col("name")).alias("name"), "n").join(groups, "name", "left")
+    return written(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")), "components", keep=True)
 
 
 def _merged(label: DataFrame, edges: DataFrame) -> DataFrame:
@@ -388,12 +427,6 @@ def _merged(label: DataFrame, edges: DataFrame) -> DataFrame:
     return label.unionByName(lone).join(over, "component", "left").select("id", F.coalesce("final", "component").alias("component"))
 
 
-def _size(df: DataFrame) -> int:
-    """Catalyst's estimate of the input's size, or the text's real size where there is no estimate."""
-    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return n if n < 1 << 50 else int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     """``op8_jaccard_join``: five-word shingles, links at 80 percent."""
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -51,12 +51,61 @@ def test_against_brute_force(spark):
 
 
 def test_long_runs_and_blocks(spark, monkeypatch):
-    monkeypatch.setattr(J, "SHORT", 2)
+    monkeypatch.setattr(J, "NEAREST", 1)
     monkeypatch.setattr(J, "BLOCK", 7)
     rows = near_copies(2, 2, 60, [60, 70])
     assert result(spark, rows) == brute(rows)
 
 
+def test_overlapping_runs_of_unlinked_documents(spark, monkeypatch):
+    """Chains of documents that drift apart, with many common passages: long runs of many components."""
+    monkeypatch.setattr(J, "NEAREST", 2)
+    monkeypatch.setattr(J, "BLOCK", 16)
+    rng = random.Random(5)
+    rows = []
+    for _ in range(4):
+        t = [f"w{rng.randrange(300)}" for _ in range(120)]
+        for k in range(80):
+            t = list(t)
+            for _ in range(1 + k % 4):
+                t[rng.randrange(len(t))] = f"w{rng.randrange(300)}"
+            rows.append((len(rows), " ".join(t)))
+    rng.shuffle(rows)
+    got, want = result(spark, rows), brute(rows)
+    assert got == want
+    assert len({c for _, _, c in want}) > 8
+
+
+def test_partners_share_as_many_keys_as_needed():
+    rng = np.random.default_rng(8)
+    seen = 0
+    for size in (9, 33, 60, 120, 300, 700):
+        for _ in range(10):
+            a = np.unique(rng.integers(0, 1 << 60, size).astype(np.uint64))
+            b = np.unique(np.concatenate([a[size // 10 :], rng.integers(0, 1 << 60, size // 10).astype(np.uint64)]))
+            shared = len(np.intersect1d(a, b))
+            if 100 * shared < 80 * (len(a) + len(b) - shared):
+                continue
+            keys = [J.keys_of(x, np.array([0, len(x)]), 80) for x in (a, b)]
+            for k, _, mark in keys:
+                both = np.isin(k, keys[1][0] if k is keys[0][0] else keys[0][0])
+                # of the entries in which the two meet, one keeps to the bound
+                least = [(both & (mark == m)).sum() >= (m & 127) for m in np.unique(mark)]
+                assert any(least)
+                seen += any(int(m & 127) > 3 for m in mark)
+    assert seen > 20
+
+
+def test_null_ids_join_what_they_link(spark):
+    words = [f"w{k}" for k in range(60)]
+    far, mid = list(words), list(words)
+    mid[10] = "x"
+    far[10] = "x"
+    far[40] = "y"
+    got = J.join(spark.createDataFrame([(5, " ".join(words)), (None, " ".join(mid)), (7, " ".join(far))], SCHEMA))
+    assert {r.component_id for r in got.collect()} == {5}
+
+
 def test_defined_cases(spark):
     rows = [(1, None), (2, ""), (3, " \n"), (4, "a b"), (5, "A  B"), (6, "a b c d e"), (7, "a b c d e"), (8, "a b c d e f g h i"), (9, "x b c d e f g h i")]
     want = {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 4), (6, 1, 6), (7, 1, 6), (8, 5, 8), (9, 5, 9)}
