@@ -1,9 +1,15 @@
 """Encoding and decoding with a SentencePiece model on the tokenizers library.
 
-``read_model`` parses the model's protobuf itself. ``backend`` rebuilds the model for the tokenizers library: the
-normaliser (character map, extra spaces, dummy prefix, metaspace marker), the pieces with their scores (unigram, or
-BPE with merges in the order of the scores) and byte fallback. ``Codec`` encodes batches on several threads and decodes
-by gathering the pieces' bytes. ``parity`` compares all with the sentencepiece library itself.
+``parse`` reads the model's protobuf itself. ``backend`` rebuilds the model for the tokenizers library: the normaliser
+(character map, extra spaces, dummy prefix, metaspace marker), the pieces with their scores (unigram, or BPE with
+merges in the order of the scores) and byte fallback. ``Codec`` encodes batches on several threads and decodes by
+gathering the pieces' bytes. ``parity`` compares all with the sentencepiece library itself.
+
+Only normal and user-defined pieces may match a text. Under a unigram model the others stand in the library's
+vocabulary under names that no text is likely to hold, and unknown characters are cut into byte pieces here. Texts of a
+model with user-defined symbols are normalised here, around the symbols, since the prefix stands before a symbol, too.
+
+The model's file is read where the plan is made, and its bytes travel with the tasks: executors need no copy of it.
 
 Where no piece holds a marker after another character and the normaliser only escapes spaces, no piece can span the
 start of a run of spaces. Texts are then cut there, and a segment that occurs again in a batch is encoded once.
@@ -15,6 +21,7 @@ strings inside a text are ordinary text; repeated rows are encoded alike; an emp
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -74,10 +81,13 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
-def read_model(path: str = MODEL) -> Model:
-    """Parse a model file: pieces, trainer and normaliser specifications."""
+def file_bytes(path: str = MODEL) -> bytes:
     with open(path, "rb") as f:
-        data = f.read()
+        return f.read()
+
+
+def parse(data: bytes) -> Model:
+    """Pieces, trainer and normaliser specifications of a model file."""
     m = Model()
     for number, value in _fields(data):
         if number == 1:
@@ -93,13 +103,28 @@ def read_model(path: str = MODEL) -> Model:
     return m
 
 
-def backend(m: Model, prefix: bool = True):
-    """The tokenizers library's twin of the model. ``prefix``: put the dummy prefix before each text."""
-    from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
+def normaliser(m: Model, prefix: bool = True):
+    """The tokenizers library's twin of the model's normaliser. ``prefix``: put the dummy prefix before each text."""
+    from tokenizers import Regex, normalizers
+
+    steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
+    if m.remove_extra:
+        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Replace(Regex(r"\A | \z"), "")]
+    if m.dummy_prefix and prefix:
+        steps.append(normalizers.Prepend(MARK if m.escape else " "))
+    if m.escape:
+        steps.append(normalizers.Replace(" ", MARK))
+    return normalizers.Sequence(steps)
+
+
+def backend(m: Model):
+    """The tokenizers library's twin of the model, without a normaliser."""
+    from tokenizers import AddedToken, Tokenizer, models
 
     unk = next((k for k, p in enumerate(m.pieces) if p[2] == UNKNOWN), 0)
     if m.kind == UNIGRAM:
-        model = models.Unigram([(p, s) for p, s, _ in m.pieces], unk, byte_fallback=m.byte_fallback)
+        # ids are places in the list, so pieces that mustn't match keep their place under another name
+        model = models.Unigram([(p if t in (NORMAL, USER) else f"\U0010FFFE{k}\U0010FFFF", s) for k, (p, s, t) in enumerate(m.pieces)], unk, byte_fallback=False)
     elif m.kind == BPE:
         vocab = {p: k for k, (p, _, _) in enumerate(m.pieces)}
         part = {p for p, _, t in m.pieces if t in (NORMAL, USER)}
@@ -112,15 +137,6 @@ def backend(m: Model, prefix: bool = True):
     else:
         raise ValueError("only unigram and BPE models can be rebuilt")
     tok = Tokenizer(model)
-    steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
-    if m.remove_extra:
-        steps += [normalizers.Replace(Regex(" {2,}"), " "), normalizers.Strip()]
-    if m.dummy_prefix and prefix:
-        steps.append(normalizers.Prepend(MARK if m.escape else " "))
-    if m.escape:
-        steps.append(normalizers.Replace(" ", MARK))
-    tok.normalizer = normalizers.Sequence(steps)
-    tok.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), decoders.Strip(" ", 1, 0)])
     tok.add_tokens([AddedToken(p, normalized=False) for p, _, t in m.pieces if t == USER])
     return tok
 
@@ -128,13 +144,24 @@ def backend(m: Model, prefix: bool = True):
 class Codec:
     """Encoder and decoder of whole batches."""
 
-    def __init__(self, path: str = MODEL, threads: int = 2):
+    def __init__(self, data: bytes, threads: int = 2):
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
-        self.model = m = read_model(path)
-        plain = not m.charsmap and not m.remove_extra and m.escape and not any(t == USER for *_, t in m.pieces)
+        self.model = m = parse(data)
+        symbols = sorted((p for p, _, t in m.pieces if t == USER), key=len, reverse=True)
+        self.symbols = re.compile("(" + "|".join(map(re.escape, symbols)) + ")") if symbols else None
+        plain = not m.charsmap and not m.remove_extra and m.escape and not symbols
         self.segments = plain and not any(MARK in p.lstrip(MARK) for p, _, t in m.pieces if t == NORMAL)
-        self.tok = backend(m, prefix=not self.segments)
+        self.tok = backend(m)
+        if not symbols:
+            self.tok.normalizer = normaliser(m, prefix=not self.segments)
+        elif m.charsmap:
+            from tokenizers import normalizers
+
+            self.chars = normalizers.Precompiled(m.charsmap)
+        self.unknown = next((k for k, p in enumerate(m.pieces) if p[2] == UNKNOWN), 0)
+        of_byte = {int(p[3:5], 16): k for k, (p, _, t) in enumerate(m.pieces) if t == BYTE}
+        self.of_byte = of_byte if m.kind == UNIGRAM and m.byte_fallback and len(of_byte) == 256 else None
         raw = []
         for p, _, t in m.pieces:
             raw.append(bytes([int(p[3:5], 16)]) if t == BYTE else b"" if t == CONTROL else " ⁇ ".encode() if t == UNKNOWN else p.replace(MARK, " ").encode())
@@ -142,9 +169,28 @@ class Codec:
         self.at = np.concatenate([[0], np.cumsum(self.size)[:-1]])
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
 
+    def _normal(self, text: str) -> str:
+        """A text of a model with symbols, normalised around these."""
+        m = self.model
+        if m.charsmap:
+            parts = self.symbols.split(text)
+            parts[::2] = [self.chars.normalize_str(p) for p in parts[::2]]
+            text = "".join(parts)
+        if m.remove_extra:
+            text = re.sub(" {2,}", " ", text).strip(" ")
+        if m.dummy_prefix and text:
+            text = " " + text
+        return text.replace(" ", MARK) if m.escape else text
+
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and each one's number of ids."""
+        if self.symbols is not None:
+            texts = [self._normal(t) for t in texts]
         got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.of_byte is not None:
+            some = [k for k, ids in enumerate(got) if self.unknown in ids]
+            for k, e in zip(some, self.tok.encode_batch([texts[k] for k in some], add_special_tokens=False), strict=True):
+                got[k] = [x for i, t in zip(e.ids, e.tokens, strict=True) for x in ([self.of_byte[b] for b in t.encode()] if i == self.unknown else [i])]
         n = np.fromiter(map(len, got), np.int64, len(got))
         return np.fromiter((i for ids in got for i in ids), np.int32, int(n.sum())), n
 
@@ -192,9 +238,14 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def codec(path: str = MODEL, threads: int = 2) -> Codec:
-    """One codec for each Python worker."""
-    return Codec(path, threads)
+def codec(data: bytes | None = None, threads: int = 2) -> Codec:
+    """One codec of a model file's bytes for each Python worker."""
+    return Codec(file_bytes() if data is None else data, threads)
+
+
+def _sent(df: DataFrame, path: str):
+    """The model file's bytes, on their way to the tasks: some 10 bytes a piece."""
+    return df.sparkSession.sparkContext.broadcast(file_bytes(path))
 
 
 def parity(texts: list[str], path: str = MODEL) -> list[int]:
@@ -202,7 +253,7 @@ def parity(texts: list[str], path: str = MODEL) -> list[int]:
     import sentencepiece
 
     theirs = sentencepiece.SentencePieceProcessor(model_file=path)
-    ours = codec(path)
+    ours = codec(file_bytes(path))
     ids, offsets = ours.encode(pa.array(texts, pa.string()))
     back = ours.decode(ids, offsets)
     bad = []
@@ -219,9 +270,10 @@ def encode(df: DataFrame, text: str = "text", ids: str = "token_ids", path: str
 
     schema = StructType([*[f for f in df.schema.fields if f.name != ids], StructField(ids, ArrayType(IntegerType()))])
     names = [f.name for f in schema.fields[:-1]]
+    sent = _sent(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, threads)
+        c = codec(sent.value, threads)
         for batch in batches:
             for part in pieces(batch, text):
                 out, offsets = c.encode(part.column(text))
@@ -238,9 +290,10 @@ def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded", path: s
 
     schema = StructType([*[f for f in df.schema.fields if f.name != text], StructField(text, StringType())])
     names = [f.name for f in schema.fields[:-1]]
+    sent = _sent(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -258,9 +311,10 @@ def decode(df: DataFrame, ids: str = "token_ids", text: str = "decoded", path: s
 def digests(df: DataFrame, path: str = MODEL, threads: int = 2) -> DataFrame:
     """Per document: number of ids, those of byte pieces, a 64-bit digest of the id sequence, and whether decoding
     gives the text back."""
+    sent = _sent(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path, threads)
+        c = codec(sent.value, threads)
         is_byte = np.array([t == BYTE for *_, t in c.model.pieces])
         for batch in batches:
             for part in pieces(batch, "text"):

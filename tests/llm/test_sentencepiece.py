@@ -49,19 +49,50 @@ def _model(pieces, kind, dummy, extra, fallback):
     return out + part(3, part(1, b"identity") + flag(3, dummy) + flag(4, extra) + flag(5, True))
 
 
-@pytest.mark.parametrize(("dummy", "extra", "fallback"), [(True, False, False), (True, True, False), (False, False, True)])
-def test_a_unigram_model(tmp_path, dummy, extra, fallback):
-    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
-    if fallback:
-        pieces += [(f"<0x{b:02X}>", -20.0, 6) for b in range(256)]
-    pieces += [(p, -1.0 - 0.37 * k, 1) for k, p in enumerate(["▁the", "▁", "he", "t", "h", "e", "▁c", "at", "a", "c", "▁cat", "th", "s", "▁▁"])]
-    path = tmp_path / "u.model"
-    path.write_bytes(_model(pieces, 1, dummy, extra, fallback))
+def _same(tmp_path, pieces, kind, dummy, extra, fallback, texts):
+    path = tmp_path / "own.model"
+    path.write_bytes(_model(pieces, kind, dummy, extra, fallback))
     theirs = sentencepiece.SentencePieceProcessor(model_file=str(path))
-    codec = S.Codec(str(path))
-    texts = ["the cat", " the  cats", "hat", "thecat at the", "cat  "] + (["zé the"] if fallback else [])
+    codec = S.Codec(path.read_bytes())
     ids, at = codec.encode(pa.array(texts))
-    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [theirs.encode(t) for t in texts]
+    for text, a, b in zip(texts, at[:-1], at[1:], strict=True):
+        assert ids[a:b].tolist() == theirs.encode(text), text
+
+
+WORDS = ["▁the", "▁", "he", "t", "h", "e", "▁c", "at", "a", "c", "▁cat", "th", "s", "▁▁"]
+SIGNS = ["<", ">", "/", "0", "x", "4", "1", "u"]
+
+
+def _pieces(fallback, symbols=(), missing=()):
+    out = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+    if fallback:
+        out += [(f"<0x{b:02X}>", -20.0, 6) for b in range(256)]
+    out += [(p, 0.0, 4) for p in symbols]
+    return out + [(p, -1.0 - 0.37 * k, 1) for k, p in enumerate(WORDS + [s for s in SIGNS if s not in missing])]
+
+
+@pytest.mark.parametrize(("dummy", "extra", "fallback"), [(True, False, False), (True, True, False), (False, False, True), (True, True, True)])
+def test_a_unigram_model(tmp_path, dummy, extra, fallback):
+    texts = ["the cat", " the  cats", "hat", "thecat at the", "cat  ", "", " ", "\ta\n"]
+    texts += ["the <s> cat", "</s>", "<0x41> he", "<unk>the<s>", "a<s>"] + (["zé the", "é<0x41>é", "🎉🎉 cat"] if fallback else [])
+    _same(tmp_path, _pieces(fallback), 1, dummy, extra, fallback, texts)
+    _same(tmp_path, _pieces(fallback, missing="<0"), 1, dummy, extra, fallback, texts)
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize(("dummy", "extra"), [(True, False), (True, True), (False, False)])
+def test_user_symbols(tmp_path, kind, dummy, extra):
+    texts = ["<u1> the", "<u1>", "the<u1>cat", " <u1> <u12>  the ", "<u12><u1>cat", "the <s> <0x41> <u1", "zé<u1>", "", "cat"]
+    _same(tmp_path, _pieces(True, ["<u1>", "<u12>"]), kind, dummy, extra, True, texts)
+
+
+def test_control_strings_are_text_under_bpe(tmp_path):
+    _same(tmp_path, _pieces(True), 2, True, False, True, ["<s> the </s>", "<0x41>", "<unk>", "zé <s>"])
+
+
+def test_very_long_text():
+    text = " ".join(f"word{k % 977}é" for k in range(60_000))
+    assert S.parity([text, "a" * 5_000]) == []
 
 
 def test_frames(spark):
@@ -71,3 +102,4 @@ def test_frames(spark):
     rows = S.digests(df.select("doc_id", "text")).collect()
     assert len(rows) == 4 and all(r.round_trip for r in rows) and {r.n_tokens for r in rows if r.doc_id != 1} == {0}
     assert S.digests(df.limit(0)).count() == 0
+    assert S.encode(df.limit(0)).count() == 0 and S.decode(S.encode(df.limit(0))).count() == 0
