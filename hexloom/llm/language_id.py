@@ -5,12 +5,15 @@ A known word scores its log frequency in each language. An unseen word is cut in
 known n-grams. A text's score is the sum over its words; the best language's posterior probability is the confidence.
 
 ``train`` is a classifier's fit: it reads at most about ``MAX_DOCS`` labelled rows, chosen by a hash of the id, as many
-of each language (all of a language that has fewer), and keeps the ``MAX_WORDS`` and ``MAX_GRAMS`` most frequent
-entries, so the model that goes to every task is bounded (12 to 40 bytes an entry) whatever the corpus. Prediction covers whole texts of all rows and shuffles nothing.
+of each language (all of a language that has fewer), and keeps every word and n-gram of them. That bound is the only
+one, so the model that goes to every task is bounded whatever the corpus. It is sparse: an entry costs 16 bytes and 8
+more for each language that it occurs in, and languages that it doesn't occur in share one value by kind, so thousands
+of values of ``lang`` do no harm. Prediction covers whole texts of all rows and shuffles nothing.
 
 Defined cases: a text that is null, empty or without a letter is ``und`` with score 0; ties go to the language that
-sorts first; rows without a language teach nothing, a language without counted entries is no answer,
-and with no labelled row every text is ``und``; repeated rows each get a row; an empty table gives no rows.
+sorts first; rows without a language teach nothing, a language without counted entries is no answer, and with no
+labelled row every text is ``und``; repeated rows each get a row; an empty table gives no rows. ``predict`` replaces
+columns named ``lang_pred`` and ``lang_score``; the pipeline's stage adds none and keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -24,9 +27,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import Words, bytes_of, gathered, mix, pieces, remainder, scratch, span_hash, stratified, written
+from hexloom.llm.common import Words, bytes_of, gathered, mix, pieces, remainder, span_hash, stratified
 
-MAX_DOCS, MAX_WORDS, MAX_GRAMS, LONGEST = 12_000, 1 << 18, 1 << 18, 5
+MAX_DOCS, LONGEST, ADDED = 12_000, 5, 0.1
 #: After lower-casing, words are runs of a-z and of bytes beyond ASCII.
 _BREAKS = np.ones(256, bool)
 _BREAKS[97:123] = _BREAKS[128:] = False
@@ -48,39 +51,49 @@ def _grams(w: Words, start: np.ndarray, end: np.ndarray, n: int) -> tuple[np.nda
 
 @dataclass
 class Model:
-    """Sorted hashes of known words and n-grams with their log frequencies in each language."""
+    """Sorted hashes of words and n-grams, the languages that each occurs in, and how much more than ``base`` (the log
+    frequency of what does not occur, by kind and language) it scores there. Kind 0 is words, kind n is n-grams."""
 
     langs: list[str]
-    words: np.ndarray
-    word_logs: np.ndarray
-    grams: np.ndarray
-    gram_logs: np.ndarray
-
-    def word_scores(self, w: Words, start: np.ndarray, end: np.ndarray, key: np.ndarray) -> np.ndarray:
-        """Log frequencies of words by language."""
-        out = np.zeros((len(key), len(self.langs)))
-        at, known = _find(self.words, key)
-        out[known] = self.word_logs[at[known]]
-        left = np.flatnonzero(~known)
-        for n in range(LONGEST, 0, -1):
-            if not len(left):
-                break
-            grams, of = _grams(w, start[left], end[left], n)
-            at, known = _find(self.grams, grams)
-            of, at = of[known], at[known]
-            hits = np.bincount(of, minlength=len(left))
-            for j in range(len(self.langs)):
-                total = np.bincount(of, weights=self.gram_logs[at, j], minlength=len(left))
-                out[left, j] = np.where(hits, total / np.maximum(hits, 1), 0)
-            left = left[hits == 0]
-        return out
+    keys: list[np.ndarray]
+    first: list[np.ndarray]
+    lang: list[np.ndarray]
+    more: list[np.ndarray]
+    base: np.ndarray
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         w = _words(column)
-        key, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-        scores = self.word_scores(w, w.start[first], w.end[first], key)
-        of = w.text_of()
-        total = np.stack([np.bincount(of, weights=scores[which, j], minlength=w.texts) for j in range(len(self.langs))], axis=1)
+        size = len(self.langs)
+        word, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
+        # how often each distinct word stands in each text
+        spot, times = np.unique(w.text_of() * max(1, len(word)) + which, return_counts=True)
+        text, entry = spot // max(1, len(word)), spot % max(1, len(word))
+        total = np.zeros(w.texts * size)
+        left = np.arange(len(word))  # words that no kind has scored so far
+        for kind in [0, *range(LONGEST, 0, -1)]:
+            grams, of = (word[left], np.arange(len(left))) if kind == 0 else _grams(w, w.start[first[left]], w.end[first[left]], kind)
+            at, known = _find(self.keys[kind], grams)
+            at, of = at[known], of[known]
+            hits = np.bincount(of, minlength=len(left))
+            some = np.flatnonzero(hits)
+            place = np.full(len(word), -1)
+            place[left[some]] = some
+            mine = np.flatnonzero(place[entry] >= 0)
+            of_text, of_word, n = text[mine], place[entry[mine]], times[mine]
+            total += (np.bincount(of_text, weights=n, minlength=w.texts)[:, None] * self.base[kind]).reshape(-1)
+            order = np.argsort(of, kind="stable")
+            at, begin = at[order], np.cumsum(hits) - hits
+            for a in range(0, len(mine), 1 << 17):  # bounded steps: a word's n-grams times its texts
+                x, y, m = of_text[a : a + (1 << 17)], of_word[a : a + (1 << 17)], n[a : a + (1 << 17)]
+                gram = at[gathered(begin[y], hits[y])]
+                row, weight = np.repeat(x, hits[y]), np.repeat(m / hits[y], hits[y])
+                lo, count = self.first[kind][gram], np.diff(self.first[kind])[gram]
+                spread = gathered(lo, count)
+                total += np.bincount(np.repeat(row, count) * size + self.lang[kind][spread], weights=np.repeat(weight, count) * self.more[kind][spread], minlength=len(total))
+            left = left[hits == 0]
+            if not len(left):
+                break
+        total = total.reshape(w.texts, size)
         best = total.argmax(axis=1)
         sure = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
         letter = pc.fill_null(pc.match_substring_regex(column, r"\p{L}"), False).to_numpy(zero_copy_only=False)
@@ -94,13 +107,8 @@ def _find(table: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == key
 
 
-def train(df: DataFrame, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def train(df: DataFrame, max_docs: int = MAX_DOCS) -> Model:
     """Learn from ``text`` and non-null ``lang`` of ``df``; ``doc_id`` only chooses the bounded sample."""
-    with scratch():
-        return _train(df, max_docs, max_words, max_grams)
-
-
-def _train(df: DataFrame, max_docs: int, max_words: int, max_grams: int) -> Model:
     rows = df.select(F.col("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("lang IS NOT NULL AND text IS NOT NULL")
     per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(per)
@@ -115,45 +123,33 @@ def _train(df: DataFrame, max_docs: int, max_words: int, max_grams: int) -> Mode
                 for kind, keys, langs_of in _kinds(w, lang):
                     for j in np.unique(langs_of):
                         key, n = np.unique(keys[langs_of == j], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind)), pa.array(key.view(np.int64)), pa.array(np.full(len(key), j)), pa.array(n)], names=["kind", "key", "lang", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(np.full(len(key), j, np.int32)), pa.array(n)], names=["kind", "key", "lang", "n"])
 
     def _kinds(w: Words, lang: np.ndarray):
         yield 0, w.hash, lang
-        pair, first = np.unique(mix(w.hash) + lang.astype(np.uint64), return_index=True)
+        _, first = np.unique(mix(w.hash) + lang.astype(np.uint64), return_index=True)
         for n in range(1, LONGEST + 1):
             grams, of = _grams(w, w.start[first], w.end[first], n)
             yield n, grams, lang[first][of]
 
-    if not langs:
-        return Model([], *[np.zeros(0, np.uint64), np.zeros((0, 0))] * 2)
-    counts = rows.select("text", "lang").mapInArrow(run, "kind long, key long, lang long, n long")
-    counts = counts.groupBy("kind", "key").agg(*[F.sum(F.when(F.col("lang") == j, F.col("n")).otherwise(0)).alias(f"n{j}") for j in range(len(langs))], F.sum("n").alias("n"))
-    counts = written(counts.filter("n > 1"), "counts")
+    counts = rows.select("text", "lang").mapInArrow(run, "kind int, key long, lang int, n long")
+    got = counts.groupBy("kind", "key", "lang").agg(F.sum("n").alias("n")).toArrow()  # entries of max_docs texts
+    kind, lang, n = (got.column(c).to_numpy() for c in ("kind", "lang", "n"))
+    key = got.column("key").to_numpy().view(np.uint64)
     # a language of which nothing was counted would win with its smoothed values for rare words
-    sums = counts.agg(*[F.sum(f"n{j}").alias(f"n{j}") for j in range(len(langs))]).first()
-    some = [j for j in range(len(langs)) if sums[f"n{j}"]]
-    langs = [langs[j] for j in some]
-    if not langs:
-        return Model([], *[np.zeros(0, np.uint64), np.zeros((0, 0))] * 2)
-    tables = []
-    for these, most in ((F.col("kind") == 0, max_words), (F.col("kind") > 0, max_grams)):
-        least, total = 2, 0
-        for r in counts.filter(these).groupBy("n").agg(F.count("*").alias("entries")).orderBy(F.desc("n")).toLocalIterator():
-            total += r["entries"]
-            if total > most:
-                least = r["n"] + 1
-                break
-        got = counts.filter(these & (F.col("n") >= least)).toArrow()
-        key = got.column("key").to_numpy().view(np.uint64)
-        n = np.stack([got.column(f"n{j}").to_numpy().astype(float) for j in some], axis=1) if len(key) else np.zeros((0, len(langs)))
-        kind = got.column("kind").to_numpy()
-        logs = np.zeros_like(n)
-        for k in np.unique(kind):
-            own = kind == k
-            logs[own] = np.log((n[own] + 0.1) / (n[own].sum(axis=0) + 0.1 * own.sum()))
-        order = np.argsort(key)
-        tables += [key[order], logs[order]]
-    return Model(langs, *tables)
+    some, lang = np.unique(lang, return_inverse=True)
+    model = Model([langs[j] for j in some], [], [], [], [], np.zeros((LONGEST + 1, len(some))))
+    for k in range(LONGEST + 1):
+        own = np.flatnonzero(kind == k)
+        own = own[np.lexsort((lang[own], key[own]))]
+        keys, first = np.unique(key[own], return_index=True)
+        model.keys.append(keys)
+        model.first.append(np.append(first, len(own)))
+        model.lang.append(lang[own].astype(np.int32))
+        model.more.append(np.log(n[own] / ADDED + 1).astype(np.float32))
+        sums = np.bincount(lang[own], weights=n[own], minlength=len(some))
+        model.base[k] = np.log(ADDED / (sums + ADDED * max(1, len(keys))))
+    return model
 
 
 def predict(df: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
@@ -189,6 +185,14 @@ LEAST_SCORE = 0.5
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: documents that have no language, or no clear one, go."""
-    model = train(docs)
-    kept = predict(docs, model).filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE))
-    return kept.select(*docs.columns)
+    sent = spark.sparkContext.broadcast(train(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                if m.langs:
+                    pred, score = m.predict(part.column("text"))
+                    yield part.filter(pa.array((np.array(pred) != "und") & (score >= LEAST_SCORE)))
+
+    return docs.mapInArrow(run, docs.schema)
