@@ -8,6 +8,11 @@ stand in the document.
 Items go to every task in blocks of at most ``BLOCK_BYTES`` of text, so what is broadcast is bounded; each block costs
 one scan of the documents, which are never shuffled.
 
+Two texts that repeat themselves share seeds by the product of their lengths. Beyond ``MOST_PAIRS`` of them (for a
+document and an item) they are not listed: the greatest length of which a match is left is then found by bisection
+over hashes of all windows, and the matches of that length are marked in their order, which gives the same tiles in
+memory proportional to the texts.
+
 Words are runs of letters and digits, lower-cased. Defined cases: null or empty texts have no words; items with fewer
 than ``MIN_MATCH`` words can't be told from common phrases and are never reported; items with null ids take part;
 repeated rows are reported once each; of equally long matches the one that begins first in the item, then in the
@@ -25,9 +30,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import Words, bytes_of, mix, pieces
+from hexloom.llm.common import Words, bytes_of, gathered, mix, pieces
 
-MIN_MATCH, COVERAGE, BLOCK_BYTES = 5, 0.5, 4 << 20
+MIN_MATCH, COVERAGE, BLOCK_BYTES, MOST_PAIRS = 5, 0.5, 16 << 20, 200_000
 SCHEMA = "doc_id long, item_id long, coverage double, n_tiles long, matched_words long, item_words long"
 _BREAKS = np.ones(256, bool)
 _BREAKS[48:58] = _BREAKS[97:123] = _BREAKS[128:] = False
@@ -90,6 +95,64 @@ def tiles(item: np.ndarray, doc: np.ndarray, i: np.ndarray, j: np.ndarray, least
     return out
 
 
+def _all_windows(tokens: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all windows of any length, in constant time each."""
+    base = np.uint64(0x9E3779B97F4A7C15 | 1)
+    inverse = np.uint64(pow(int(base), -1, 1 << 64))
+    up = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(len(tokens), base))])
+    down = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(len(tokens), inverse))])
+    sums = np.concatenate([[np.uint64(0)], np.cumsum(mix(tokens) * up[:-1])])
+    return mix((sums[n:] - sums[: len(sums) - n]) * down[: len(sums) - n])
+
+
+def _free(used: np.ndarray, n: int) -> np.ndarray:
+    """Where windows of ``n`` unmarked words begin."""
+    total = np.concatenate([[0], np.cumsum(used)])
+    return np.flatnonzero(total[n:] == total[: len(total) - n])
+
+
+def tiles_by_length(item: np.ndarray, doc: np.ndarray, least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
+    """The same as ``tiles``, from the texts themselves, in memory proportional to their lengths."""
+    used_i, used_j = np.zeros(len(item), bool), np.zeros(len(doc), bool)
+
+    def shared(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Free windows of ``n`` words that both have: places and hashes in the item, and in the document."""
+        i, j = _free(used_i, n), _free(used_j, n)
+        x, y = _all_windows(item, n)[i], _all_windows(doc, n)[j]
+        in_i, in_j = np.isin(x, y), np.isin(y, x)
+        return i[in_i], x[in_i], j[in_j], y[in_j]
+
+    out = []
+    most = min(len(item), len(doc))
+    while most >= least:
+        low, high = least - 1, most  # a match of ``low`` words is left, or low is too short; none of more than ``high``
+        while low < high:
+            mid = (low + high + 1) // 2
+            if len(shared(mid)[0]):
+                low = mid
+            else:
+                high = mid - 1
+        if low < least:
+            break
+        i, x, j, y = shared(low)
+        order = np.argsort(y, kind="stable")
+        j, y = j[order], y[order]
+        at = dict(zip(*(v.tolist() for v in np.unique(y, return_index=True)), strict=True))
+        for p, key in zip(i.tolist(), x.tolist(), strict=True):
+            if used_i[p : p + low].any():
+                continue
+            k = at[key]
+            while k < len(y) and int(y[k]) == key and used_j[j[k] : j[k] + low].any():
+                k += 1
+            at[key] = k
+            if k < len(y) and int(y[k]) == key and np.array_equal(item[p : p + low], doc[j[k] : j[k] + low]):
+                q = int(j[k])
+                used_i[p : p + low] = used_j[q : q + low] = True
+                out.append((p, q, low))
+        most = low - 1
+    return out
+
+
 class Block:
     """Some benchmark items with their seeds."""
 
@@ -127,15 +190,27 @@ class Block:
             lo = w.offsets[k]
             doc = w.hash[lo : w.offsets[k + 1]]
             pos, first = where[own] - lo, place[own]
-            n = np.searchsorted(self.key, self.key[first], "right") - first
-            entry = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))
-            j, item, i = np.repeat(pos, n), self.of[entry], self.at[entry]
-            for x in np.unique(item):
-                mine = item == x
+            seed, which, times = np.unique(first, return_inverse=True, return_counts=True)
+            n = np.searchsorted(self.key, self.key[seed], "right") - seed
+            entry, of = gathered(seed, n), np.repeat(np.arange(len(seed)), n)  # each place of an item once
+            order = np.argsort(self.of[entry], kind="stable")
+            entry, of = entry[order], of[order]
+            present, begin = np.unique(self.of[entry], return_index=True)
+            by_seed = np.argsort(which, kind="stable")
+            starts = np.cumsum(times) - times
+            for x, a, b in zip(present.tolist(), begin.tolist(), np.append(begin[1:], len(entry)).tolist(), strict=True):
                 size = len(self.items[x])
-                if len(np.unique(i[mine])) + self.least * (1 + mine.sum()) < coverage * size:
-                    continue
-                found = tiles(self.items[x], doc, i[mine], j[mine], self.least)
+                i = self.at[entry[a:b]]
+                inside = np.zeros(size + 1, np.int64)
+                np.add.at(inside, i, 1)
+                np.add.at(inside, i + self.least, -1)
+                if (np.cumsum(inside[:size]) > 0).sum() < coverage * size:
+                    continue  # not even all seeds together
+                each = times[of[a:b]]
+                if each.sum() > MOST_PAIRS:
+                    found = tiles_by_length(self.items[x], doc, self.least)
+                else:
+                    found = tiles(self.items[x], doc, np.repeat(i, each), pos[by_seed[gathered(starts[of[a:b]], each)]], self.least)
                 marked = sum(t[2] for t in found)
                 if marked >= coverage * size:
                     yield int(k), int(x), marked / size, len(found), marked

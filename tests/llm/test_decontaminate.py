@@ -45,7 +45,8 @@ def test_tiles_against_brute_force(seed):
 
     got = D.tiles(x, y, np.array([s[0] for s in seeds], int), np.array([s[1] for s in seeds], int)) if seeds else []
     want = brute(item, doc, 5)
-    assert sorted(t[2] for t in got) == sorted(t[2] for t in want)
+    assert got == want  # ties, too: first in the item, then in the document
+    assert D.tiles_by_length(x, y) == want
     for i, j, n in got:
         assert item[i : i + n] == doc[j : j + n]
 
@@ -67,3 +68,35 @@ def test_leaks_reordered_and_clean(spark):
 def test_query_on_the_tables(spark):
     rows = D.query(spark, "/root/testdata/sf0.001").collect()
     assert all(D.COVERAGE <= r.coverage <= 1 and r.matched_words == round(r.coverage * r.item_words) for r in rows)
+
+
+def test_repetitive_texts_stay_small():
+    import tracemalloc
+
+    item, doc = " ".join(["again"] * 20_000), " ".join(["again"] * 20_000)
+    block = D.Block([1], pa.array([item]), 5)
+    w = D.words_of(pa.array([doc, " ".join(["a", "b"] * 9_000)]))
+    tracemalloc.start()
+    (found,) = block.leaks(w, 0.5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == (0, 0, 1.0, 1, 20_000) and peak < 500 << 20
+
+
+def test_both_ways_give_the_same(monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(4)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 200))) for _ in range(30)]
+    block, w = D.Block(list(range(10)), pa.array(texts[:10]), 5), D.words_of(pa.array(texts[10:]))
+    want = list(block.leaks(w, 0.1))
+    monkeypatch.setattr(D, "MOST_PAIRS", 0)
+    assert list(block.leaks(w, 0.1)) == want and want
+
+
+def test_long_text_and_columns_beside(spark):
+    passage = " ".join(f"p{k}" for k in range(50))
+    text = " ".join(f"x{k}" for k in range(30_000)) + " " + passage + " " + " ".join(f"y{k}" for k in range(30_000))
+    docs = spark.createDataFrame([(1, text, 3, "a"), (2, "other", 4, None)], "doc_id long, text string, item_id int, coverage string")
+    items = spark.createDataFrame([(None, passage)], ITEMS)
+    assert [(r.doc_id, r.item_id, r.matched_words) for r in D.leaks(docs, items).collect()] == [(1, None, 50)]
+    assert [tuple(r) for r in D.clean(docs, items).collect()] == [(2, "other", 4, None)]
