@@ -2,11 +2,15 @@
 
 Every vector is centred, rotated by one random orthogonal matrix and kept as the signs of its coordinates (packed
 bits) with three correction scalars: the residual's norm, its inner product with its own code, and its inner product
-with the centre. From these an unbiased estimate of an inner product and a bound on its error follow; only vectors
-whose upper bound reaches the k-th best found so far are scored exactly.
+with the centre. These codes are written once, beside the vectors, and read by every block of queries. A query is
+rotated, too, and its coordinates are cut into ``LEVELS`` bit planes; its product with a code is a sum of counts of the
+ones that plane and code share, a word of 64 coordinates at a time. From that an unbiased estimate of an inner product
+and a bound on its error (of the code, by ``EPSILON``, and of the planes, exactly) follow; only vectors whose upper
+bound reaches the k-th best found so far are scored exactly.
 
 Queries are collected in blocks of at most ``BLOCK_BYTES`` and sent to all tasks; a block costs one scan of the
-vectors and no shuffle of them. A task keeps k rows per query, so what is shuffled is k rows per query and task.
+vectors and no shuffle of them. With the block goes each query's k-th best score among ``BAR_ROWS`` vectors, which the
+result can't fall below: a task gives back no more than k rows per query, and only those that reach it.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with
 a null id; vectors of different length are not compared; of rows that share an id the largest vector (in array order)
@@ -24,8 +28,10 @@ from pyspark.sql import functions as F
 
 from hexloom.llm.common import scratch, written
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, BAR_ROWS, LEVELS = 16 << 20, 4096, 8
 EPSILON = 2.5
+U = np.uint64
+CODES = "vec_id long, embedding array<double>, bits binary, norm double, fit double, shift double"
 SCHEMA = "query_id long, ids array<long>, scores array<double>"
 
 
@@ -34,34 +40,62 @@ def rotation(d: int, seed: int = 7) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-class Codes:
-    """One-bit codes of some vectors."""
+def packed(ones: np.ndarray) -> np.ndarray:
+    """Rows of booleans as words of 64 bits, filled up with zeros."""
+    raw = np.packbits(ones, axis=1)
+    return np.pad(raw, ((0, 0), (0, -raw.shape[1] % 8))).view(U)
 
-    def __init__(self, x: np.ndarray, centre: np.ndarray, turn: np.ndarray):
-        d = x.shape[1]
-        r = (x - centre) @ turn.T
-        self.norm = np.sqrt((r * r).sum(axis=1))
-        unit = r / np.where(self.norm, self.norm, 1)[:, None]
-        self.bits = np.packbits(unit > 0, axis=1)
-        self.fit = np.maximum(np.abs(unit).sum(axis=1) / np.sqrt(d), 1e-6)
-        self.shift = x @ centre
-        self.d = d
 
-    def signs(self) -> np.ndarray:
-        return np.unpackbits(self.bits, axis=1, count=self.d).astype(np.float32) * 2 - 1
+class Codes:
+    """One-bit codes of some vectors: packed signs and correction scalars."""
 
+    def __init__(self, bits: np.ndarray, norm: np.ndarray, fit: np.ndarray, shift: np.ndarray, d: int):
+        self.bits, self.norm, self.fit, self.shift, self.d = bits, norm, fit, shift, d
+        self.ones = np.bitwise_count(bits).sum(axis=1)
 
-def estimates(codes: Codes, q: np.ndarray, centre: np.ndarray, turn: np.ndarray, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
+    @classmethod
+    def of(cls, x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> Codes:
+        d = x.shape[1]
+        r = (x - centre) @ turn.T
+        norm = np.sqrt((r * r).sum(axis=1))
+        unit = r / np.where(norm, norm, 1)[:, None]
+        return cls(packed(unit > 0), norm, np.maximum(np.abs(unit).sum(axis=1) / np.sqrt(d), 1e-6), x @ centre, d)
+
+
+class Planes:
+    """Rotated queries in bit planes: coordinate i is ``low + step * (sum of its bits times 2^j)``, but for ``off`` in all."""
+
+    def __init__(self, q: np.ndarray, centre: np.ndarray, turn: np.ndarray):
+        r = (q - centre) @ turn.T
+        self.low = r.min(axis=1)
+        self.step = np.maximum(r.max(axis=1) - self.low, 1e-300) / ((1 << LEVELS) - 1)
+        level = np.rint((r - self.low[:, None]) / self.step[:, None]).astype(np.int64)
+        near = self.low[:, None] + self.step[:, None] * level
+        self.planes = [packed(level >> j & 1 > 0) for j in range(LEVELS)]
+        self.sum, self.off = near.sum(axis=1), np.abs(r - near).sum(axis=1)
+        self.length = np.sqrt((r * r).sum(axis=1))
+        self.shift = q @ centre - centre @ centre
+
+    def products(self, codes: Codes) -> np.ndarray:
+        """Products of the queries with the codes' signs (queries by vectors), up to ``off``."""
+        total = np.zeros((len(self.low), len(codes.bits)), np.int32)
+        for j, plane in enumerate(self.planes):
+            for k in range(plane.shape[1]):
+                total += np.bitwise_count(plane[:, k, None] & codes.bits[None, :, k]).astype(np.int32) << j
+        with_ones = total * self.step[:, None].astype(np.float32) + self.low[:, None].astype(np.float32) * codes.ones.astype(np.float32)
+        return 2 * with_ones - self.sum[:, None].astype(np.float32)
+
+
+def estimates(codes: Codes, planes: Planes, epsilon: float = EPSILON) -> tuple[np.ndarray, np.ndarray]:
     """Estimated inner products (queries by vectors) and bounds on their errors."""
     d = codes.d
-    rq = (q - centre) @ turn.T
-    scale = (codes.norm / (codes.fit * np.sqrt(d))).astype(np.float32)
-    est = rq.astype(np.float32) @ (codes.signs() * scale[:, None]).T
-    est += (codes.shift - centre @ centre).astype(np.float32)
-    est += (q @ centre).astype(np.float32)[:, None]
+    scale = codes.norm / (codes.fit * np.sqrt(d))
+    est = planes.products(codes) * scale.astype(np.float32)
+    est += codes.shift.astype(np.float32)
+    est += planes.shift[:, None].astype(np.float32)
     spread = codes.norm * np.sqrt(np.maximum(1 - codes.fit**2, 0)) / codes.fit * epsilon / np.sqrt(max(d - 1, 1))
-    length = np.sqrt((rq * rq).sum(axis=1))
-    return est, np.outer(length, spread).astype(np.float32) + np.float32(1e-4) * np.abs(est)
+    err = np.outer(planes.length, spread) + np.outer(planes.off, scale)
+    return est, err.astype(np.float32) + np.float32(1e-4) * np.abs(est)
 
 
 def _valid(df: DataFrame) -> DataFrame:
@@ -73,10 +107,24 @@ def _valid(df: DataFrame) -> DataFrame:
     return d.groupBy("vec_id").agg(F.max("embedding").alias("embedding"))
 
 
-def _matrix(column: pa.Array, d: int) -> np.ndarray:
+def _matrix(rows: pa.Table | pa.RecordBatch, d: int) -> np.ndarray:
+    column = rows.column("embedding")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
+def _coder(d: int, centre: np.ndarray, turn: np.ndarray):
+    """The map from vectors to their codes; centre and rotation are as long as a vector, and its square."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c = Codes.of(_matrix(batch, d), centre, turn)
+            bits = pa.array([b.tobytes() for b in c.bits], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), bits, *map(pa.array, (c.norm, c.fit, c.shift))], names=["vec_id", "embedding", "bits", "norm", "fit", "shift"])
+
+    return run
+
+
 def search(df: DataFrame, is_query, k: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The ``k`` vectors with the largest inner product for every row where ``is_query`` holds."""
     with scratch():
@@ -93,13 +141,14 @@ def _search(df: DataFrame, is_query, k: int, block_bytes: int) -> DataFrame:
             continue
         sums = here.select(*[F.avg(F.col("embedding")[j].cast("double")).alias(f"c{j}") for j in range(d)]).first()
         centre, turn = np.array(sums, np.float64), rotation(d)
+        coded = written(here.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_coder(d, centre, turn), CODES), "codes")
+        some = _matrix(here.select(F.col("embedding").cast("array<double>").alias("embedding"), "vec_id").orderBy(F.xxhash64("vec_id")).limit(BAR_ROWS).toArrow(), d)
         blocks = -(-row["q"] * d * 8 // block_bytes)
         for b in range(blocks):
-            asked = here.filter(is_query).filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toArrow()
+            asked = coded.filter(is_query).filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("embedding", "vec_id").toArrow()
             if not asked.num_rows:
                 continue
-            ids = asked.column("vec_id").to_numpy()
-            found = _scan(here, ids, _matrix(asked.column("embedding").combine_chunks(), d), centre, turn, k)
+            found = _scan(coded, asked.column("vec_id").to_numpy(), _matrix(asked, d), some, centre, turn, k)
             parts.append(written(found, "near") if blocks > 1 else found)
     if not parts:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -111,41 +160,54 @@ def _search(df: DataFrame, is_query, k: int, block_bytes: int) -> DataFrame:
     return written(pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest", keep=True)
 
 
-def _scan(here: DataFrame, ids: np.ndarray, q: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> DataFrame:
-    sent = here.sparkSession.sparkContext.broadcast((ids, q, centre, turn))
+def _bars(q: np.ndarray, some: np.ndarray, k: int) -> np.ndarray:
+    """A score that each query's k-th best reaches: the (k + 1)-th best in a sample, which may hold the query itself."""
+    if len(some) <= k:
+        return np.full(len(q), -np.inf)
+    out = np.empty(len(q))
+    for a in range(0, len(q), 512):
+        score = q[a : a + 512] @ some.T
+        out[a : a + 512] = np.partition(score, len(some) - k - 1, axis=1)[:, len(some) - k - 1]
+    return out - 1e-9 * np.abs(out)  # summed in another order
+
+
+def _scan(coded: DataFrame, ids: np.ndarray, q: np.ndarray, some: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> DataFrame:
+    sent = coded.sparkSession.sparkContext.broadcast((ids, q, _bars(q, some, k), centre, turn))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, centre, turn = sent.value
+        ids, q, bars, centre, turn = sent.value
+        planes = [Planes(q[a : a + 256], centre, turn) for a in range(0, len(q), 256)]
         best_id = np.full((len(ids), k), np.iinfo(np.int64).max)
-        best = np.full((len(ids), k), -np.inf)
-        some = False
+        best = np.repeat(bars[:, None], k, axis=1)  # places held by the bar have no id
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                some = True
-                _merge(part.column(0).to_numpy(), _matrix(part.column(1), q.shape[1]), ids, q, centre, turn, k, best_id, best)
-        if some:
-            for at in range(0, len(ids), 4096):
-                i, s = best_id[at : at + 4096], best[at : at + 4096]
-                full = s > -np.inf
-                offsets = np.concatenate([[0], np.cumsum(full.sum(axis=1))]).astype(np.int32)
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(x[full])) for x in (i, s)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 4096]), *lists], names=["query_id", "ids", "scores"])
-
-    return here.select("vec_id", "embedding").mapInArrow(run, SCHEMA)
-
-
-def _merge(vid, x, ids, q, centre, turn, k, best_id, best) -> None:
+                bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), U).reshape(part.num_rows, -1)
+                codes = Codes(bits, *(part.column(c).to_numpy() for c in ("norm", "fit", "shift")), q.shape[1])
+                _merge(part.column("vec_id").to_numpy(), _matrix(part, q.shape[1]), codes, ids, q, planes, k, best_id, best)
+        for at in range(0, len(ids), 4096):
+            i, s = best_id[at : at + 4096], best[at : at + 4096]
+            full = i < np.iinfo(np.int64).max
+            own = full.any(axis=1)
+            i, s, full, who = i[own], s[own], full[own], ids[at : at + 4096][own]
+            offsets = np.concatenate([[0], np.cumsum(full.sum(axis=1))]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[full])) for x in (i, s)]
+            yield pa.RecordBatch.from_arrays([pa.array(who), *lists], names=["query_id", "ids", "scores"])
+
+    return coded.mapInArrow(run, SCHEMA)
+
+
+def _merge(vid, x, codes, ids, q, planes, k, best_id, best) -> None:
     """Bring the vectors ``x`` into the best lists, exact scores only for those that the bounds let through."""
-    codes = Codes(x, centre, turn)
     for a in range(0, len(ids), 256):
-        est, err = estimates(codes, q[a : a + 256], centre, turn)
+        est, err = estimates(codes, planes[a // 256])
         rows, cols = np.nonzero(ids[a : a + 256, None] == vid[None, :])
         est[rows, cols] = -np.inf
         if len(vid) > 2 * k:  # exact scores of the best estimates first: they set the bar for all others
             top = np.argpartition(est, len(vid) - k, axis=1)[:, len(vid) - k :]
             rows = np.repeat(np.arange(len(est)), k)
-            _score(a, rows, top.ravel(), vid, x, q, best_id, best, k)
+            real = est[rows, top.ravel()] > -np.inf
+            _score(a, rows[real], top.ravel()[real], vid, x, q, best_id, best, k)
             err[rows, top.ravel()] = -np.inf
         est += err
         bar = best[a : a + 256, -1].astype(np.float32)
