@@ -41,10 +41,13 @@ _lean()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``. Only where that is unset and driver and executors are one process, a
+    temporary one; a cluster without a shared folder is an error, as its executors couldn't read each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="hexloom-"))
     return _own_dir[0]
@@ -82,16 +85,27 @@ def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 
 def dropped(df: DataFrame) -> None:
     """Delete a table that ``written`` made and that nothing reads any more."""
-    spark, path = df.sparkSession, getattr(df, "_hexloom_path", None)
+    path = getattr(df, "_hexloom_path", None)
     if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        deleted(df.sparkSession, path)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def size_of(df: DataFrame) -> int:
+    """Catalyst's estimate of a table's size in bytes, or its texts' real size where there is no estimate."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 50 else int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
+
 def remainder(col: str, n: int):
     """crc32 of the id as text, modulo ``n``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n

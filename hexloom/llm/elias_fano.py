@@ -89,11 +89,14 @@ class EliasFano:
             return np.zeros(0, U)
         return ((self._select1(i) - i).astype(U) << U(self.low_bits)) | self._low(i)
 
-    def successor(self, v: np.ndarray) -> np.ndarray:
-        """Position of the first value that isn't below each of ``v`` (n if there is none)."""
+    def successor(self, v: np.ndarray, low: np.ndarray | int = 0, high: np.ndarray | None = None) -> np.ndarray:
+        """Position of the first value that isn't below each of ``v``, among the positions [low, high); ``high`` (n if not
+        given) if there is none."""
         v = np.asarray(v, U)
         top = (v >> U(self.low_bits)).astype(np.int64)
-        at, end = self._bucket(top), self._bucket(top + 1)
+        begin, end = self._bucket(top), self._bucket(top + 1)
+        stop = np.full(len(v), self.n) if high is None else np.asarray(high, np.int64)
+        at, end = np.minimum(np.maximum(begin, low), stop), np.minimum(end, stop)
         want = v & _mask(self.low_bits)
         left = np.flatnonzero(at < end)
         while len(left):
@@ -121,8 +124,9 @@ CHILD_BITS = 40
 class Trie:
     """Contexts, pointers to their children, children relative to their context, and a code for each child.
 
-    A child is stored as its context's rank above ``CHILD_BITS`` bits of its own, which makes the whole level one
-    monotone sequence; a search starts from the context's rank and so never leaves the context.
+    All children are one monotone sequence: a context's are stored above the last value of the context before. So a
+    child can only be told from its context's range: ``pointers`` give the range, the value before it is what the child
+    is relative to, and its successor is searched inside the range.
     """
 
     def __init__(self, contexts: EliasFano, pointers: EliasFano, children: EliasFano, codes: np.ndarray):
@@ -131,28 +135,40 @@ class Trie:
     @classmethod
     def build(cls, context: np.ndarray, child: np.ndarray, codes: np.ndarray) -> Trie:
         """From pairs sorted by context, then child; children have ``CHILD_BITS`` bits."""
-        uniq, first = np.unique(context, return_index=True)
-        rank = np.searchsorted(uniq, context).astype(U)
+        uniq, first, n = np.unique(context, return_index=True, return_counts=True)
+        last = child[first + n - 1] + U(1)
+        base = np.concatenate([np.zeros(1, U), np.cumsum(last, dtype=U)])[:-1]
         pointers = np.append(first, len(context)).astype(U)
-        return cls(EliasFano.build(uniq), EliasFano.build(pointers), EliasFano.build((rank << U(CHILD_BITS)) | child), codes)
+        return cls(EliasFano.build(uniq), EliasFano.build(pointers), EliasFano.build(np.repeat(base, n) + child + U(1)), codes)
+
+    def ranges(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The positions [begin, end) of each context's children; none for a context that the trie doesn't hold."""
+        rank = self.contexts.find(context)
+        known = np.flatnonzero(rank >= 0)
+        begin, end = np.zeros(len(context), np.int64), np.zeros(len(context), np.int64)
+        begin[known] = self.pointers.select(rank[known]).astype(np.int64)
+        end[known] = self.pointers.select(rank[known] + 1).astype(np.int64)
+        return begin, end
 
     def find(self, context: np.ndarray, child: np.ndarray) -> np.ndarray:
         """The code of each pair, 0 if the trie doesn't hold it."""
         out = np.zeros(len(context), self.codes.dtype)
-        rank = self.contexts.find(context)
-        known = np.flatnonzero(rank >= 0)
-        if len(known):
-            at = self.children.find((rank[known].astype(U) << U(CHILD_BITS)) | child[known])
-            out[known[at >= 0]] = self.codes[at[at >= 0]]
+        begin, end = self.ranges(context)
+        some = np.flatnonzero(begin < end)
+        if len(some):
+            begin, end = begin[some], end[some]
+            base = np.where(begin > 0, self.children.select(np.maximum(begin - 1, 0)), U(0))
+            want = base + child[some] + U(1)
+            at = self.children.successor(want, begin, end)
+            inside = np.flatnonzero(at < end)
+            hit = inside[self.children.select(at[inside]) == want[inside]]
+            out[some[hit]] = self.codes[at[hit]]
         return out
 
     def fan_out(self, context: np.ndarray) -> np.ndarray:
         """The number of children of each context."""
-        rank = self.contexts.find(context)
-        known = rank >= 0
-        out = np.zeros(len(context), np.int64)
-        out[known] = (self.pointers.select(rank[known] + 1) - self.pointers.select(rank[known])).astype(np.int64)
-        return out
+        begin, end = self.ranges(context)
+        return end - begin
 
     def save(self, path: str) -> None:
         arrays, head, at = [self.codes], {"codes": [0, len(self.codes), str(self.codes.dtype)]}, self.codes.nbytes + -self.codes.nbytes % 8

@@ -5,11 +5,13 @@ P(z) = (c(z) + 1) / (N + V + 1) is the base. Its tries have two levels, contexts
 the logarithm of c(y z) / (c(y) + M) in 16 bits, and the rest of the formula is exact.
 
 Plan. Whole texts are cut into chunks of about ``CHUNK_TOKENS`` tokens, kept once as compressed local word numbers in
-a table bucketed by chunk. A chunk asks for the count of each distinct word, then for the leaf of each distinct bigram;
-questions travel as packed blobs to the shard of their hash, are summed, and answered in the same order. So a word or
+a table bucketed by chunk (in the shared folder; the catalog knows it until the end, for the sake of the buckets, by
+which answers meet chunks without a shuffle of these). A chunk asks for the count of each distinct word, then for the leaf of each distinct bigram;
+questions travel as packed blobs to the shard of their hash, one for each shard that a chunk has questions for, are
+summed, and answered in the same order. So a word or
 bigram costs one entry a chunk however often it occurs, and what is gathered grows with the input. A shard builds its
-trie from the training counts in its blobs, writes it to a scratch file of its task, maps that into memory, searches
-it for all questions, and deletes it. A context that is more than ``SPLIT`` times as frequent as a trie should hold is
+trie from the training counts in its blobs, writes its levels to a scratch file of its task, maps that into memory,
+and answers all questions by successor search inside the range that the pointers give for their context. A context that is more than ``SPLIT`` times as frequent as a trie should hold is
 dealt to several shards by its continuations; no task ever gathers one word's whole neighbourhood.
 
 Defined cases: a null text is the empty text, whose one token is the end; rows with a null id are scored and take part
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hexloom.llm.common import Words, bytes_of, mix, pieces, remainder, scratch, written
+from hexloom.llm.common import Words, bytes_of, deleted, mix, pieces, remainder, scratch, shared_dir, written
 from hexloom.llm.elias_fano import CHILD_BITS, Trie
 
 U = np.uint64
@@ -114,9 +116,9 @@ def _ask_words(chunks: DataFrame, shards: int) -> DataFrame:
             for chunk, vocab, tally in zip(*(batch.column(c).to_pylist() for c in ("chunk", "vocab", "tally")), strict=True):
                 vocab, tally = np.frombuffer(vocab, U), unpack(tally, np.uint32)
                 shard = ((vocab >> U(32)) * U(shards) >> U(32)).astype(np.int64)
-                cut = np.searchsorted(shard, np.arange(shards + 1))
-                own = [k for k in range(shards) if cut[k] < cut[k + 1]]
-                cols = [pa.array([chunk] * len(own)), pa.array(own, pa.int64()), pa.array([vocab[cut[k] : cut[k + 1]].tobytes() for k in own], pa.binary()), pa.array([pack(tally[cut[k] : cut[k + 1]]) for k in own], pa.binary())]
+                own, begin = np.unique(shard, return_index=True)  # sorted, as the words are
+                cut = list(zip(begin.tolist(), np.append(begin[1:], len(shard)).tolist(), strict=True))
+                cols = [pa.array([chunk] * len(own)), pa.array(own, pa.int64()), pa.array([vocab[a:b].tobytes() for a, b in cut], pa.binary()), pa.array([pack(tally[a:b]) for a, b in cut], pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["chunk", "shard", "words", "tally"])
 
     return chunks.select("chunk", "vocab", "tally").mapInArrow(run, "chunk long, shard long, words binary, tally binary")
@@ -178,12 +180,9 @@ def _ask_pairs(joined: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             for row in _rows(batch):
                 c = Chunk(row, shards)
-                cut = np.searchsorted(c.shard, np.arange(shards + 1))
+                own, begin = np.unique(c.shard, return_index=True)
                 out = []
-                for k in range(shards):
-                    a, b = cut[k], cut[k + 1]
-                    if a == b:
-                        continue
+                for k, a, b in zip(own.tolist(), begin.tolist(), np.append(begin[1:], len(c.shard)).tolist(), strict=True):
                     y = c.context[a:b]
                     first = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
                     out.append((row["chunk"], k, y[first].tobytes(), pack(np.diff(np.append(first, b - a)).astype(np.uint32)), pack(c.context_count[a:b][first].astype(np.int64)), pack40(c.child[a:b]), pack(c.train[a:b].astype(np.uint32))))
@@ -255,9 +254,18 @@ def score(docs: DataFrame) -> DataFrame:
 def _score(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     name = f"hexloom_chunks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    _chunks(docs.select("doc_id", "text", "held_out")).write.format("parquet").bucketBy(buckets, "chunk").saveAsTable(name)
-    chunks = spark.table(name)
+    path = f"{shared_dir(spark).rstrip('/')}/{name}"
+    try:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        _chunks(docs.select("doc_id", "text", "held_out")).write.format("parquet").option("path", path).bucketBy(buckets, "chunk").saveAsTable(name)
+        return _scored_chunks(spark.table(name))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        deleted(spark, path)
+
+
+def _scored_chunks(chunks: DataFrame) -> DataFrame:
+    spark = chunks.sparkSession
     size = chunks.agg(F.sum(F.octet_length("vocab")).alias("v"), F.sum(F.size("doc_ids")).alias("d"), F.sum(F.octet_length("tokens")).alias("t")).first()
     if not size["d"]:
         return spark.createDataFrame([], OUT)
@@ -269,9 +277,7 @@ def _score(docs: DataFrame) -> DataFrame:
     joined = chunks.select("chunk", "doc_ids", "held", "lengths", "vocab", "tokens").join(by_chunk(answers, "counts"), "chunk")
     asked = _ask_pairs(joined, max(1, pairs))
     leaves = written(asked.groupBy("shard").applyInArrow(_answer_pairs, "chunk long, shard long, answer binary"), "leaves")
-    out = written(_scored(joined.join(by_chunk(leaves, "leaves"), "chunk"), max(1, pairs), tokens, distinct), "scores", keep=True)
-    spark.sql(f"DROP TABLE {name}")
-    return out
+    return written(_scored(joined.join(by_chunk(leaves, "leaves"), "chunk"), max(1, pairs), tokens, distinct), "scores", keep=True)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -32,6 +32,9 @@ def test_trie_file(tmp_path):
     t = Trie.load(str(tmp_path / "t"))
     assert (t.find(y, z) == np.arange(1, 2001)).all() and (t.find(y, z ^ np.uint64(1 << 39)) == 0).all()
     assert (t.fan_out(y) == np.bincount(np.unique(y, return_inverse=True)[1])[np.unique(y, return_inverse=True)[1]]).all()
+    t.pointers = EliasFano.build(np.array([0, 2000], np.uint64))
+    with pytest.raises(IndexError):  # nothing is found without the ranges
+        t.find(y, z)
     Trie.build(y[:0], z[:0], np.zeros(0, np.uint16)).save(str(tmp_path / "e"))
     assert (Trie.load(str(tmp_path / "e")).find(y, z) == 0).all()
 
@@ -76,6 +79,33 @@ def test_no_training_rows_and_empty(spark):
     assert S.score(spark.createDataFrame([], schema)).count() == 0
 
 
+def _left(spark):
+    import os
+
+    folder = S.shared_dir(spark).removeprefix("file://")
+    return {f for f in os.listdir(folder) if not f.startswith("scores-")}
+
+
+def test_nothing_is_left_behind(spark, monkeypatch):
+    schema = "doc_id long, text string, held_out boolean"
+    before, tables = _left(spark), [t.name for t in spark.catalog.listTables()]
+    S.score(spark.createDataFrame([(1, "a b", True), (2, "a b c", False)], schema)).collect()
+    S.score(spark.createDataFrame([], schema)).collect()
+    monkeypatch.setattr(S, "_answer_pairs", None)
+    with pytest.raises(Exception, match="."):
+        S.score(spark.createDataFrame([(2, "a b c", False)], schema)).collect()
+    assert _left(spark) == before and [t.name for t in spark.catalog.listTables()] == tables
+
+
+def test_long_text_ties_and_columns_beside(spark):
+    text = " ".join(f"w{k % 5000}" for k in range(60_000))
+    rows = [(1, text, False, 3, "x"), (1, text, False, 3, "x"), (2, "w1 w2", True, None, None)]
+    got = sorted(tuple(r) for r in S.score(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean, n_tokens int, score string")).collect())
+    want = sorted(expected([r[:3] for r in rows]))
+    for g, w in zip(got, want, strict=True):
+        assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], abs=2e-4 * w[2])
+
+
 def test_beats_the_base_on_held_out_text(spark):
     r = S.query(spark, "/root/testdata/sf0.01").filter("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
     assert r.s > r.b
