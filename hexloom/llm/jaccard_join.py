@@ -16,11 +16,12 @@ Scale. Equal sets are one node, named by 128 bits of the set, so copies of any n
 travel as packed blobs by bucket of the key; the number of buckets follows the input. Nodes with an equal key are a
 run; runs are kept as (run, node) rows of ids, and all that follows is decided on these before a sketch is sent:
 
+- the counting form of the pigeonhole argument says that a node shares at least ``need`` pieces with any partner: nodes
+  that stand in fewer runs have none, which settles most that meet by chance;
 - a node is first compared with one other, the most central node (that of the most and longest runs) of most of its
   runs, and links between these are contracted to components;
-- only runs with nodes of different components are looked at again. The counting form of the pigeonhole argument says
-  that a node shares at least ``need`` pieces with any partner, so of a node's mixed runs the ``need - 1`` costliest are
-  left out; pairs meet in the cheapest run that they share, and a node with fewer mixed runs than ``need`` is settled;
+- only runs with nodes of different components are looked at again. Of a node's mixed runs the ``need - 1`` costliest are
+  left out, so that pairs meet in the cheapest run that they share, and of runs with the same nodes one is looked at;
 - what is left is compared by dense sketches, each node outside a run's largest component with those of other
   components, in cells of bounded size; the members of the largest component are sent once for each slice of the nodes
   outside. The nearest pairs are verified first; runs with more than those are looked at again, until none is left.
@@ -53,7 +54,8 @@ while BANDS[-1] < 1 << 40:
 BANDS = np.array(BANDS, np.int64)
 BLOCK, BLOCK_BYTES, NEAREST, FLUSH_KEYS, BUCKET_BYTES, SENT_ROWS = 8192, 32 << 20, 16, 1_000_000, 4 << 20, 500_000
 SIG = "doc_id long, row long, node long, name binary, n long, band int, own binary, guest binary"
-MOST_NEED = 127
+#: ``need`` travels in seven bits and is rounded down to one of these, which loses nothing.
+NEEDS = np.concatenate([np.arange(64), (64 * 2 ** (np.arange(64) / 6)).astype(np.int64)])
 SALT, TWIN = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
 
 
@@ -124,7 +126,7 @@ def entries(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def keys_of(h: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of non-empty sketch pieces, the index of each one's set, and a byte for its entry: whether the set is a guest
-    (the upper bit), and how many keys it shares at least with any partner in the band (``MOST_NEED`` at most).
+    (the upper bit), and how many keys it shares at least with any partner in the band (as a place in ``NEEDS``).
 
     Partners differ in no more than ``differ`` pieces, and of the others no more than this set's empty ones give no key.
     That counts pieces of the first seed, so it holds for sets which that seed serves; others share one key.
@@ -149,7 +151,7 @@ def keys_of(h: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np
         owners.append(set_of[owner[full]])
         empty = count - np.add.reduceat(full.astype(np.int64), base[:-1])
         again = count < differ + empty + 1
-        need = np.where(again | (seed > 0), 1, np.minimum(count - differ - empty, MOST_NEED))
+        need = np.searchsorted(NEEDS, np.where(again | (seed > 0), 1, count - differ - empty), "right") - 1
         marks.append((need + 128 * (BANDS[band] < size))[owner[full]].astype(np.uint8))
         set_of, band, count, differ = set_of[again], band[again], count[again], differ[again]
         seed += 1
@@ -235,7 +237,7 @@ def _runs(table: pa.Table) -> pa.Table:
     some = length > 1
     at = gathered(begin[some], length[some])
     names = mix(key[at] + mix(np.full(1, table.column("bucket")[0].as_py(), U))[0]).view(np.int64)
-    return pa.table({"run": names, "length": np.repeat(length[some], length[some]), "node": node[at].view(np.int64), "need": (mark[at] & 127).astype(np.int32), "guest": pa.array(mark[at] > 127)})
+    return pa.table({"run": names, "length": np.repeat(length[some], length[some]), "node": node[at].view(np.int64), "need": NEEDS[mark[at] & 127].astype(np.int32), "guest": pa.array(mark[at] > 127)})
 
 
 def _allowed(na: int, nb: int, percent: int) -> int:
@@ -254,13 +256,20 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("name")).unionByName(pairs.select(F.col("b").alias("name")))
 
 
+def _members(found: DataFrame, reps: DataFrame) -> DataFrame:
+    """The rows of nodes that may have a partner, with the node's weight: how many and how long its runs are."""
+    m = found.withColumn("weight", F.sum("length").over(Window.partitionBy("node")))
+    m = m.withColumn("runs", F.count("*").over(Window.partitionBy("node", "guest"))).filter("runs >= need").drop("length", "runs")
+    return m.join(reps.select("node", "name", "n"), "node").drop("node")  # sets of an equal 64-bit node are all members
+
+
 def _first_pairs(members: DataFrame) -> DataFrame:
-    """Each node with the most central node of most of its runs, but for nodes that are that themselves."""
-    weight = F.sum("length").over(Window.partitionBy("name"))
-    m = written(members.select("run", "name", weight.alias("weight")), "weights")
-    centre = m.groupBy("run").agg(F.max(F.struct("weight", "name")).alias("c")).select("run", F.col("c.name").alias("a"))
-    shared = m.select("run", "name").join(centre, "run").filter("a <> name").groupBy("name", "a").agg(F.count("*").alias("k"))
-    return shared.groupBy("name").agg(F.max(F.struct("k", "a")).alias("best")).select(F.least("best.a", "name").alias("a"), F.greatest("best.a", "name").alias("b")).distinct()
+    """Each node with the most central node of most of its runs, but for nodes that are that themselves; pairs that don't
+    meet as often as partners do are left to the search across components."""
+    centre = members.groupBy("run").agg(F.max(F.struct("weight", "name")).alias("c")).select("run", F.col("c.name").alias("a"))
+    shared = members.select("run", "name", "need").join(centre, "run").filter("a <> name").groupBy("name", "a").agg(F.count("*").alias("k"), F.min("need").alias("need"))
+    best = shared.filter("k >= need").groupBy("name").agg(F.max(F.struct("k", "a")).alias("best"))
+    return best.select(F.least("best.a", "name").alias("a"), F.greatest("best.a", "name").alias("b")).distinct()
 
 
 def _close(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
@@ -324,10 +333,14 @@ def _mixed(members: DataFrame, label: DataFrame) -> DataFrame:
 
 def _open(members: DataFrame, label: DataFrame) -> DataFrame:
     """Rows of mixed runs in which pairs across components must be looked for: each such pair is left in the cheapest run
-    that it shares. A node shares ``need`` runs with a partner, all of them mixed, so the costliest ``need - 1`` may go."""
+    that it shares. A node shares ``need`` runs with a partner, all of them mixed, so the costliest ``need - 1`` may go.
+    Of runs with the same rows one is left, told by 128 bits of the rows' sums."""
     order = Window.partitionBy("name", "guest").orderBy(F.desc("cost"), "run")
-    m = _mixed(members, label).withColumn("rank", F.row_number().over(order))
-    return m.filter("rank >= need").select(*members.columns)
+    m = _mixed(members, label).withColumn("rank", F.row_number().over(order)).filter("rank >= need")
+    m = written(m.select("run", "name", "guest", "n"), "cheap")
+    total = lambda salt: F.sum(F.xxhash64("name", "guest", F.lit(salt)).cast("decimal(20,0)"))
+    same = m.groupBy("run").agg(F.count("*").alias("size"), total(1).alias("x"), total(2).alias("y")).filter("size > 1")
+    return m.join(same.groupBy("size", "x", "y").agg(F.min("run").alias("run")).select("run"), "run", "left_semi")
 
 
 def _across(members: DataFrame, sig: DataFrame, label: DataFrame, percent: int, top: int) -> DataFrame:
@@ -393,8 +406,7 @@ def _join(docs: DataFrame, size: int, percent: int) -> DataFrame:
     reps = written(some, "reps")
     buckets = max(1, -(-size_of(docs) // BUCKET_BYTES))
     found = written(_blobs(docs, size, percent, buckets).groupBy("bucket").applyInArrow(_runs, "run long, length long, node long, need int, guest boolean"), "runs")
-    # the two sets of an equal 64-bit node would both be members
-    members = written(found.join(reps.select("node", "name", "n"), "node").drop("node"), "members")
+    members = written(_members(found, reps), "members")
     pairs = written(_close(_first_pairs(members), sig, percent), "pairs")
     label = components(_verified(pairs, docs, reps, size, percent))
     members, tried, top = written(_open(members, label), "open"), pairs, NEAREST

@@ -1,22 +1,25 @@
 """Line dedup by a deletion-neighbourhood join.
 
 A line is its sequence of words (runs of other than ASCII white space, A-Z lower-cased). Two lines are alike if they
-are equal or, when both have ``NEAR_WORDS`` words or more, if one inserted, deleted or replaced word turns one into the
-other. A line goes if an earlier line (by doc_id, then line number) is alike; lines without words always stay.
+are equal or if one inserted, deleted or replaced word turns one into the other and the longer has ``NEAR_WORDS`` words
+or more, of which one is a fifth: a similarity of 0.8. A line goes if an earlier line (by doc_id, then line number) is
+alike; lines without words always stay.
 
 Plan. Equal lines: one aggregate by a 128-bit hash keeps each line's first place; only these go on. Lines alike but
-not equal share the first or the last half of their words, so only distinct lines that share such a half with another
-can have a partner: two counted keys a line find them (lossless, and no line's neighbourhood is built in vain). Those
-lines emit all variants with one word deleted, and themselves, as hashed keys. Keys travel as packed blobs by bucket;
-a task sends only the earliest line of each key, since all others in it are settled by that one. Equal variants are
-joined in the bucket, and every pair that would drop a line is verified on the words themselves.
+not equal share a run of words at the beginning or the end, so only distinct lines that share such a run with another
+can have a partner: two counted keys a line find them (lossless, and no line's neighbourhood is built in vain). Keys of
+many lines, as a common opening has, are sent to the lines instead of meeting them in one task. What is found emits all
+variants with one word deleted, and itself, as hashed keys. Keys travel as packed blobs by bucket; a task sends only the
+earliest line of each key, since all others in it are settled by that one. Equal variants are joined in the bucket, and
+every pair that would drop a line is verified on the words themselves.
 
 What goes to all tasks is lists of line numbers by document, and only while they stay under ``SENT_ROWS`` documents
 and ``SENT_LINES`` lines; beyond that the documents are shuffled by id instead.
 
 Defined cases: a null text stays null and has no lines, the empty text has one line without words; rows with a null id
-come after all others and count as one document, as do rows that share an id; copies within a document go like others;
-an empty table gives no rows. Further columns of the input are kept by ``dedup``.
+come after all others; rows that share an id, or have none, and differ in text are documents of their own, in the order
+of a hash of the text, and equal rows are one document, whose lines stay in each of them; copies within a document go
+like others; an empty table gives no rows. Further columns of the input are kept by ``dedup``, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +35,8 @@ from pyspark.sql import functions as F
 from hexloom.llm.common import Words, bytes_of, gathered, mix, pieces, scratch, written
 
 U = np.uint64
-NEAR_WORDS, BUCKET_LINES, FLUSH_KEYS = 8, 20_000, 1_000_000
-SENT_ROWS, SENT_LINES = 500_000, 4_000_000
+NEAR_WORDS, BUCKET_LINES, FLUSH_KEYS = 5, 20_000, 1_000_000
+SENT_ROWS, SENT_LINES, HOT_LINES = 500_000, 4_000_000, 10_000
 LAST = (1 << 63) - 1
 _B1, _B2 = U(0x9E3779B97F4A7C15 | 1), U(0xD6E8FEB86659FD93 | 1)
 _I1 = U(pow(int(_B1), -1, 1 << 64))
@@ -71,6 +74,12 @@ class Sequences:
         return mix(rest * self.down[a] + (b - a - 1).astype(U))
 
 
+def half_of(n: np.ndarray) -> np.ndarray:
+    """A number of words that lines of ``n`` words share at an end with any that is alike: less than half of the words,
+    the same for many lengths."""
+    return np.where(n < 8, 2, 4 * (n // 8))
+
+
 def _scan(docs: DataFrame) -> DataFrame:
     """Every line with words: 128-bit hash, place, and up to four keys of its halves."""
 
@@ -89,21 +98,21 @@ def _scan(docs: DataFrame) -> DataFrame:
                 n = b - a
                 keys = []
                 for extra in (0, 1):
-                    half = np.where(extra, 4 * ((n - 1) // 8), 4 * (n // 8))
-                    good = (n >= NEAR_WORDS) & (half >= 4) & ((n % 8 == 0) if extra else True)
+                    half = np.minimum(half_of(n - extra), n)  # one word less may be below a step
+                    good = (n >= NEAR_WORDS - 1) & ((n % 8 == 0) if extra else True)
                     for side, (x, y) in enumerate(((a, a + half), (b - half, b))):
                         keys.append(pa.array(mix(s.run(x, y) + U(side + 1)).view(np.int64), mask=~good))
-                doc = part.column("doc_id").take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([pa.array(s.run(a, b).view(np.int64)), pa.array(mix(second).view(np.int64)), doc, pa.array(number.astype(np.int32)), *keys], names=["h1", "h2", "doc", "line", "k0", "k1", "k2", "k3"])
+                doc, row = (part.column(c).take(pa.array(text)) for c in ("doc_id", "row"))
+                yield pa.RecordBatch.from_arrays([pa.array(s.run(a, b).view(np.int64)), pa.array(mix(second).view(np.int64)), doc, row, pa.array(number.astype(np.int32)), *keys], names=["h1", "h2", "doc", "row", "line", "k0", "k1", "k2", "k3"])
 
-    return docs.mapInArrow(run, "h1 long, h2 long, doc long, line int, k0 long, k1 long, k2 long, k3 long")
+    return docs.mapInArrow(run, "h1 long, h2 long, doc long, row long, line int, k0 long, k1 long, k2 long, k3 long")
 
 
 def _picked(docs: DataFrame, wanted: DataFrame, how: str = "inner") -> DataFrame:
-    """``docs`` joined with ``wanted`` (doc_id, lines): sent to all tasks while small, shuffled otherwise."""
+    """``docs`` joined with ``wanted`` (doc_id, row, lines): sent to all tasks while small, shuffled otherwise."""
     total = wanted.agg(F.count("*").alias("n"), F.sum(F.size("lines")).alias("lines")).first()
     few = total["n"] <= SENT_ROWS and (total["lines"] or 0) <= SENT_LINES
-    return docs.join(F.broadcast(wanted) if few else wanted, "doc_id", how)
+    return docs.join(F.broadcast(wanted) if few else wanted, ["doc_id", "row"], how)
 
 
 def _chosen(batch: pa.RecordBatch) -> tuple[np.ndarray, Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -122,38 +131,38 @@ def _variants(found: DataFrame, buckets: int) -> DataFrame:
     (document, line, earlier document, earlier line) of lines that this task's own lines already settle."""
 
     def flush(held: list) -> Iterator[pa.RecordBatch]:
-        key, place, doc, line = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((line, doc, place, key))
-        key, place, doc, line = key[order], place[order], doc[order], line[order]
+        key, place, *at = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((*at[::-1], place, key))
+        key, place, at = key[order], place[order], [x[order] for x in at]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1])
         lead = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-        later = np.flatnonzero(~new & ((doc != doc[lead]) | (line != line[lead])))
-        settled = np.stack([doc[later], line[later], doc[lead[later]], line[lead[later]]], axis=1).astype(np.int64)
-        key, place, doc, line = key[new], place[new], doc[new], line[new]
+        later = np.flatnonzero(~new & np.any([x != x[lead] for x in at], axis=0))
+        settled = np.stack([x[later] for x in at] + [x[lead[later]] for x in at], axis=1).astype(np.int64)
+        key, place, at = key[new], place[new], [x[new] for x in at]
         bucket = (key >> U(32)) * U(buckets) >> U(32)
         present, begin = np.unique(bucket, return_index=True)  # sorted, as the keys are
-        end = np.append(begin[1:], len(key))
+        cut = list(zip(begin.tolist(), np.append(begin[1:], len(key)).tolist(), strict=True))
         home = mix(settled[:, 0].astype(U)) % U(len(present)) if len(present) else np.zeros(0, U)
-        cols = [[x[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)] for x in (key, place, doc, line)]
+        cols = [[x[a:b].tobytes() for a, b in cut] for x in (key, place, *at)]
         own = [settled[home == U(k)].tobytes() for k in range(len(present))]
-        yield pa.RecordBatch.from_arrays([pa.array(present.astype(np.int64)), *[pa.array(c, pa.binary()) for c in (*cols, own)]], names=["bucket", "keys", "places", "docs", "lines", "settled"])
+        yield pa.RecordBatch.from_arrays([pa.array(present.astype(np.int64)), *[pa.array(c, pa.binary()) for c in (*cols, own)]], names=["bucket", "keys", "places", "docs", "texts", "lines", "settled"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for part in pieces(batch, "text"):
                 _, w, _, at, owner = _chosen(part)
-                doc = part.column("doc_id").to_numpy()[owner]
-                line = part.column("lines").flatten().to_numpy(zero_copy_only=False)
+                doc, row = (part.column(c).to_numpy()[owner] for c in ("doc_id", "row"))
+                line = part.column("lines").flatten().to_numpy(zero_copy_only=False).astype(np.int32)
                 a, b = w.offsets[at], w.offsets[at + 1]
-                n = b - a
+                n = np.where(b - a < NEAR_WORDS, 0, b - a)  # shorter lines are only what longer ones may turn into
                 s = Sequences(w.hash)
                 of = np.repeat(np.arange(len(a)), n)
                 p = gathered(a, n)
                 keys = np.concatenate([s.run(a, b), s.without(a[of], p, b[of])])
                 place = np.concatenate([np.full(len(a), -1), p - a[of]]).astype(np.int32)
-                held.append((keys, place, np.concatenate([doc, doc[of]]), np.concatenate([line, line[of]]).astype(np.int32)))
+                held.append((keys, place, *(np.concatenate([x, x[of]]) for x in (doc, row, line))))
                 size += len(keys)
                 if size > FLUSH_KEYS:
                     yield from flush(held)
@@ -161,20 +170,25 @@ def _variants(found: DataFrame, buckets: int) -> DataFrame:
         if size:
             yield from flush(held)
 
-    return found.select("doc_id", "text", "lines").mapInArrow(run, "bucket long, keys binary, places binary, docs binary, lines binary, settled binary")
+    return found.select("doc_id", "row", "text", "lines").mapInArrow(run, "bucket long, keys binary, places binary, docs binary, texts binary, lines binary, settled binary")
+
+
+PLACE = "doc long, row long, line int"
+BOTH = f"{PLACE}, doc0 long, row0 long, line0 int"
 
 
 def _equal(table: pa.Table) -> pa.Table:
     """Of one bucket: each line that shares a variant with an earlier one, and that one."""
-    key, place, doc, line = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", U), ("places", np.int32), ("docs", np.int64), ("lines", np.int32)))
-    rows = [np.frombuffer(b"".join(table.column("settled").to_pylist()), np.int64).reshape(-1, 4)]
-    order = np.lexsort((line, doc, place, key))
-    key, place, doc, line = key[order], place[order], doc[order], line[order]
+    key, place, *at = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("keys", U), ("places", np.int32), ("docs", np.int64), ("texts", np.int64), ("lines", np.int32)))
+    rows = [np.frombuffer(b"".join(table.column("settled").to_pylist()), np.int64).reshape(-1, 6)]
+    order = np.lexsort((*at[::-1], place, key))
+    key, place, (doc, row, line) = key[order], place[order], (x[order] for x in at)
 
     def pair(who: np.ndarray, lead: np.ndarray) -> None:
-        good = (doc[lead] < doc[who]) | (doc[lead] == doc[who]) & (line[lead] < line[who])
+        same_row = (row[lead] < row[who]) | (row[lead] == row[who]) & (line[lead] < line[who])
+        good = (doc[lead] < doc[who]) | (doc[lead] == doc[who]) & same_row
         who, lead = who[good], lead[good]
-        rows.append(np.stack([doc[who], line[who], doc[lead], line[lead]], axis=1).astype(np.int64))
+        rows.append(np.stack([x[y] for y in (who, lead) for x in (doc, row, line)], axis=1).astype(np.int64))
 
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1])
@@ -182,20 +196,20 @@ def _equal(table: pa.Table) -> pa.Table:
     pair(np.flatnonzero(~new), lead[~new])  # one word replaced by another
     whole = np.flatnonzero(new & (place < 0))  # the earliest whole line of a key, and the earliest that lacks a word
     part = np.flatnonzero(place >= 0)
-    part = part[np.lexsort((line[part], doc[part], key[part]))]
+    part = part[np.lexsort((line[part], row[part], doc[part], key[part]))]
     first = np.ones(len(part), bool)
     first[1:] = key[part][1:] != key[part][:-1]
     if len(whole) and len(part):
-        at = np.minimum(np.searchsorted(key[whole], key[part]), len(whole) - 1)
-        hit = key[whole][at] == key[part]
-        pair(part[hit], whole[at[hit]])
+        near = np.minimum(np.searchsorted(key[whole], key[part]), len(whole) - 1)
+        hit = key[whole][near] == key[part]
+        pair(part[hit], whole[near[hit]])
         firsts = part[first]
         every = np.flatnonzero(place < 0)
-        at = np.minimum(np.searchsorted(key[firsts], key[every]), len(firsts) - 1)
-        hit = key[firsts][at] == key[every]
-        pair(every[hit], firsts[at[hit]])
+        near = np.minimum(np.searchsorted(key[firsts], key[every]), len(firsts) - 1)
+        hit = key[firsts][near] == key[every]
+        pair(every[hit], firsts[near[hit]])
     out = np.concatenate(rows)
-    return pa.table({"doc": out[:, 0], "line": out[:, 1].astype(np.int32), "doc0": out[:, 2], "line0": out[:, 3].astype(np.int32)})
+    return pa.table({n: out[:, k].astype(np.int32) if n.startswith("line") else out[:, k] for k, n in enumerate(("doc", "row", "line", "doc0", "row0", "line0"))})
 
 
 def alike(a: list, b: list) -> bool:
@@ -214,51 +228,68 @@ def alike(a: list, b: list) -> bool:
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs whose words are alike indeed."""
-    ends = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc0").alias("doc"), F.col("line0").alias("line")))
-    wanted = written(ends.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("lines")).withColumnRenamed("doc", "doc_id"), "wanted")
+    ends = pairs.select("doc", "row", "line").unionByName(pairs.select(F.col("doc0").alias("doc"), F.col("row0").alias("row"), F.col("line0").alias("line")))
+    wanted = written(_by_document(ends, F.collect_set), "wanted")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                _, w, _, at, owner = _chosen(part)
-                raw = [w.hash[x:y].tobytes() for x, y in zip(w.offsets[at].tolist(), w.offsets[at + 1].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(owner)), part.column("lines").flatten(), pa.array(raw, pa.binary())], names=["doc", "line", "words"])
+                _, w, lines, at, owner = _chosen(part)
+                whole = w.raw.tobytes()
+                raw = [whole[x:y] for x, y in zip(lines[at].tolist(), lines[at + 1].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(owner)) for c in ("doc_id", "row")), part.column("lines").flatten(), pa.array(raw, pa.binary())], names=["doc", "row", "line", "words"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [alike(np.frombuffer(x, U).tolist(), np.frombuffer(y, U).tolist()) for x, y in zip(batch.column("words").to_pylist(), batch.column("words0").to_pylist(), strict=True)]
-            yield batch.select(["doc", "line"]).filter(pa.array(keep, pa.bool_()))
+            keep = [alike(x.split(), y.split()) for x, y in zip(batch.column("words").to_pylist(), batch.column("words0").to_pylist(), strict=True)]
+            yield batch.select(["doc", "row", "line"]).filter(pa.array(keep, pa.bool_()))
 
-    text = written(_picked(docs, wanted).select("doc_id", "text", "lines").mapInArrow(words, "doc long, line int, words binary").dropDuplicates(["doc", "line"]), "words")
-    both = pairs.join(text, ["doc", "line"]).join(text.select(F.col("doc").alias("doc0"), F.col("line").alias("line0"), F.col("words").alias("words0")), ["doc0", "line0"])
-    return both.select("doc", "line", "words", "words0").mapInArrow(check, "doc long, line int").distinct()
+    text = written(_picked(docs, wanted).select("doc_id", "row", "text", "lines").mapInArrow(words, f"{PLACE}, words binary").dropDuplicates(["doc", "row", "line"]), "words")
+    first = text.select(*(F.col(c).alias(f"{c}0") for c in ("doc", "row", "line", "words")))
+    both = pairs.join(text, ["doc", "row", "line"]).join(first, ["doc0", "row0", "line0"])
+    return both.select("doc", "row", "line", "words", "words0").mapInArrow(check, PLACE).distinct()
+
+
+def _by_document(places: DataFrame, collect) -> DataFrame:
+    """(doc_id, row, lines) of rows (doc, row, line)."""
+    return places.groupBy("doc", "row").agg(F.array_sort(collect("line")).alias("lines")).withColumnRenamed("doc", "doc_id")
+
+
+def _identified(docs: DataFrame, *others) -> DataFrame:
+    """``doc_id`` (nulls last), a hash of the text that tells rows of one id apart, and other columns."""
+    return docs.select(*others, F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(docs["text"].cast("string")).alias("row"))
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, lines): the numbers of the lines with words that stay, for each document that keeps any."""
+    """(doc_id, row, lines): the numbers of the lines with words that stay, for each document that keeps any."""
     with scratch():
         return written(_kept_lines(docs), "kept", keep=True)
 
 
+def _shared(keys: DataFrame) -> DataFrame:
+    """The rows of ``keys`` whose key another line has, too."""
+    count = written(keys.groupBy("key").count().filter("count > 1"), "shared")
+    hot = count.filter(F.col("count") > HOT_LINES).select("key")
+    if not 0 < hot.count() <= SENT_ROWS:  # 8 bytes each
+        return keys.join(count.select("key"), "key", "left_semi")
+    hot = F.broadcast(hot)
+    return keys.join(hot, "key", "left_semi").unionByName(keys.join(hot, "key", "left_anti").join(count.select("key"), "key", "left_semi"))
+
+
 def _kept_lines(docs: DataFrame) -> DataFrame:
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = _identified(docs, docs["text"].cast("string").alias("text"))
     halves = F.array_compact(F.array_distinct(F.array("f.k0", "f.k1", "f.k2", "f.k3")))
-    first = _scan(docs).groupBy("h1", "h2").agg(F.min(F.struct("doc", "line", "k0", "k1", "k2", "k3")).alias("f"))
-    first = written(first.select("f.doc", "f.line", halves.alias("keys")), "lines")
-    keys = first.select("doc", "line", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").count().filter("count > 1").select("key")
-    near = keys.join(shared, "key").groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("lines")).withColumnRenamed("doc", "doc_id")
-    near = written(near, "near")
+    first = _scan(docs).groupBy("h1", "h2").agg(F.min(F.struct("doc", "row", "line", "k0", "k1", "k2", "k3")).alias("f"))
+    first = written(first.select("f.doc", "f.row", "f.line", halves.alias("keys")), "lines")
+    keys = first.select("doc", "row", "line", F.explode("keys").alias("key"))
+    near = written(_by_document(_shared(keys), F.collect_set), "near")
     size = near.agg(F.sum(F.size("lines"))).first()[0]
-    gone = None
+    kept = first.select("doc", "row", "line")
     if size:
         blobs = _variants(_picked(docs, near), max(1, -(-size // BUCKET_LINES)))
-        pairs = blobs.groupBy("bucket").applyInArrow(_equal, "doc long, line int, doc0 long, line0 int")
-        gone = _verified(written(pairs.distinct(), "pairs"), docs)
-    kept = first.select("doc", "line")
-    if gone is not None:
-        kept = kept.join(gone, ["doc", "line"], "left_anti")
-    return kept.groupBy("doc").agg(F.array_sort(F.collect_list("line")).alias("lines")).withColumnRenamed("doc", "doc_id")
+        pairs = blobs.groupBy("bucket").applyInArrow(_equal, BOTH)
+        kept = kept.join(_verified(written(pairs.distinct(), "pairs"), docs), ["doc", "row", "line"], "left_anti")
+    return _by_document(kept, F.collect_list)
 
 
 def _rewritten(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, str | None, int, int]]:
@@ -284,7 +315,7 @@ def _with_lines(df: DataFrame) -> DataFrame:
     """The columns of ``df`` by position (c0, c1, ...), whatever their names, and ``lines``."""
     kept = kept_lines(df)
     own = [df[c].alias(f"c{k}") for k, c in enumerate(df.columns)]
-    return _picked(df.select(*own, F.coalesce(df["doc_id"].cast("long"), F.lit(LAST)).alias("doc_id")), kept, "left").drop("doc_id")
+    return _picked(_identified(df, *own), kept, "left").drop("doc_id", "row")
 
 
 def dedup(df: DataFrame) -> DataFrame:
@@ -335,7 +366,7 @@ WITH cut AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHE
 lines AS (SELECT doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS raw FROM cut),
 seqs AS (SELECT doc_id, line, raw, regexp_extract_all(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM lines),
 firsts AS (SELECT w, len(w) AS n, min({'d': doc_id, 'l': line}) AS place FROM seqs WHERE len(w) > 0 GROUP BY w),
-places AS (SELECT place, w, n, unnest(range(-1, n)) AS p FROM firsts WHERE n >= 8),
+places AS (SELECT place, w, n, unnest(range(-1, CASE WHEN n >= 5 THEN n ELSE 0 END)) AS p FROM firsts WHERE n >= 4),
 variants AS (SELECT place, p, md5(array_to_string(CASE WHEN p < 0 THEN w ELSE list_concat(w[1:p], w[p + 2:]) END, ' ')) AS key FROM places),
 gone AS (
   SELECT a.place FROM variants a JOIN (SELECT key, p, min(place) AS low FROM variants GROUP BY ALL) b USING (key, p) WHERE b.low < a.place
