@@ -1,21 +1,28 @@
 """Toxicity by Levenshtein automata intersected with a lexicon trie, weighed by context windows.
 
-``train`` learns a lexicon from labelled rows: whole words that occur almost only in toxic documents, and stems (the
-first 4 to 7 characters of a word) that mostly do, chosen by greedy cover, so that a word which merely keeps company
-with a chosen term adds nothing. The terms form a trie; its product with the Levenshtein automata of the whole words (one edit from five
-bytes on, two from nine; the first byte must match) is determinised once, into a table of transitions. All distinct
-words of a chunk walk that table together; words without a hit, and words with digits or symbols in them, walk a second
-one, in which the first byte may be edited too. A hit is a term, a misspelled term, a word that begins with a stem, or
-a term of the second walk, and quoted or not: within ``WINDOW`` words it stands between quotation marks, or a word of report stands by. These
-counts, and how dense stems are, feed a logistic regression, which learns what each kind of hit is worth.
-
-Bounds. A fit reads at most about ``MAX_DOCS`` labelled rows, chosen by a hash of the id, and keeps at most
-``MAX_TERMS`` terms; only that model goes to all tasks. Scoring covers whole texts of all rows and shuffles nothing.
-Edits are counted in bytes of UTF-8.
+``train`` learns a lexicon from labelled rows: whole words that occur almost only in toxic documents, and families, the
+words with a common beginning (of 4 to 7 characters) that mostly occur in toxic ones. Both are chosen by greedy cover, so
+that a word which merely keeps company with a chosen term adds nothing; of a chosen family all words that mostly occur in
+toxic documents become terms, and the beginning itself is no term. The terms form tries of ``TRIE_TERMS`` at most; the
+product of a trie with the Levenshtein automata of its terms (one edit from five bytes on, two from nine, but one for
+words of families; the first byte must match) is determinised once, into a table of transitions. All distinct words of a
+chunk walk these tables together; words without a hit, and words with digits or symbols in them, walk a second kind, in
+which the first byte may be edited too. What is a word of its own in the labelled rows, mostly in documents that aren't
+toxic, is no misspelling.
+
+A hit is a term, a misspelled term, a word of a family or its misspelling, or a hit of the second walk, and quoted or
+not: within ``WINDOW`` words it stands between quotation marks, or one of the words ``reports`` (a parameter) stands by.
+These counts, and how dense words of families are, feed a logistic regression, which learns what each kind of hit is
+worth; ``Model.support`` has the labelled documents with each kind of hit, of both labels. A kind that the labelled rows
+hardly show keeps the weight that ``PRIOR`` gives it.
+
+Bounds. A fit reads at most about ``MAX_DOCS`` labelled rows, chosen by a hash of the id; every word of these counts,
+and only the model goes to all tasks. A term or a family is chosen while it covers ``LEAST_SHARE`` of the toxic rows that
+no other covers. Scoring covers whole texts of all rows and shuffles nothing. Edits are counted in bytes of UTF-8.
 
 Defined cases: null and empty texts score like a text without hits; of labels that share an id the largest counts;
 labels that are null or belong to no document teach nothing; without labels of both kinds every score is 0; repeated
-rows are scored alike; an empty table gives no rows.
+rows are scored alike; an empty table gives no rows; a column named ``score`` is replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -31,7 +38,7 @@ from pyspark.sql import functions as F
 
 from hexloom.llm.common import Words, bytes_of, pieces, remainder, scratch, span_hash, written
 
-MAX_DOCS, MAX_TERMS, MAX_CANDIDATES, WINDOW, PURE, PURE_STEM, LEAST_GAIN, LEAST_SHARE = 12_000, 256, 60_000, 6, 0.9, 0.5, 2, 0.002
+MAX_DOCS, TRIE_TERMS, WINDOW, PURE, PURE_STEM, LEAST_GAIN, LEAST_SHARE = 12_000, 32, 6, 0.9, 0.5, 2, 0.002
 STEMS = (4, 5, 6, 7)
 QUOTES = '"“”„«»‹›'
 REPORTS = ("said", "says", "wrote", "writes", "quoted", "quote", "called", "calls", "word", "term", "sagte", "schrieb", "nannte", "wort", "dit", "écrit", "appelé", "mot", "dijo", "escribió", "llamó", "palabra")
@@ -75,14 +82,17 @@ def tolerance(term: bytes) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
+#: Results of a walk, the better ones first; the last is of the second walk.
+TERM, WORD, NEAR_TERM, NEAR_WORD, LOOSE = range(1, 6)
+
+
 class Automaton:
-    """The determinised product of a lexicon trie with Levenshtein automata. Results: 0 no hit, 1 a term, 2 a misspelled
-    term, 3 a word that begins with a stem. With ``root`` the first byte may be edited, too."""
+    """The determinised product of a lexicon trie with Levenshtein automata; ``words`` are those of families. A walk gives
+    0 (no hit), ``TERM``, ``WORD``, ``NEAR_TERM`` or ``NEAR_WORD``. With ``root`` the first byte may be edited, too."""
 
-    def __init__(self, terms: list[str], stems: list[str], root: bool = False):
+    def __init__(self, terms: list[str], words: list[str], root: bool = False):
         child: list[dict[int, int]] = [{}]
-        end: dict[int, int] = {}
-        stem: set[int] = set()
+        end: dict[int, tuple[int, int]] = {}
         reach: list[int] = [0]
 
         def insert(raw: bytes, most: int) -> int:
@@ -96,9 +106,10 @@ class Automaton:
                 reach[node] = max(reach[node], most)
             return node
 
-        for t in terms:
-            end[insert(t.encode(), tolerance(t.encode()))] = tolerance(t.encode())
-        stem.update(insert(s.encode(), 0) for s in stems)
+        for kind, own in ((WORD, words), (TERM, terms)):
+            for t in own:
+                most = tolerance(t.encode()) if kind == TERM else min(1, tolerance(t.encode()))
+                end[insert(t.encode(), most)] = (most, kind)
         reach[0] = max(reach) if root else 0
 
         def closed(items: set[tuple[int, int]]) -> frozenset:
@@ -115,30 +126,26 @@ class Automaton:
         bytes_used = sorted({b for c in child for b in c})
         self.classes = np.zeros(256, np.int64)
         self.classes[bytes_used] = np.arange(1, len(bytes_used) + 1)
-        hit = frozenset([(-1, 0)])
-        states, table, out = {closed({(0, 0)}): 0, frozenset(): 1, hit: 2}, [], []
+        states, table, out = {closed({(0, 0)}): 0, frozenset(): 1}, [], []
         queue = list(states)
         for s in queue:
             row = []
             for b in [-1, *bytes_used]:
-                if s == hit:
-                    t = hit
-                else:
-                    nxt: set[tuple[int, int]] = set()
-                    for node, e in s:
-                        if b in child[node]:
-                            nxt.add((child[node][b], e))
-                        if node or root:
-                            nxt.add((node, e + 1))
-                            nxt.update((c, e + 1) for c in child[node].values())
-                    t = hit if any(n in stem and e == 0 for n, e in nxt) else closed(nxt)
+                nxt: set[tuple[int, int]] = set()
+                for node, e in s:
+                    if b in child[node]:
+                        nxt.add((child[node][b], e))
+                    if node or root:
+                        nxt.add((node, e + 1))
+                        nxt.update((c, e + 1) for c in child[node].values())
+                t = closed(nxt)
                 if t not in states:
                     states[t] = len(states)
                     queue.append(t)
                 row.append(states[t])
             table.append(row)
-            found = [e for n, e in s if n in end and e <= end[n]]
-            out.append(3 if s == hit else 1 if 0 in found else 2 if found else 0)
+            found = [end[n][1] + (2 if e else 0) for n, e in s if n in end and e <= end[n][0]]
+            out.append(min(found, default=0))
         self.table = np.array(table, np.int32)
         self.out = np.array(out, np.int8)
 
@@ -151,57 +158,88 @@ class Automaton:
             left = left[start[left] + at < end[left]]
             state[left] = self.table[state[left], self.classes[raw[start[left] + at]]]
             left = left[state[left] != 1]  # no term can be reached any more
-            left = left[state[left] != 2]  # a stem was
             at += 1
         return self.out[state]
 
 
+class Lexicon:
+    """Automata of bounded size over all terms."""
+
+    def __init__(self, terms: list[str], words: list[str], root: bool = False):
+        both = sorted([(t, TERM) for t in terms] + [(t, WORD) for t in words])  # neighbours share beginnings
+        parts = [both[a : a + TRIE_TERMS] for a in range(0, len(both), TRIE_TERMS)]
+        self.parts = [Automaton([t for t, k in p if k == TERM], [t for t, k in p if k == WORD], root) for p in parts]
+
+    def walk(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The best result for each word."""
+        best = np.full(len(start), 99, np.int8)
+        for p in self.parts:
+            got = p.walk(raw, start, end)
+            best = np.where(got > 0, np.minimum(best, got), best)
+        return np.where(best == 99, 0, best).astype(np.int8)
+
+
+#: Columns of the features: terms, misspelled terms, words of families, quoted hits, words, and hits of the second walk.
+COLUMN = np.array([0, 0, 2, 1, 2, 5])
+NAMES = ("terms", "misspelled", "families", "quoted", "words", "loose")
+
+
 @dataclass
 class Model:
-    """Lexicon, automaton and regression weights (bias first)."""
+    """Lexicon, hashes of known clean words that look like a misspelling, words of report, regression weights (bias
+    first), and the labelled documents with each kind of hit (not toxic, toxic)."""
 
     terms: list[str] = field(default_factory=list)
-    stems: list[str] = field(default_factory=list)
+    words: list[str] = field(default_factory=list)
+    clean: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    reports: tuple[str, ...] = REPORTS
     weights: np.ndarray | None = None
+    support: dict[str, tuple[int, int]] = field(default_factory=dict)
 
     def __post_init__(self):
-        self.automaton = Automaton(self.terms, self.stems)
-        self.loose = Automaton(self.terms, [], root=True)
-        raw = "\n".join(REPORTS).encode()
+        self.lexicon = Lexicon(self.terms, self.words)
+        self.loose = Lexicon(self.terms, [], root=True)
+        raw = "\n".join(self.reports).encode()
         a = np.frombuffer(raw, np.uint8)
-        self.reports = np.unique(Words(a, np.array([0, len(a)]), _BREAKS, lower=False).hash)
+        self.report_keys = np.unique(Words(a, np.array([0, len(a)]), _BREAKS, lower=False).hash)
+
+    def kinds(self, w: Words, first: np.ndarray) -> np.ndarray:
+        """The hit, if any, that each of the words ``first`` is by its spelling alone."""
+        kind = self.lexicon.walk(w.raw, w.start[first], w.end[first])
+        rest = np.flatnonzero(kind == 0)
+        kind[rest[self.loose.walk(w.raw, w.start[first[rest]], w.end[first[rest]]) > 0]] = LOOSE
+        return kind
 
     def features(self, column: pa.Array) -> np.ndarray:
-        """Of each text: terms, misspelled terms and stems outside quotation, all hits inside it, its words, and terms
-        outside quotation whose first letter is wrong or that are disguised by digits or symbols."""
+        """Of each text: terms, misspelled terms and words of families outside quotation, all hits inside it, its words,
+        and terms outside quotation whose first letter is wrong or that are disguised by digits or symbols."""
         raw, offsets = _lowered(column)
         w = Words(raw, offsets, _BREAKS, lower=False)
-        out = np.zeros((w.texts, 6))
+        out = np.zeros((w.texts, len(NAMES)))
         out[:, 4] = np.diff(w.offsets)
         if not len(w.hash):
             return out
-        _, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
-        kind = self.automaton.walk(w.raw, w.start[first], w.end[first])
-        rest = np.flatnonzero(kind == 0)
-        kind[rest[self.loose.walk(w.raw, w.start[first[rest]], w.end[first[rest]]) > 0]] = 4
+        key, first, which = np.unique(w.hash, return_index=True, return_inverse=True)
+        kind = self.kinds(w, first)
+        kind[(kind > WORD) & np.isin(key, self.clean)] = 0
         kind = kind[which]
         start, end = disguised(raw, offsets)
         before = np.concatenate([[0], np.cumsum(kind > 0)])
         lo, hi = np.searchsorted(w.start, start), np.searchsorted(w.start, end)
         new = (before[hi] == before[lo]) & (lo < hi)  # no part is a hit by itself
         start, end, lo = start[new], end[new], lo[new]
-        kind[lo[self.loose.walk(w.raw, start, end) > 0]] = 4  # stands at the first part
+        kind[lo[self.loose.walk(w.raw, start, end) > 0]] = LOOSE  # stands at the first part
         hits = np.flatnonzero(kind)
         text = np.searchsorted(w.offsets, hits, "right") - 1
         if len(hits):
             mark = np.concatenate([[0], np.cumsum(w.raw == 34)])
-            report = np.concatenate([[0], np.cumsum(np.isin(w.hash, self.reports))])
+            report = np.concatenate([[0], np.cumsum(np.isin(w.hash, self.report_keys))])
             lo, hi = np.maximum(hits - WINDOW, w.offsets[text]), np.minimum(hits + WINDOW, w.offsets[text + 1] - 1)
             before = mark[w.start[hits]] - mark[w.start[lo]]
             after = mark[w.end[hi]] - mark[w.end[hits]]
             edge = mark[np.minimum(w.end[hits] + 1, len(w.raw))] > mark[w.end[hits]]
             quoted = ((before % 2 == 1) & ((after > 0) | edge)) | (report[hi + 1] > report[lo])
-            np.add.at(out, (text, np.where(quoted, 3, np.array([0, 0, 1, 2, 5])[kind[hits]])), 1)
+            np.add.at(out, (text, np.where(quoted, 3, COLUMN[kind[hits]])), 1)
         return out
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -211,15 +249,18 @@ class Model:
 
 
 def _design(x: np.ndarray) -> np.ndarray:
-    hits, stem, words, loose = x[:, :4], x[:, 2:3], x[:, 4:5], x[:, 5:]
-    return np.hstack([np.ones((len(x), 1)), np.log1p(hits), np.minimum(hits, 1), np.minimum(np.maximum(stem - 1, 0), 2), np.log1p(1000 * stem / np.maximum(words, 50)), np.log1p(loose), np.minimum(loose, 1)])
+    hits, family, words, loose = x[:, :4], x[:, 2:3], x[:, 4:5], x[:, 5:]
+    return np.hstack([np.ones((len(x), 1)), np.log1p(hits), np.minimum(hits, 1), np.minimum(np.maximum(family - 1, 0), 2), np.log1p(1000 * family / np.maximum(words, 50)), np.log1p(loose), np.minimum(loose, 1)])
+
+
+#: Weights before any row is seen, by column of the design: a term counts, a misspelled or disguised one or a word of a
+#: family half as much, a quoted hit a quarter.
+PRIOR = np.array([0, 1, 0.5, 0.5, 0.25, 2, 1, 0.5, 0.25, 0.5, 0.1, 0.5, 1])
 
 
 def _fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton's method. A priori a term counts, a misspelled or disguised one or a stem half as
-    much, a quoted hit a quarter."""
-    d = _design(x)
-    prior = np.array([0, 1, 0.5, 0.5, 0.25, 2, 1, 0.5, 0.25, 0.5, 0.1, 0.5, 1])
+    """Ridge logistic regression towards ``PRIOR``, by Newton's method."""
+    d, prior = _design(x), PRIOR
     ridge = np.array([1e-3] + [1.0] * 12)
     w = prior.copy()
     for _ in range(50):
@@ -253,13 +294,14 @@ def _entries(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in (keys, texts, starts, ends, whole))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_terms: int = MAX_TERMS) -> Model:
-    """Learn lexicon and weights from ``labels`` (doc_id, toxic) and the texts of their documents."""
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, reports: tuple[str, ...] = REPORTS) -> Model:
+    """Learn lexicon and weights from ``labels`` (doc_id, toxic) and the texts of their documents; a hit near one of
+    ``reports``, the words by which other people's words are told, counts as quoted."""
     with scratch():
-        return _train(docs, labels, max_docs, max_terms)
+        return _train(docs, labels, max_docs, reports)
 
 
-def _train(docs: DataFrame, labels: DataFrame, max_docs: int, max_terms: int) -> Model:
+def _train(docs: DataFrame, labels: DataFrame, max_docs: int, reports: tuple[str, ...]) -> Model:
     spark = docs.sparkSession
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     share = min(1.0, max_docs / max(1, known.count()))
@@ -278,22 +320,16 @@ def _train(docs: DataFrame, labels: DataFrame, max_docs: int, max_terms: int) ->
                 uniq, first, which = np.unique(key, return_index=True, return_inverse=True)
                 bad = np.bincount(which, weights=toxic[of], minlength=len(uniq)).astype(np.int64)
                 raw = w.raw.tobytes()
-                some = np.flatnonzero(bad)  # an entry without a toxic document is only needed to count against it
                 text = [None] * len(uniq)
-                for k in some.tolist():
+                for k in np.flatnonzero(whole[first] | (bad > 0)).tolist():  # other beginnings are only counted
                     text[k] = raw[start[first[k]] : end[first[k]]].decode(errors="replace")
                 yield pa.RecordBatch.from_arrays([pa.array(uniq.view(np.int64)), pa.array(np.bincount(which, minlength=len(uniq))), pa.array(bad), pa.array(whole[first]), pa.array(text, pa.string())], names=["key", "n", "bad", "whole", "entry"])
 
     tally = sample.mapInArrow(count, "key long, n long, bad long, whole boolean, entry string")
     tally = tally.groupBy("key", "whole").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.max("entry").alias("entry"))
-    tally = written(tally.filter((F.col("bad") >= LEAST_GAIN) & (F.col("bad") >= F.when(F.col("whole"), PURE).otherwise(PURE_STEM) * F.col("n"))), "tally")
-    least, total = LEAST_GAIN, 0
-    for r in tally.groupBy("bad").count().orderBy(F.desc("bad")).toLocalIterator():
-        total += r["count"]
-        if total > MAX_CANDIDATES:
-            least = r["bad"] + 1
-            break
-    got = tally.filter(F.col("bad") >= least).toArrow()
+    tally = written(tally, "tally")
+    mostly = F.col("bad") >= PURE_STEM * F.col("n")
+    got = tally.filter((F.col("bad") >= LEAST_GAIN) & (F.col("bad") >= F.when(F.col("whole"), PURE).otherwise(PURE_STEM) * F.col("n"))).toArrow()
     candidates = sorted(zip(*(got.column(c).to_pylist() for c in ("entry", "whole", "key", "bad", "n")), strict=True))
     order = np.argsort(np.array([c[2] for c in candidates], np.int64).view(np.uint64))
     sent = spark.sparkContext.broadcast((np.array([c[2] for c in candidates], np.int64).view(np.uint64)[order], order))
@@ -313,24 +349,40 @@ def _train(docs: DataFrame, labels: DataFrame, max_docs: int, max_terms: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], names=["entries"])
 
     rows = sample.filter("toxic > 0").select("text").mapInArrow(incidence, "entries array<int>").toArrow().column("entries").to_pylist()
-    terms, stems = _cover(candidates, rows, max_terms)
-    model = Model(terms, stems)
+    terms, stems = _cover(candidates, rows)
+    begins = F.lit(False)
+    for stem in stems:
+        begins |= F.col("entry").startswith(stem)
+    family = sorted({r["entry"] for r in tally.filter(F.col("whole") & mostly & begins).select("entry").collect()} - {*terms, *stems})
+    draft = spark.sparkContext.broadcast(Model(terms, family, reports=reports))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = words_of(batch.column("entry"))
+            one = np.flatnonzero(np.diff(w.offsets) == 1)
+            first = w.offsets[one]
+            hit = draft.value.kinds(w, first) > WORD if len(first) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(w.hash[first[hit]].view(np.int64))], names=["key"])
+
+    clean = tally.filter(F.col("whole") & ~mostly).select("entry").mapInArrow(near, "key long").toArrow().column("key").to_numpy().view(np.uint64)
+    model = Model(terms, family, np.unique(clean), reports)
     shared = spark.sparkContext.broadcast(model)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
                 x = shared.value.features(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), *[pa.array(x[:, j]) for j in range(6)]], names=["toxic", *"abcdef"])
+                yield pa.RecordBatch.from_arrays([part.column("toxic"), *[pa.array(x[:, j]) for j in range(len(NAMES))]], names=["toxic", *NAMES])
 
-    t = sample.mapInArrow(features, "toxic int, a double, b double, c double, d double, e double, f double").toArrow()
-    y = t.column("toxic").to_numpy() > 0
+    t = sample.mapInArrow(features, "toxic int, " + ", ".join(f"{c} double" for c in NAMES)).toArrow()
+    y, x = t.column("toxic").to_numpy() > 0, np.stack([t.column(c).to_numpy() for c in NAMES], axis=1)
+    model.support = {c: (int((x[~y, j] > 0).sum()), int((x[y, j] > 0).sum())) for j, c in enumerate(NAMES)}
     if y.any() and not y.all():
-        model.weights = _fit(np.stack([t.column(c).to_numpy() for c in "abcdef"], axis=1), y.astype(float))
+        model.weights = _fit(x, y.astype(float))
     return model
 
 
-def _cover(candidates: list[tuple[str, bool, int, int, int]], rows: list[list[int]], most: int) -> tuple[list[str], list[str]]:
+def _cover(candidates: list[tuple[str, bool, int, int, int]], rows: list[list[int]]) -> tuple[list[str], list[str]]:
     """Greedy cover of toxic documents by candidates, weighed by how pure they are; of equal ones whole words come
     first, then longer ones."""
     docs: list[list[int]] = [[] for _ in candidates]
@@ -343,7 +395,7 @@ def _cover(candidates: list[tuple[str, bool, int, int, int]], rows: list[list[in
     least = max(LEAST_GAIN, LEAST_SHARE * len(rows))
     covered = np.zeros(len(rows), bool)
     terms, stems = [], []
-    while len(gain) and len(terms) + len(stems) < most:
+    while len(gain):
         best = int(np.lexsort((-rank, -gain * pure))[0])
         if gain[best] < least:
             break
