@@ -6,8 +6,6 @@ them. Results for ids that aren't valid, and for null, are null unless a functio
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,7 +60,7 @@ def is_valid(c: Column | str) -> Column:
     """Whether an id is a cell; null for null."""
     c = col(c)
     sevens = c.bitwiseAND(shr(c, 1)).bitwiseAND(shr(c, 2)).bitwiseAND(_long(ONES))  # a bit for each digit that is 7
-    unused = (shl(1, (F.lit(15) - raw_resolution(c)) * 3) - 1).bitwiseAND(_long(ONES))
+    unused = F.get(F.array(*[_long(((1 << (15 - r) * 3) - 1) & ONES) for r in range(16)]), raw_resolution(c))
     good = (shr(c, 56) == 8) & (base_cell(c) < 122) & (sevens == unused)
     return good & ~(base_cell(c).isin(*PENTAGONS) & _lead_is_k(_used(c)))
 
@@ -117,12 +115,12 @@ def child_at(c: Column | str, r: int, n: Column) -> Column:
     own = raw_resolution(c)
     clear = (shl(1, (F.lit(15) - own) * 3) - 1) - (shl(1, (15 - r) * 3) - 1)
     head = _at_resolution(c, r).bitwiseAND(F.bitwise_not(clear))
-    parts = [F.call_function("shiftleft", F.call_function("pmod", _div(n, 7**t), _long(7)), F.lit((15 - r + t) * 3)) for t in range(r)]
-    return reduce(lambda a, b: a.bitwiseOR(b), parts, head)
+    return head.bitwiseOR(F.call_function("shiftleft", base7(n), F.lit((15 - r) * 3)))
 
 
-def _div(n: Column, d: int) -> Column:
-    return F.call_function("div", n, _long(d)) if d > 1 else n
+def base7(n: Column) -> Column:
+    """The base 7 digits of a number in three bits each: one use of ``n``, however many digits it has."""
+    return F.conv(F.conv(n.cast("string"), 10, 7), 8, 10).cast("long")
 
 
 def child_count(c: Column | str, r: int) -> Column:
@@ -206,7 +204,12 @@ def from_hex(s: Column | str, kind: str = "cell") -> Column:
     good = F.length(s).between(1, 16) & s.rlike("^[0-9a-fA-F]+$")
     id_ = F.when(good, F.conv(s, 16, 10).cast("decimal(20,0)"))
     id_ = F.when(id_ <= F.lit(9223372036854775807).cast("decimal(20,0)"), id_.cast("long"))
-    return F.when(is_valid(id_) if kind == "cell" else is_valid_edge(id_), id_)
+    return bound(id_, lambda x: F.when(is_valid(x) if kind == "cell" else is_valid_edge(x), x))
+
+
+def bound(c: Column, f) -> Column:
+    """``f`` of a costly expression, which is evaluated once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 _TRIPLE = r"^\s*([-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)\s*[,;]\s*([-+]?[0-9]*\.?[0-9]+(?:[eE][-+]?[0-9]+)?)\s*[,;]\s*([0-9]{1,2})"

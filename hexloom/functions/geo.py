@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from hexloom.functions.bits import col
 from hexloom.kernel import cells as C
 from hexloom.kernel import grid as G
+from hexloom.kernel import polygons as P
 from hexloom.kernel import shapes as S
 from hexloom.kernel import vertexes as V
 
@@ -97,7 +98,7 @@ def _fixed(run: Callable, n: int) -> Callable:
     return (one, two, three)[n - 1]
 
 
-_ARITY = dict(from_lonlat=2, from_lonlat_at=3, to_lonlat=1, boundary=1, area=1, disk=1, disk_distances=1, ring=1, distance=2, neighbors=2, edge_to=2, edge_destination=1, edge_reversed=1, edge_boundary=1, edge_length=1, path=2, line=1, local_ij=2, from_local_ij=2, polygon_cells=1, polygon_cells_touching=1, touches=1, contains_point=2, envelope=1, dissolve=1, smooth=1, aligned=1, covered=1, vertexes=1, vertex_ids=1, vertex_to_lonlat=1, valid_vertex=1, max_polygon_cells=1, faces=1)
+_ARITY = dict(from_lonlat=2, from_lonlat_at=3, to_lonlat=1, boundary=1, area=1, disk=1, disk_distances=1, ring=1, distance=2, neighbors=2, edge_to=2, edge_destination=1, edge_reversed=1, edge_boundary=1, edge_length=1, path=2, line=1, local_ij=2, from_local_ij=2, polygon_cells=1, polygon_cells_touching=1, touches=1, contains_point=2, inside=2, envelope=1, dissolve=1, smooth=1, aligned=1, covered=1, vertexes=1, vertex_ids=1, vertex_to_lonlat=1, valid_vertex=1, max_polygon_cells=1, faces=1)
 
 
 def from_lonlat(lon: Column | str, lat: Column | str, res: int) -> Column:
@@ -383,8 +384,21 @@ def polygon_cells(polygon: Column | str, res: int) -> Column:
     return _udf("polygon_cells", "array<bigint>", res)(col(polygon))
 
 
-def _polygon_cells(p, res):
-    return pa.array([None if x is None else S.polygon_cells(_polygon(x), res) for x in p.to_pylist()], pa.list_(pa.int64()))
+def _flat(p: pa.Array) -> tuple[np.ndarray, P.Polygons]:
+    """The rows that hold polygons, and these polygons, without a Python object for a point."""
+    rows = np.flatnonzero(np.asarray(p.is_valid()))
+    outer, rings = p.offsets.to_numpy(), p.values
+    inner, points = rings.offsets.to_numpy(), rings.values
+    x, y = (points.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    size = np.diff(outer)[rows]
+    ring = np.repeat(outer[rows] - np.cumsum(size) + size, size) + np.arange(size.sum())
+    return rows, P.Polygons.of_rings(np.repeat(np.arange(len(rows)), size), inner[ring].astype(np.int64), inner[ring + 1].astype(np.int64), x, y, len(rows))
+
+
+def _polygon_cells(p, res, touching=False):
+    rows, polygons = _flat(p)
+    n, cells = P.cells_of(polygons, res, touching)
+    return _lists(len(p), rows, n, pa.array(cells))
 
 
 def polygon_cells_touching(polygon: Column | str, res: int) -> Column:
@@ -393,7 +407,7 @@ def polygon_cells_touching(polygon: Column | str, res: int) -> Column:
 
 
 def _polygon_cells_touching(p, res):
-    return pa.array([None if x is None else S.polygon_cells_touching(_polygon(x), res) for x in p.to_pylist()], pa.list_(pa.int64()))
+    return _polygon_cells(p, res, True)
 
 
 def envelope(c: Column | str, kind: str = "cell") -> Column:
@@ -444,6 +458,19 @@ def _contains_point(x, y, polygon):
     return pa.array(S.inside(p, rings), mask=null)
 
 
+def inside(point: Column | str, polygon: Column | str) -> Column:
+    """Whether a point (struct<x, y>) is inside the polygon of its row."""
+    return _udf("inside", "boolean")(col(point), col(polygon))
+
+
+def _inside(point, polygon):
+    rows, polygons = _flat(polygon)
+    good = np.asarray(point.is_valid())[rows]
+    x, y = (point.field(k).fill_null(0.0).to_numpy(zero_copy_only=False)[rows[good]] for k in (0, 1))
+    at = rows[good]
+    return _scatter(len(point), at, P.inside(x, y, np.flatnonzero(good), polygons), pa.bool_())
+
+
 def dissolve(cells: Column | str, smoothen: bool = False) -> Column:
     """Polygons of the union of an array of cells of one resolution."""
     return _udf("dissolve", f"array<{POLYGON}>", smoothen)(col(cells))
@@ -536,17 +563,15 @@ def max_polygon_cells(polygon: Column | str, res: int) -> Column:
 
 
 def _max_polygon_cells(p, res):
-    out = []
-    for x in p.to_pylist():
-        if x is None:
-            out.append(None)
-            continue
-        xy = np.concatenate(_polygon(x))
-        (x0, y0), (x1, y1) = xy.min(axis=0), xy.max(axis=0)
-        area = S.ring_area_m2(S.box(x0, y0, x1, y1)[0]) / 1e6
-        edge = np.hypot(x1 - x0, y1 - y0) * 111.2 / C.EDGE_KM[res]
-        out.append(int(np.ceil(2 * area / C.AREA_KM2[res] + 4 * edge)) + 12)
-    return pa.array(out, pa.int64())
+    rows, q = _flat(p)
+    box = np.zeros((4, len(rows)))
+    for k, (fold, v) in enumerate(((np.minimum, q.x0), (np.minimum, q.y0), (np.maximum, q.x0), (np.maximum, q.y0))):
+        if q.some.any():
+            box[k, q.some] = fold.reduceat(v, q.start[:-1][q.some])
+    x0, y0, x1, y1 = box
+    area = np.radians(x1 - x0) * np.abs(np.sin(np.radians(y1)) - np.sin(np.radians(y0))) * S.EARTH_RADIUS_EQUATOR_M**2 / 1e6
+    edge = np.hypot(x1 - x0, y1 - y0) * 111.2 / C.EDGE_KM[res]
+    return _scatter(len(p), rows, (np.ceil(2 * area / C.AREA_KM2[res] + 4 * edge) + 12).astype(np.int64), pa.int64())
 
 
 def icosahedron_faces(c: Column | str) -> Column:

@@ -184,6 +184,19 @@ def bounding_rect(df: DataFrame, cell: str, kind: str = "cell") -> DataFrame:
     return e.agg(F.min("e.x0").alias("x0"), F.min("e.y0").alias("y0"), F.max("e.x1").alias("x1"), F.max("e.y1").alias("y1"))
 
 
+TASK_CELLS = 200_000
+
+
+def polygon_cells(df: DataFrame, polygon: str, res: int, cell: str = "cell", touching: bool = False) -> DataFrame:
+    """``df`` once for each cell of its polygon. Rows are dealt out first if an estimate from their envelopes says that
+    they have more cells than a few tasks should fill."""
+    least = df.agg(F.sum(X.max_polygon_cells(polygon, res))).first()[0] or 0
+    tasks = min(df.sparkSession.sparkContext.defaultParallelism * 8, -(-least // TASK_CELLS))
+    dealt = df.repartition(int(tasks)) if tasks > 1 else df
+    cells = X.polygon_cells_touching(polygon, res) if touching else X.polygon_cells(polygon, res)
+    return dealt.withColumn(cell, F.explode(cells))
+
+
 def dissolve(df: DataFrame, cell: str, keys: list[str], smoothen: bool = False) -> DataFrame:
     """Polygons of each group's cells, which must share a resolution."""
     return df.filter(B.is_valid(cell)).groupBy(*keys).agg(F.collect_set(cell).alias("_c")).select(*keys, X.dissolve("_c", smoothen).alias("polygons"))

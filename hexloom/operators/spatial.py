@@ -7,13 +7,13 @@ the rows that pass; for joins, cells meet regions on a common ancestor. Invalid
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hexloom.functions import bits as B
 from hexloom.functions import geo as X
 from hexloom.kernel import shapes as S
+from hexloom.sources.shared import written
 
 
 def coordinate(c: Column | str, kind: str = "cell") -> Column:
@@ -79,23 +79,17 @@ def rect(x0: float, y0: float, x1: float, y1: float) -> list:
     return [[tuple(p) for p in r.tolist()] for r in S.box(x0, y0, x1, y1)]
 
 
-def region_join(cells: DataFrame, c: str, regions: DataFrame, polygon: str, res: int, coarse: int) -> DataFrame:
-    """Rows of ``cells`` (of one resolution ``res``) with the regions that hold their centres.
+def region_join(cells: DataFrame, c: str, regions: DataFrame, polygon: str, coarse: int) -> DataFrame:
+    """Rows of ``cells`` with the regions that hold their centres: each row once for each region, so that rows that
+    repeat, and regions that are equal, are all kept.
 
-    Regions are covered by cells of ``coarse``; both sides meet there in an equi-join, and the exact test runs only on
-    what met. No side is sent whole to all tasks.
+    A region is covered by cells of ``coarse``, and by their neighbours, as descendants reach over their ancestor's
+    sides; a row meets it on its one ancestor there, in an equi-join, so nothing meets twice. The exact test runs only
+    on what met. No side is sent whole to all tasks.
     """
-    cover = regions.withColumn("_r", F.explode(X.polygon_cells_touching(polygon, coarse)))
+    numbered = written(regions.withColumn("_k", F.monotonically_increasing_id()), "regions")
+    cover = numbered.select("_k", F.explode(X.polygon_cells_touching(polygon, coarse)).alias("_c")).distinct()
+    cover = cover.select("_k", F.explode(X.grid_disk("_c", 1)).alias("_r")).distinct()
     own = cells.withColumn("_r", B.parent(c, coarse)).withColumn("_p", X.to_lonlat(c))
-    around = own.withColumn("_r", F.explode(F.array_union(F.array("_r"), X.grid_ring("_r", 1))))  # children reach over
-    met = around.join(cover, "_r").dropDuplicates([*cells.columns, *[k for k in regions.columns if k != polygon]])
-    _ = res
-    return met.filter(_inside(F.col("_p"), F.col(polygon))).drop("_r", "_p")
-
-
-def _inside(point: Column, polygon: Column) -> Column:
-    def test(p: pa.Array, q: pa.Array) -> pa.Array:
-        rows = zip(p.to_pylist(), q.to_pylist(), strict=True)
-        return pa.array([None if a is None or b is None else bool(S.inside(np.array([[a["x"], a["y"]]]), X._polygon(b))[0]) for a, b in rows], pa.bool_())
-
-    return F.arrow_udf(test, "boolean")(point, polygon)
+    met = own.join(cover.join(numbered, "_k").drop("_k"), "_r")
+    return met.filter(X.inside("_p", polygon)).drop("_r", "_p")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hexloom.functions.bits import base7
+
 SPREAD = 7**7
 
 
@@ -13,11 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _cell(base: Column, n: Column, r: int) -> Column:
-    out = F.shiftleft(base.cast("long"), 45).bitwiseOR(F.lit((1 << 59) | (r << 52) | ((1 << ((15 - r) * 3)) - 1)))
-    for t in range(r):
-        d = F.call_function("pmod", F.call_function("div", n, F.lit(7**t).cast("long")) if t else n, F.lit(7).cast("long"))
-        out = out.bitwiseOR(F.shiftleft(d, (15 - r + t) * 3))
-    return out
+    head = F.shiftleft(base.cast("long"), 45).bitwiseOR(F.lit((1 << 59) | (r << 52) | ((1 << ((15 - r) * 3)) - 1)))
+    return head.bitwiseOR(F.shiftleft(base7(n), (15 - r) * 3))
 
 
 def lineitem_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

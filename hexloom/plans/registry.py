@@ -443,12 +443,12 @@ def _square(size: float):
 
 @query("polyfill")
 def polyfill(spark, sf):
-    return I.customer_points(spark, sf).select("c_custkey", F.explode(X.polygon_cells(_square(0.5), 6)).alias("cell"))
+    return FR.polygon_cells(I.customer_points(spark, sf).select("c_custkey", _square(0.5).alias("p")), "p", 6).drop("p")
 
 
 @query("polyfill_touching")
 def polyfill_touching(spark, sf):
-    return I.customer_points(spark, sf).select("c_custkey", F.explode(X.polygon_cells_touching(_square(0.5), 5)).alias("cell"))
+    return FR.polygon_cells(I.customer_points(spark, sf).select("c_custkey", _square(0.5).alias("p")), "p", 5, touching=True).drop("p")
 
 
 @query("linked_polygons")
@@ -493,9 +493,9 @@ def geometries_intersect(spark, sf):
 
 @query("region_join")
 def region_join(spark, sf):
-    regions = I.customer_points(spark, sf).filter("c_acctbal > 9000").select(F.col("c_custkey").alias("region"), _square(8.0).alias("polygon"))
+    regions = I.customer_points(spark, sf).select(F.col("c_custkey").alias("region"), _square(1.0).alias("polygon"))
     cells = _customer_cells(spark, sf, 7).select("c_custkey", "cell")
-    return SP.region_join(cells, "cell", regions, "polygon", 7, 2).select("c_custkey", "cell", "region")
+    return SP.region_join(cells, "cell", regions, "polygon", 4).select("c_custkey", "cell", "region")
 
 
 @query("raster_to_cells")

@@ -148,7 +148,7 @@ def test_region_join(spark):
     cells = frame(spark, disk(12.31, 45.4, 8, 8))
     region = [[{"x": x, "y": y} for x, y in ((12.28, 45.35), (12.35, 45.35), (12.35, 45.45), (12.28, 45.45), (12.28, 45.35))]]
     regions = spark.createDataFrame([(1, region)], f"region int, polygon {X.POLYGON}")
-    got = {r.cell for r in SP.region_join(cells, "cell", regions, "polygon", 8, 5).collect()}
+    got = {r.cell for r in SP.region_join(cells, "cell", regions, "polygon", 5).collect()}
     flat = cells.select("cell", X.to_lonlat("cell").alias("p")).filter("p.x > 12.28 AND p.x < 12.35 AND p.y > 45.35 AND p.y < 45.45")
     assert got == {r.cell for r in flat.collect()} and got
 
@@ -324,3 +324,44 @@ def test_frame_wrapper(spark):
         FR.CellFrame(df, "cell")
     w = FR.CellFrame(df, "cell", validate=False).filter_valid()
     assert w.resolution().df.first().h3_res == 5 and w.uncompact(6).df.count() == 7
+
+
+def test_region_join_keeps_repeated_rows_and_regions(spark):
+    cells = frame(spark, [cell(12.31, 45.4, 8)] * 2)
+    ring = [[{"x": x, "y": y} for x, y in ((12.28, 45.35), (12.35, 45.35), (12.35, 45.45), (12.28, 45.45))]]
+    far = [[{"x": p["x"] + 9, "y": p["y"]} for p in ring[0]]]
+    regions = spark.createDataFrame([(1, ring), (1, ring), (1, far), (2, None)], f"region int, polygon {X.POLYGON}")
+    assert SP.region_join(cells, "cell", regions, "polygon", 5).count() == 4
+
+
+def test_polygons_together_against_one_by_one(spark):
+    from hexloom.kernel import shapes as S
+
+    rng = np.random.default_rng(3)
+    polygons = []
+    for k in range(60):
+        x, y = rng.uniform(-170, 170), rng.uniform(-80, 80)
+        turn = np.sort(rng.uniform(0, 2 * np.pi, rng.integers(3, 9)))
+        outer = [(x + np.cos(t) * (0.2 + k / 40), y + np.sin(t) * (0.2 + k / 40)) for t in turn]
+        hole = [(x + 0.05, y + 0.05), (x - 0.05, y + 0.05), (x - 0.05, y - 0.05)]
+        polygons.append([outer, hole] if k % 3 == 0 else [outer, [(x, y)]] if k % 3 == 1 else [outer + outer[:1]])
+    rows = [(k, [[{"x": float(a), "y": float(b)} for a, b in r] for r in p]) for k, p in enumerate(polygons)] + [(100, None), (101, []), (102, [[{"x": 1.0, "y": 2.0}]])]
+    df = spark.createDataFrame(rows, f"k int, p {X.POLYGON}")
+    for res in (4, 5):
+        got = {r.k: r for r in df.select("k", X.polygon_cells("p", res).alias("a"), X.polygon_cells_touching("p", res).alias("t"), X.max_polygon_cells("p", res).alias("most")).collect()}
+        for k, p in enumerate(polygons):
+            assert got[k].a == S.polygon_cells(p, res).tolist() and got[k].t == S.polygon_cells_touching(p, res).tolist()
+            assert len(got[k].a) <= got[k].most
+        assert got[100].a is None and got[101].a == [] and got[102].t == []
+    dealt = FR.polygon_cells(df, "p", 5).groupBy("k").count().collect()
+    assert {r.k: r["count"] for r in dealt} == {k: len(S.polygon_cells(p, 5)) for k, p in enumerate(polygons) if len(S.polygon_cells(p, 5))}
+
+
+def test_plans_stay_short(spark):
+    """A cell that is an expression isn't copied into every use without bound."""
+    from hexloom.plans import inputs as I
+
+    ids = I.mixed_ids(spark, "/root/testdata/sf0.001")
+    size = lambda df: len(df._jdf.queryExecution().executedPlan().toString())
+    assert size(FR.filter_valid(ids, "cell")) < 12_000
+    assert size(I.lineitem_cells(spark, "/root/testdata/sf0.001").select(B.from_hex(B.to_hex("cell")))) < 6_000
