@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from hexloom.functions import bits as B
 from hexloom.functions import geo as X
 from hexloom.kernel import shapes as S
-from hexloom.sources.shared import written
+from hexloom.operators.frame import flat_clusters
+from hexloom.sources.shared import scratch, written
 
 ORIGIN, DESTINATION, BOTH = 1, 2, 3
 COLUMNS = ["edge", "origin", "destination", "weight"]
@@ -93,14 +94,14 @@ def downsample(graph: DataFrame, r: int, fold: Callable[[Column], Column] = F.mi
 
 
 def covered_area(graph: DataFrame, reduce_by: int) -> DataFrame:
-    """One row of polygons around all nodes, coarsened by ``reduce_by`` resolutions.
-
-    Outlines are chained on one executor, from the distinct coarse cells only.
-    """
-    n = nodes(graph)
-    res = max((n.agg(F.max(B.raw_resolution("cell"))).first()[0] or 0) - reduce_by, 0)
-    up = n.select(B.raw_parent("cell", res).alias("c")).distinct()
-    return up.agg(F.collect_list("c").alias("c")).select(X.covered_area("c", res).alias("polygons"))
+    """(component, polygons): outlines around the nodes, coarsened by ``reduce_by`` resolutions; a row for each connected
+    area of coarse cells, which is what one task chains."""
+    with scratch():
+        n = nodes(graph)
+        res = max((n.agg(F.max(B.raw_resolution("cell"))).first()[0] or 0) - reduce_by, 0)
+        up = written(n.select(B.raw_parent("cell", res).alias("c")).distinct(), "coarse")
+        label = flat_clusters(up, "c")
+        return written(label.groupBy("component").agg(F.collect_set("c").alias("c")).select("component", X.covered_area("c", res).alias("polygons")), "areas", keep=True)
 
 
 def bounding_rect(graph: DataFrame) -> DataFrame:
@@ -142,6 +143,11 @@ def prepare(graph: DataFrame, min_length: int = 4) -> DataFrame:
     """
     if min_length < 3:
         raise ValueError("chains have to have 3 edges at least")
+    with scratch():
+        return written(_prepared(graph, min_length), "prepared", keep=True)
+
+
+def _prepared(graph: DataFrame, min_length: int) -> DataFrame:
     g = written(graph.select(*COLUMNS), "graph")
     follow = g.select("edge", "origin", "destination").join(g.select(F.col("edge").alias("next"), F.col("origin").alias("destination"), F.col("destination").alias("_to")), "destination").filter("_to <> origin")
     one = follow.groupBy("edge").agg(F.count("*").alias("n"), F.min("next").alias("next")).filter("n = 1").select("edge", "next")

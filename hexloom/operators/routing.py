@@ -23,7 +23,7 @@ from hexloom.functions import bits as B
 from hexloom.functions import geo as X
 from hexloom.operators import graph as GR
 from hexloom.operators.frame import change_resolution
-from hexloom.sources.shared import written
+from hexloom.sources.shared import dropped, scratch, written
 
 SENT_EDGES = 2_000_000
 PATHS = "origin long, destination long, cost double, edges array<long>"
@@ -126,7 +126,12 @@ def within_threshold_many(graph: DataFrame, origins: DataFrame, cell: str, thres
 
 
 def _relaxed(graph: DataFrame, origins: DataFrame, threshold: float | None = None) -> DataFrame:
-    """(origin, node, cost, via) by rounds of relaxation; ``via`` is the last edge."""
+    """(origin, node, cost, via) by rounds of relaxation; ``via`` is the last edge. A round's tables go with the next."""
+    with scratch():
+        return written(_rounds(graph, origins, threshold), "reach", keep=True)
+
+
+def _rounds(graph: DataFrame, origins: DataFrame, threshold: float | None) -> DataFrame:
     g = graph.select("edge", F.col("origin").alias("node"), F.col("destination").alias("to"), F.col("weight").cast("double").alias("w"))
     known = GR.nodes(graph).select(F.col("cell").alias("origin"))
     best = written(origins.join(known, "origin", "left_semi").select("origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("long").alias("via")), "reach")
@@ -140,12 +145,20 @@ def _relaxed(graph: DataFrame, origins: DataFrame, threshold: float | None = Non
         better = written(new.join(old, ["origin", "node"], "left").filter("old IS NULL OR cost < old").drop("old"), "front")
         if better.isEmpty():
             return best
+        old = (best, front)
         best = written(best.join(better.select("origin", "node"), ["origin", "node"], "left_anti").unionByName(better), "reach")
         front = better
+        for x in old:
+            dropped(x)
 
 
 def _walked(graph: DataFrame, reach: DataFrame, wanted: DataFrame) -> DataFrame:
     """Paths (origin, destination, cost, edges) of the wanted (origin, destination), edge by edge from their ends."""
+    with scratch():
+        return written(_steps(graph, reach, wanted), "paths", keep=True)
+
+
+def _steps(graph: DataFrame, reach: DataFrame, wanted: DataFrame) -> DataFrame:
     g = graph.select(F.col("edge").alias("via"), F.col("origin").alias("back"))
     at = wanted.join(reach.select("origin", F.col("node").alias("destination"), "cost"), ["origin", "destination"]).select("origin", "destination", "cost", F.col("destination").alias("node"), F.array().cast("array<bigint>").alias("edges"))
     at = written(at, "walk")
