@@ -7,10 +7,7 @@ sums of a polynomial hash modulo 2**64, so that any span of bytes is hashed with
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hexloom.sources.shared import deleted, dropped, scratch, shared_dir, written  # noqa: F401
+
 CHUNK_BYTES = 1 << 20
-_own_dir: list[str] = []
 
 
 def _lean() -> None:
@@ -40,62 +38,6 @@ def _lean() -> None:
 _lean()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``. Only where that is unset and driver and executors are one process, a
-    temporary one; a cluster without a shared folder is an error, as its executors couldn't read each other's files."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="hexloom-"))
-    return _own_dir[0]
-
-
-_scratch: list[list[DataFrame]] = []
-
-
-@contextmanager
-def scratch() -> Iterator[None]:
-    """Delete the tables that ``written`` makes inside, but for those made with ``keep``, when the block ends."""
-    _scratch.append([])
-    try:
-        yield
-    finally:
-        for df in _scratch.pop():
-            dropped(df)
-
-
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage.
-
-    ``keep``: the table outlives the innermost ``scratch`` block (but not one around that).
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._hexloom_path = path
-    level = len(_scratch) - 1 - keep
-    if level >= 0:
-        _scratch[level].append(back)
-    return back
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete a table that ``written`` made and that nothing reads any more."""
-    path = getattr(df, "_hexloom_path", None)
-    if path:
-        deleted(df.sparkSession, path)
-
-
-def deleted(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared store, if it is there."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
