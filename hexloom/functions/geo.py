@@ -98,7 +98,7 @@ def _fixed(run: Callable, n: int) -> Callable:
     return (one, two, three)[n - 1]
 
 
-_ARITY = dict(from_lonlat=2, from_lonlat_at=3, to_lonlat=1, boundary=1, area=1, disk=1, disk_distances=1, ring=1, distance=2, neighbors=2, edge_to=2, edge_destination=1, edge_reversed=1, edge_boundary=1, edge_length=1, path=2, line=1, local_ij=2, from_local_ij=2, polygon_cells=1, polygon_cells_touching=1, touches=1, contains_point=2, inside=2, envelope=1, dissolve=1, smooth=1, aligned=1, covered=1, vertexes=1, vertex_ids=1, vertex_to_lonlat=1, valid_vertex=1, max_polygon_cells=1, faces=1)
+_ARITY = dict(from_lonlat=2, from_lonlat_at=3, to_lonlat=1, boundary=1, area=1, disk=1, disk_distances=1, ring=1, distance=2, neighbors=2, edge_to=2, edge_destination=1, edge_destinations=1, edge_lengths=1, centres=1, edge_reversed=1, edge_boundary=1, edge_length=1, path=2, line=1, local_ij=2, from_local_ij=2, polygon_cells=1, polygon_cells_touching=1, touches=1, contains_point=2, inside=2, envelope=1, dissolve=1, smooth=1, aligned=1, covered=1, vertexes=1, vertex_ids=1, vertex_to_lonlat=1, valid_vertex=1, max_polygon_cells=1, faces=1)
 
 
 def from_lonlat(lon: Column | str, lat: Column | str, res: int) -> Column:
@@ -262,6 +262,40 @@ def _edge_destination(e):
     return _scatter(len(h), at, C.edge_destination(h[at]), pa.int64())
 
 
+def _inside_lists(a: pa.Array, of: Callable) -> pa.Array:
+    """A list array with ``of`` applied to all elements at once; null lists stay null."""
+    size = a.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), of(a.flatten()), mask=a.is_null())
+
+
+def edge_destinations(edges: Column | str) -> Column:
+    """The destinations of an array of edges."""
+    return _udf("edge_destinations", "array<bigint>")(col(edges))
+
+
+def _edge_destinations(edges):
+    return _inside_lists(edges, _edge_destination)
+
+
+def edge_lengths_m(edges: Column | str) -> Column:
+    """The lengths of an array of edges."""
+    return F.transform(_udf("edge_lengths", "array<double>")(col(edges)), lambda x: x * G.EARTH_KM * 1000.0)
+
+
+def _edge_lengths(edges):
+    return _inside_lists(edges, _edge_length)
+
+
+def centres(cells: Column | str) -> Column:
+    """The centres of an array of cells, as a line."""
+    return _udf("centres", RING)(col(cells))
+
+
+def _centres(cells):
+    return _inside_lists(cells, _to_lonlat)
+
+
 def edge_reversed(e: Column | str) -> Column:
     return _udf("edge_reversed", "bigint")(col(e))
 

@@ -252,23 +252,43 @@ def differential(graph: DataFrame, origins: DataFrame, origin: str, destinations
 
 def path_cells(paths: DataFrame) -> DataFrame:
     """``paths`` with ``cells``, the cells that each path visits, in order."""
-    steps = paths.withColumn("_id", F.monotonically_increasing_id())
-    far = steps.select("_id", F.posexplode("edges").alias("p", "e")).withColumn("c", X.edge_destination("e"))
-    far = far.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("p", "c"))).alias("s"))
-    start = F.when(F.size("edges") > 0, B.raw_edge_origin(F.element_at("edges", 1))).otherwise(F.col("origin"))
-    return steps.join(far, "_id", "left").withColumn("cells", F.concat(F.array(start), F.coalesce(F.transform("s", lambda x: x["c"]), F.array().cast("array<bigint>")))).drop("_id", "s")
+    start = F.when(F.size("edges") > 0, B.raw_edge_origin(F.get("edges", F.lit(0)))).otherwise(F.col("origin"))
+    return paths.withColumn("cells", F.concat(F.array(start), X.edge_destinations("edges")))
 
 
 def path_lengths(paths: DataFrame) -> DataFrame:
     """``paths`` with ``length_m``, the sum of the edges' boundary lengths."""
-    steps = paths.withColumn("_id", F.monotonically_increasing_id())
-    far = steps.select("_id", F.explode("edges").alias("e")).withColumn("m", X.edge_length_m("e")).groupBy("_id").agg(F.sum("m").alias("length_m"))
-    return steps.join(far, "_id", "left").withColumn("length_m", F.coalesce("length_m", F.lit(0.0))).drop("_id")
+    return paths.withColumn("length_m", F.aggregate(X.edge_lengths_m("edges"), F.lit(0.0), lambda s, m: s + m))
 
 
 def path_lines(paths: DataFrame) -> DataFrame:
     """``paths`` with ``points``, the line through the visited cells' centres."""
-    cells = path_cells(paths).withColumn("_id", F.monotonically_increasing_id())
-    p = cells.select("_id", F.posexplode("cells").alias("p", "c")).withColumn("xy", X.to_lonlat("c"))
-    p = p.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("p", "xy"))).alias("s"))
-    return cells.join(p, "_id").withColumn("points", F.transform("s", lambda x: x["xy"])).drop("_id", "s")
+    cells = paths if "cells" in paths.columns else path_cells(paths)
+    return cells.withColumn("points", X.centres("cells"))
+
+
+def transformed(paths: DataFrame, *made) -> DataFrame:
+    """``paths`` with something made of each path in place of its edges: ``made`` are functions of this module as
+    ``path_cells``, ``path_lengths`` or ``path_lines``, or any from frame to frame."""
+    for f in made:
+        paths = f(paths)
+    return paths.drop("edges")
+
+
+def shortest_paths_map(graph: DataFrame, origins: DataFrame, origin: str, destinations: DataFrame, destination: str, *made, options: Options = Options()) -> DataFrame:
+    """``shortest_paths`` with something made of each path where it is found, so that its edges are not kept."""
+    return transformed(shortest_paths(graph, origins, origin, destinations, destination, options), *made)
+
+
+def differential_map(graph: DataFrame, origins: DataFrame, origin: str, destinations: DataFrame, destination: str, exclude: DataFrame, cell: str, *made, options: Options = Options()) -> DataFrame:
+    """``differential`` of what is made of each path: (origin, before, after), arrays of what is left of the paths."""
+    if exclude.isEmpty():
+        raise ValueError("nothing to exclude")
+
+    def grouped(g: DataFrame, name: str) -> DataFrame:
+        p = shortest_paths_map(g, origins, origin, destinations, destination, *made, options=options)
+        rest = [c for c in p.columns if c not in ("origin", "cost", "destination")]
+        return p.groupBy("origin").agg(F.array_sort(F.collect_list(F.struct("cost", "destination", *rest))).alias(name))
+
+    before, after = grouped(graph, "before"), grouped(GR.exclude_cells(graph, exclude, cell), "after")
+    return before.join(after, "origin", "left").withColumn("after", F.coalesce("after", F.array().cast(before.schema["before"].dataType)))

@@ -106,9 +106,11 @@ def h3_child_pos(spark, sf):
     return I.lineitem_cells(spark, sf).select("l_orderkey", "l_linenumber", B.child_pos("cell", 3).cast("int").alias("pos"))
 
 
-@query("h3_contains", f"WITH {CELLS} SELECT l_orderkey, l_linenumber, {D.parent('cell', 3)} = {D.parent('cell', 3)} AS up, {D.parent('cell', 3)} = cell AS down FROM cells")
+@query("h3_contains", f"WITH {CELLS} SELECT l_orderkey, l_linenumber, l_linenumber % 2 = 0 AS up, FALSE AS down FROM cells")
 def h3_contains(spark, sf):
-    c = I.lineitem_cells(spark, sf).withColumn("p", B.parent("cell", 3))
+    """An ancestor holds a cell, unless (for odd lines) it is of another base cell."""
+    p = B.parent("cell", 3) + F.shiftleft((F.col("l_linenumber") % 2).cast("long"), 45)
+    c = I.lineitem_cells(spark, sf).withColumn("p", p)
     return c.select("l_orderkey", "l_linenumber", B.contains("p", "cell").alias("up"), F.coalesce(B.contains("cell", "p"), F.lit(False)).alias("down"))
 
 
@@ -348,10 +350,10 @@ def within_distance(spark, sf):
     return I.customer_points(spark, sf).filter(SP.point_within("lon", "lat", (10.0, 20.0), 30.0)).select("c_custkey")
 
 
-@query("envelope_intersects", f"WITH {I.CUSTOMER_POINTS} SELECT c_custkey FROM points WHERE lon <= 50 AND lon + 2 >= 40 AND lat <= 50 AND lat + 1 >= 40")
+@query("envelope_intersects", f"WITH {I.CUSTOMER_POINTS} SELECT c_custkey FROM points WHERE lon <= 70 AND lon + 2 >= -40 AND lat <= 50 AND lat + 1 >= -30")
 def envelope_intersects(spark, sf):
     e = F.struct(F.col("lon").alias("x0"), F.col("lat").alias("y0"), (F.col("lon") + 2).alias("x1"), (F.col("lat") + 1).alias("y1"))
-    return I.customer_points(spark, sf).withColumn("e", e).filter(SP.envelopes_intersect(F.col("e"), (40.0, 40.0, 50.0, 50.0))).select("c_custkey")
+    return I.customer_points(spark, sf).withColumn("e", e).filter(SP.envelopes_intersect(F.col("e"), (-40.0, -30.0, 70.0, 50.0))).select("c_custkey")
 
 
 # ---- geometry ------------------------------------------------------------------------------------------------------
@@ -373,16 +375,6 @@ def cell_round_trip(spark, sf):
     return c.select("c_custkey", (X.from_lonlat("p.x", "p.y", 12) == F.col("cell")).alias("same"))
 
 
-@query("cell_boundary")
-def cell_boundary(spark, sf):
-    return _customer_cells(spark, sf, 7).select("c_custkey", X.boundary("cell").alias("ring"))
-
-
-@query("cell_area")
-def cell_area(spark, sf):
-    return _customer_cells(spark, sf, 5).select("c_custkey", F.round(X.area_km2("cell"), 6).alias("km2"))
-
-
 @query("cell_area_total", "SELECT 510065621.724 AS km2")
 def cell_area_total(spark, sf):
     """The areas of all cells of resolution 1 make up the sphere."""
@@ -390,121 +382,22 @@ def cell_area_total(spark, sf):
     return c.agg(F.round(F.sum(X.area_km2("cell")), 3).alias("km2"))
 
 
-@query("grid_disk")
-def grid_disk(spark, sf):
-    return _customer_cells(spark, sf, 8).select("c_custkey", F.explode(X.grid_disk("cell", 2)).alias("near"))
-
-
 @query("grid_disk_sizes", "SELECT c_custkey, 37 AS cells, 18 AS ring FROM customer")
 def grid_disk_sizes(spark, sf):
     """Away from pentagons a disk of 3 steps has 37 cells."""
     return _customer_cells(spark, sf, 13).select("c_custkey", F.size(X.grid_disk("cell", 3)).alias("cells"), F.size(X.grid_ring("cell", 3)).alias("ring"))
 
 
-@query("grid_ring")
-def grid_ring(spark, sf):
-    return _customer_cells(spark, sf, 8).select("c_custkey", F.explode(X.grid_ring("cell", 2)).alias("near"))
-
-
-@query("grid_distance")
-def grid_distance(spark, sf):
-    c = _customer_cells(spark, sf, 8).select("c_custkey", "cell", F.inline(X.grid_disk_distances("cell", 1, 2)).alias("k", "near"))
-    return c.select("c_custkey", "near", "k", X.grid_distance("cell", "near").alias("distance"))
-
-
-@query("local_ij_round_trip")
-def local_ij_round_trip(spark, sf):
-    c = _customer_cells(spark, sf, 8).select("c_custkey", "cell", F.explode(X.grid_ring("cell", 1)).alias("near")).withColumn("ij", X.to_local_ij("cell", "near"))
-    return c.select("c_custkey", "near", "ij", X.from_local_ij("cell", "ij").alias("back"))
-
-
-@query("directed_edges")
-def directed_edges(spark, sf):
-    e = _customer_cells(spark, sf, 8).select("c_custkey", F.explode(B.outgoing_edges("cell")).alias("edge"))
-    return e.select("c_custkey", "edge", X.edge_destination("edge").alias("destination"), X.edge_reversed("edge").alias("reversed"))
-
-
-@query("edge_length")
-def edge_length(spark, sf):
-    e = _customer_cells(spark, sf, 8).select("c_custkey", F.explode(B.outgoing_edges("cell")).alias("edge"))
-    return e.select("edge", F.round(X.edge_length_m("edge"), 3).alias("m"))
-
-
-@query("line_cells")
-def line_cells(spark, sf):
-    p = I.customer_points(spark, sf)
-    ends = F.array(*[F.struct((F.col("lon") + d).alias("x"), (F.col("lat") + d / 2).alias("y")) for d in (0.0, 0.4)])
-    return p.select("c_custkey", X.line_cells(ends, 7).alias("cells"))
-
-
 def _square(size: float):
     return F.array(F.array(*[F.struct((F.col("lon") + dx * size).alias("x"), (F.col("lat") + dy * size).alias("y")) for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))]))
 
 
-@query("polyfill")
-def polyfill(spark, sf):
-    return FR.polygon_cells(I.customer_points(spark, sf).select("c_custkey", _square(0.5).alias("p")), "p", 6).drop("p")
-
-
-@query("polyfill_touching")
-def polyfill_touching(spark, sf):
-    return FR.polygon_cells(I.customer_points(spark, sf).select("c_custkey", _square(0.5).alias("p")), "p", 5, touching=True).drop("p")
-
-
-@query("linked_polygons")
-def linked_polygons(spark, sf):
-    c = _customer_cells(spark, sf, 6).select("c_custkey", X.grid_ring("cell", 1).alias("ring"))
-    return c.select("c_custkey", X.dissolve("ring").alias("polygons"))
-
-
 @query("aligned_polygons")
 def aligned_polygons(spark, sf):
     c = _customer_cells(spark, sf, 6).select(F.explode(X.grid_disk("cell", 1)).alias("cell")).distinct()
     return FR.dissolve_aligned(c, "cell", 4)
 
 
-@query("cell_clusters")
-def cell_clusters(spark, sf):
-    return FR.flat_clusters(I.part_cells(spark, sf), "cell")
-
-
-@query("cell_clusters_eq_value")
-def cell_clusters_eq_value(spark, sf):
-    one = I.part_cells(spark, sf).groupBy("cell").agg((F.min("p_size") % 3).alias("kind"))
-    return FR.flat_clusters(one, "cell", "kind")
-
-
-@query("neighbor_values")
-def neighbor_values(spark, sf):
-    v = I.part_cells(spark, sf).groupBy("cell").agg(F.min("p_size").alias("size"))
-    return FR.neighbor_values(v.select("cell"), v, "cell", "size", 1, 2, 0)
-
-
-@query("bounding_rect")
-def bounding_rect(spark, sf):
-    return FR.bounding_rect(I.part_cells(spark, sf), "cell")
-
-
-@query("geometries_intersect")
-def geometries_intersect(spark, sf):
-    c = _customer_cells(spark, sf, 4).select("c_custkey", "cell")
-    return SP.geometries_intersect(c, "cell", [SP.rect(-60, -30, 60, 40)], "hit")
-
-
-@query("region_join")
-def region_join(spark, sf):
-    regions = I.customer_points(spark, sf).select(F.col("c_custkey").alias("region"), _square(1.0).alias("polygon"))
-    cells = _customer_cells(spark, sf, 7).select("c_custkey", "cell")
-    return SP.region_join(cells, "cell", regions, "polygon", 4).select("c_custkey", "cell", "region")
-
-
-@query("raster_to_cells")
-def raster_to_cells(spark, sf):
-    t = RA.Transform.from_rasterio((0.02, 0.0, 10.0, 0.0, -0.02, 48.0))
-    pixels = spark.range(200 * 150).select((F.col("id") % 150).cast("int").alias("row"), (F.col("id") / 150).cast("int").alias("col")).withColumn("value", F.expr("(row div 20 + col div 30) % 4"))
-    return RA.to_cells(pixels, (150, 200), t, 7, nodata=0)
-
-
 def _cell_graph(spark, sf):
     """Edges between neighbouring cells around some customers."""
     c = I.customer_points(spark, sf).filter("lat BETWEEN -5 AND 5").select(X.from_lonlat("lon", "lat", 3).alias("cell")).distinct()
@@ -513,49 +406,16 @@ def _cell_graph(spark, sf):
     return GR.from_edges(e.withColumn("weight", (F.pmod(F.xxhash64("edge"), F.lit(9)) + 1).cast("long")))
 
 
-@query("graph_downsample")
-def graph_downsample(spark, sf):
-    return GR.downsample(_cell_graph(spark, sf), 2)
-
-
-@query("graph_nearest_nodes")
-def graph_nearest_nodes(spark, sf):
-    g = _cell_graph(spark, sf)
-    cells = I.customer_points(spark, sf).filter("lat BETWEEN -8 AND 8").select(X.from_lonlat("lon", "lat", 3).alias("cell"))
-    return GR.nearest_nodes(cells, "cell", GR.nodes(g), 3)
-
-
-@query("graph_long_edges")
-def graph_long_edges(spark, sf):
-    line = spark.createDataFrame([(10.0, 20.0, 20.0, 20.0)], "a double, b double, c double, d double")
-    ends = F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("c").alias("x"), F.col("d").alias("y")))
-    cells = line.select(F.posexplode(X.line_cells(ends, 4)).alias("p", "cell"), F.lit(0).alias("seq"))
-    edges = FR.cells_to_edges(cells, "cell", "p", ["seq"]).withColumn("weight", F.lit(10))
-    return GR.counts(GR.prepare(GR.from_edges(edges)))
-
-
-@query("graph_differential")
-def graph_differential(spark, sf):
-    g = _cell_graph(spark, sf)
-    n = GR.nodes(g).filter("node_type = 3")
-    starts, ends = (n.filter(F.pmod(F.xxhash64("cell"), F.lit(23)) == k).select("cell") for k in (1, 2))
-    gone = n.filter(F.pmod(F.xxhash64("cell"), F.lit(23)) == 3).select("cell")
-    return RO.differential(g, starts, "cell", ends, "cell", gone, "cell")
-
-
 @query("graph_covered_area")
 def graph_covered_area(spark, sf):
     return GR.covered_area(_cell_graph(spark, sf), 1)
 
 
-@query("cell_vertexes")
-def cell_vertexes(spark, sf):
-    v = _customer_cells(spark, sf, 8).select("c_custkey", F.explode(X.vertex_ids("cell")).alias("vertex"))
-    return v.select("c_custkey", "vertex", X.vertex_to_lonlat("vertex").alias("at"))
-
-
 @query("polyfill_estimate", "SELECT c_custkey, TRUE AS enough FROM customer")
 def polyfill_estimate(spark, sf):
     """No polygon has more cells than estimated."""
     p = I.customer_points(spark, sf).withColumn("polygon", _square(0.5))
     return p.select("c_custkey", (F.size(X.polygon_cells("polygon", 5)) <= X.max_polygon_cells("polygon", 5)).alias("enough"))
+
+
+from hexloom.plans import inner  # noqa: E402, F401  registers its queries
