@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from hexloom.functions.bits import col
 from hexloom.kernel import cells as C
+from hexloom.kernel import geometry as Q
 from hexloom.kernel import grid as G
 from hexloom.kernel import polygons as P
 from hexloom.kernel import shapes as S
@@ -98,7 +99,7 @@ def _fixed(run: Callable, n: int) -> Callable:
     return (one, two, three)[n - 1]
 
 
-_ARITY = dict(from_lonlat=2, from_lonlat_at=3, to_lonlat=1, boundary=1, area=1, disk=1, disk_distances=1, ring=1, distance=2, neighbors=2, edge_to=2, edge_destination=1, edge_destinations=1, edge_lengths=1, centres=1, edge_reversed=1, edge_boundary=1, edge_length=1, path=2, line=1, local_ij=2, from_local_ij=2, polygon_cells=1, polygon_cells_touching=1, touches=1, contains_point=2, inside=2, envelope=1, dissolve=1, smooth=1, aligned=1, covered=1, vertexes=1, vertex_ids=1, vertex_to_lonlat=1, valid_vertex=1, max_polygon_cells=1, faces=1)
+_ARITY = dict(from_lonlat=2, from_lonlat_at=3, to_lonlat=1, boundary=1, area=1, disk=1, disk_distances=1, ring=1, distance=2, neighbors=2, edge_to=2, edge_destination=1, edge_destinations=1, edge_lengths=1, centres=1, edge_reversed=1, edge_boundary=1, edge_length=1, path=2, line=1, local_ij=2, from_local_ij=2, polygon_cells=1, polygon_cells_touching=1, touches=1, geometry_cells=1, contains_point=2, inside=2, envelope=1, dissolve=1, smooth=1, aligned=1, covered=1, vertexes=1, vertex_ids=1, vertex_to_lonlat=1, valid_vertex=1, max_polygon_cells=1, faces=1)
 
 
 def from_lonlat(lon: Column | str, lat: Column | str, res: int) -> Column:
@@ -444,6 +445,26 @@ def _polygon_cells_touching(p, res):
     return _polygon_cells(p, res, True)
 
 
+def geometry_cells(g: Column | str, res: int, touching: bool = False, form: str = "geojson") -> Column:
+    """Distinct cells of a geometry of any kind (Point to GeometryCollection), from GeoJSON text or, with ``form`` "wkb",
+    well-known binary; null for what is no geometry. Collections are the union of their parts."""
+    return _udf("geometry_cells", "array<bigint>", res, touching, form)(col(g))
+
+
+def _geometry_cells(g, res, touching, form):
+    read = Q.from_geojson if form == "geojson" else Q.from_wkb
+    rows, found = [], []
+    for k, x in enumerate(g.to_pylist()):
+        try:
+            if x is not None:
+                found.append(read(x))
+                rows.append(k)
+        except Q.GeometryInvalid:
+            pass
+    cells = Q.cells_of(found, res, touching)
+    return _lists(len(g), np.array(rows, np.int64), np.array([len(c) for c in cells], np.int64), pa.array(np.concatenate(cells) if cells else np.zeros(0, np.int64)))
+
+
 def envelope(c: Column | str, kind: str = "cell") -> Column:
     """struct<x0, y0, x1, y1>: the box around a cell's boundary, or around an edge's line."""
     return _udf("envelope", "struct<x0:double,y0:double,x1:double,y1:double>", kind)(col(c))

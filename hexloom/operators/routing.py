@@ -52,6 +52,16 @@ class Arrays:
         self.cells = np.unique(np.concatenate([o, d]))
         self.to = np.searchsorted(self.cells, d[order])
         self.start = np.searchsorted(np.searchsorted(self.cells, o[order]), np.arange(len(self.cells) + 1))
+        #: Of edges that start a long edge: its end, its cost, the nodes between, and its edges.
+        self.long: dict[int, tuple[int, float, frozenset[int], list[int]]] = {}
+        if "longedge" in table.column_names:
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            ends = dict(zip(e.tolist(), d.tolist(), strict=True))
+            for k, x in enumerate(table.column("longedge").to_pylist()):
+                if x is not None:
+                    between = frozenset(np.searchsorted(self.cells, [ends[p] for p in x["path"][:-1]]).tolist())
+                    self.long[int(place[k])] = (int(np.searchsorted(self.cells, x["destination"])), float(x["weight"]), between, x["path"])
 
     def search(self, origin: int, wanted: set[int] | None, count: int | None, limit: float | None):
         """(cost, last edge position by node) in order of cost, stopped as soon as the wanted nodes are settled."""
@@ -74,6 +84,9 @@ class Arrays:
                     break
             for k in range(self.start[n], self.start[n + 1]):
                 m, new = int(self.to[k]), c + self.weight[k]
+                far = self.long.get(k) if wanted is not None else None
+                if far is not None and far[2].isdisjoint(wanted):
+                    m, new = far[0], c + far[1]  # nobody asks for what lies between
                 if limit is not None and new > limit:
                     continue
                 if m not in cost or new < cost[m]:
@@ -89,14 +102,15 @@ class Arrays:
         out = []
         while node in via:
             k = via[node]
-            out.append(int(self.edge[k]))
+            far = self.long.get(k)
+            out += far[3][::-1] if far is not None and far[0] == node and int(self.to[k]) != node else [int(self.edge[k])]
             node = int(origin_of[k])
         return out[::-1]
 
 
 def _sent(graph: DataFrame):
     """The graph as a broadcast, or None if it is too large for that."""
-    g = graph.select(*GR.COLUMNS)
+    g = graph.select(*GR.COLUMNS, *(["longedge"] if "longedge" in graph.columns else []))
     if g.limit(SENT_EDGES + 1).count() > SENT_EDGES:
         return None
     return g.sparkSession.sparkContext.broadcast(Arrays(g.toArrow()))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import struct
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexloom.functions import bits as B
 from hexloom.functions import geo as X
+from hexloom.kernel.geometry import from_wkb, to_wkb
 
 
 def save_graph(graph: DataFrame, path: str, compression: str = "zstd") -> None:
@@ -44,21 +43,11 @@ def save_geojson(df: DataFrame, cell: str, path: str) -> None:
 
 def polygon_to_wkb(polygon: list) -> bytes:
     """Well-known binary of a polygon (rings of (x, y))."""
-    out = struct.pack("<BII", 1, 3, len(polygon))
-    for ring in polygon:
-        out += struct.pack("<I", len(ring)) + b"".join(struct.pack("<dd", *p) for p in ring)
-    return out
+    return to_wkb(("Polygon", polygon))
 
 
 def polygon_from_wkb(raw: bytes) -> list:
-    order = "<" if raw[0] == 1 else ">"
-    kind, n = struct.unpack_from(order + "II", raw, 1)
-    if kind != 3:
+    kind, rings = from_wkb(raw)
+    if kind != "Polygon":
         raise ValueError("not a polygon")
-    at, rings = 9, []
-    for _ in range(n):
-        size = struct.unpack_from(order + "I", raw, at)[0]
-        v = struct.unpack_from(f"{order}{2 * size}d", raw, at + 4)
-        rings.append(list(zip(v[::2], v[1::2], strict=True)))
-        at += 4 + 16 * size
-    return rings
+    return [[tuple(p) for p in r] for r in rings]

@@ -365,3 +365,110 @@ def test_plans_stay_short(spark):
     size = lambda df: len(df._jdf.queryExecution().executedPlan().toString())
     assert size(FR.filter_valid(ids, "cell")) < 12_000
     assert size(I.lineitem_cells(spark, "/root/testdata/sf0.001").select(B.from_hex(B.to_hex("cell")))) < 6_000
+
+
+def test_geometries_of_all_kinds(spark):
+    import json
+
+    from hexloom.kernel import geometry as Q
+    from hexloom.kernel import shapes as S
+
+    square = lambda x, y: [[[x, y], [x + 1, y], [x + 1, y + 1], [x, y + 1], [x, y]]]
+    line, point = [[0.0, 0.0], [2.0, 1.0]], [5.0, 5.0]
+    own = {
+        "Point": (point, {cell(5, 5, 5)}),
+        "MultiPoint": ([point, [7.0, 7.0], point], {cell(5, 5, 5), cell(7, 7, 5)}),
+        "LineString": (line, set(C.line(np.array(line), 5).tolist())),
+        "MultiLineString": ([line, [[9.0, 9.0], [9.5, 9.0]]], {*C.line(np.array(line), 5).tolist(), *C.line(np.array([[9.0, 9.0], [9.5, 9.0]]), 5).tolist()}),
+        "Polygon": (square(10.0, 10.0), set(S.polygon_cells([np.array(square(10, 10)[0], float)], 5).tolist())),
+        "MultiPolygon": ([square(10.0, 10.0), square(10.5, 10.5)], {*S.polygon_cells([np.array(square(10, 10)[0], float)], 5).tolist(), *S.polygon_cells([np.array(square(10.5, 10.5)[0], float)], 5).tolist()}),
+    }
+    rows = [(k, json.dumps({"type": k, "coordinates": v}), Q.to_wkb((k, v))) for k, (v, _) in own.items()]
+    parts = [{"type": k, "coordinates": v} for k, (v, _) in own.items()]
+    nested = {"type": "GeometryCollection", "geometries": [{"type": "GeometryCollection", "geometries": parts[:3]}, *parts[3:]]}
+    rows.append(("all", json.dumps({"type": "Feature", "geometry": nested}), Q.to_wkb(Q.from_geojson(json.dumps(nested)))))
+    rows += [("none", None, None), ("bad", '{"type": "Ball"}', b"\x01\x02"), ("empty", '{"type": "MultiPoint", "coordinates": []}', Q.to_wkb(("MultiPoint", [])))]
+    df = spark.createDataFrame(rows, "k string, g string, w binary")
+    got = {r.k: r for r in df.select("k", X.geometry_cells("g", 5).alias("a"), X.geometry_cells("w", 5, form="wkb").alias("b"), X.geometry_cells("g", 5, touching=True).alias("t")).collect()}
+    for k, (_, want) in own.items():
+        assert set(got[k].a) == want and got[k].b == got[k].a and want <= set(got[k].t)
+    assert set(got["all"].a) == set().union(*(w for _, w in own.values())) and got["all"].b == got["all"].a
+    assert got["none"].a is None and got["bad"].a is None and got["bad"].b is None and got["empty"].a == []
+    assert set(got["Polygon"].t) == set(S.polygon_cells_touching([np.array(square(10, 10)[0], float)], 5).tolist())
+
+
+def _tiff(values, tiled, deflate, predictor):
+    import struct
+    import zlib
+
+    rows, cols = values.shape
+    blocks = []
+    if tiled:
+        for r in range(0, rows, 16):
+            for c in range(0, cols, 16):
+                b = np.zeros((16, 16), values.dtype)
+                part = values[r : r + 16, c : c + 16]
+                b[: part.shape[0], : part.shape[1]] = part
+                blocks.append(b)
+    else:
+        blocks = [values[r : r + 7] for r in range(0, rows, 7)]
+    if predictor:
+        blocks = [np.concatenate([b[:, :1], np.diff(b, axis=1)], axis=1).astype(values.dtype) for b in blocks]
+    data = [zlib.compress(b.tobytes()) if deflate else b.tobytes() for b in blocks]
+    at = np.cumsum([8, *map(len, data)]).tolist()
+    tags = {256: ("I", [cols]), 257: ("I", [rows]), 258: ("H", [values.itemsize * 8]), 259: ("H", [8 if deflate else 1]), 277: ("H", [1]), 317: ("H", [2 if predictor else 1]), 339: ("H", [{"u": 1, "i": 2, "f": 3}[values.dtype.kind]]), 33550: ("d", [0.5, 0.25, 0.0]), 33922: ("d", [0.0, 0.0, 0.0, 10.0, 48.0, 0.0])}
+    tags |= {322: ("I", [16]), 323: ("I", [16]), 324: ("I", at[:-1]), 325: ("I", [len(d) for d in data])} if tiled else {273: ("I", at[:-1]), 278: ("I", [7]), 279: ("I", [len(d) for d in data])}
+    body, entries = b"".join(data), b""
+    place = 8 + len(body)
+    late = b""
+    top = place + 2 + 12 * len(tags) + 4
+    for t, (form, v) in sorted(tags.items()):
+        raw = struct.pack(f"<{len(v)}{form}", *v)
+        kind = {"H": 3, "I": 4, "d": 12}[form]
+        if len(raw) <= 4:
+            entries += struct.pack("<HHI", t, kind, len(v)) + raw.ljust(4, b"\0")
+        else:
+            entries += struct.pack("<HHII", t, kind, len(v), top + len(late))
+            late += raw
+    return b"II" + struct.pack("<HI", 42, place) + body + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0) + late
+
+
+@pytest.mark.parametrize(("tiled", "deflate", "predictor", "kind"), [(False, False, False, "u1"), (True, True, True, "i2"), (False, True, True, "u2"), (True, False, False, "f4")])
+def test_tiff(spark, tmp_path, tiled, deflate, predictor, kind):
+    from hexloom.sources import raster
+
+    values = (np.arange(20 * 37).reshape(20, 37) * 7 % 250).astype("<" + kind)
+    (tmp_path / "a.tif").write_bytes(_tiff(values, tiled, deflate, predictor))
+    got = {(r.row, r.col): r.value for r in raster.read_tiff(spark, str(tmp_path)).collect()}
+    assert got == {(r, c): float(values[r, c]) for r in range(20) for c in range(37)}
+    ((_, shape, t, nodata),) = raster.describe(spark, str(tmp_path))
+    assert shape == (20, 37) and t.apply(2, 4) == (11.0, 47.0) and nodata is None
+    pixels = raster.read_tiff(spark, str(tmp_path))
+    assert RA.to_cells(pixels, shape, t, 5, nodata=0.0).count() > 0
+    (tmp_path / "a.tif").write_bytes(b"no image")
+    with pytest.raises(Exception, match="not a TIFF"):
+        raster.describe(spark, str(tmp_path))
+
+
+def test_long_edges_shorten_searches_only(spark):
+    """Routes over a prepared graph are those of the graph itself, with their edges in full."""
+    cells = C.line(np.array([(10.0, 20.0), (20.0, 20.0)]), 4).tolist()
+    side = C.line(np.array([(14.0, 24.0), (14.0, 16.0)]), 4).tolist()
+    pairs = [(a, b, 10) for way in (cells, side) for a, b in zip(way[:-1], way[1:], strict=True)] + [(b, a, 11) for a, b in zip(side[:-1], side[1:], strict=True)]
+    g = GR.from_cells(spark.createDataFrame(pairs, "a long, b long, w long"), "a", "b", "w")
+    long = GR.prepare(g)
+    assert long.filter("longedge IS NOT NULL").count() > 0
+    starts = spark.createDataFrame([(cells[0],), (cells[3],), (side[0],)], "c long")
+    ends = spark.createDataFrame([(cells[-1],), (cells[6],), (side[-1],), (side[2],)], "c long")
+    show = lambda graph: sorted((r.origin, r.destination, r.cost, tuple(r.edges)) for r in RO.shortest_paths(graph, starts, "c", ends, "c").collect())
+    assert show(long) == show(g) and len(show(g)) >= 6
+
+
+def test_what_is_made_of_paths(spark):
+    cells = C.line(np.array([(10.0, 20.0), (12.0, 20.0)]), 4).tolist()
+    g = GR.from_cells(spark.createDataFrame([(a, b, 10) for a, b in zip(cells[:-1], cells[1:], strict=True)], "a long, b long, w long"), "a", "b", "w")
+    one = lambda c: spark.createDataFrame([(c,)], "c long")
+    (row,) = RO.shortest_paths_map(g, one(cells[0]), "c", one(cells[-1]), "c", RO.path_cells, RO.path_lengths, RO.path_lines).collect()
+    assert row.cells == cells and row.length_m > 0 and len(row.points) == len(cells) and "edges" not in row
+    (row,) = RO.differential_map(g, one(cells[0]), "c", one(cells[-1]), "c", one(cells[2]), "c", RO.path_lengths).collect()
+    assert len(row.before) == 1 and row.before[0].length_m > 0 and row.after == []
