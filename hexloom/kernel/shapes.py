@@ -164,32 +164,38 @@ def dissolve(cells) -> list[list[Ring]]:
     return outer
 
 
-def simplify_vw(points: Ring, area: float) -> Ring:
-    """Visvalingam-Whyatt: drop inner points, the least triangle first, while triangles stay under ``area``."""
-    n = len(points)
-    if n < 3:
-        return points
-    before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
-
-    def triangle(i: int, j: int, k: int) -> float:
-        (x0, y0), (x1, y1), (x2, y2) = points[i], points[j], points[k]
-        return abs((x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0)) / 2
+def thinned(points: Ring, area: float, cyclic: bool) -> Ring:
+    """A line, or with ``cyclic`` a ring without its closing point, without the points that matter least.
 
-    heap = [(triangle(i - 1, i, i + 1), i - 1, i, i + 1) for i in range(1, n - 1)]
-    heapq.heapify(heap)
-    while heap:
-        size, i, j, k = heapq.heappop(heap)
+    A point matters by the triangle with its two neighbours. The one with the least goes, its neighbours are measured
+    anew (never as less than what has gone), until all that are left matter more than ``area``. A line keeps its ends, a
+    ring three points.
+    """
+    n = len(points)
+    ahead, behind = np.roll(np.arange(n), -1), np.roll(np.arange(n), 1)
+    matters = np.full(n, np.inf)
+
+    def measure(j: int, least: float = 0.0) -> None:
+        if cyclic or 0 < j < n - 1:
+            p, q, r = points[[behind[j], j, ahead[j]]]
+            matters[j] = max(least, abs((q[0] - p[0]) * (r[1] - p[1]) - (r[0] - p[0]) * (q[1] - p[1])) / 2)
+            heapq.heappush(queue, (matters[j], j))
+
+    queue: list[tuple[float, int]] = []
+    for j in range(n):
+        measure(j)
+    gone = np.zeros(n, bool)
+    while queue and n - gone.sum() > (3 if cyclic else 2):
+        size, j = heapq.heappop(queue)
         if size > area:
             break
-        if not alive[j] or before[j] != i or after[j] != k:
-            continue
-        alive[j] = False
-        after[i], before[k] = k, i
-        if i > 0:
-            heapq.heappush(heap, (max(size, triangle(before[i], i, k)), before[i], i, k))
-        if k < n - 1:
-            heapq.heappush(heap, (max(size, triangle(i, k, after[k])), i, k, after[k]))
-    return points[[i for i in range(n) if alive[i]]]
+        if gone[j] or size != matters[j]:
+            continue  # measured anew since
+        gone[j] = True
+        ahead[behind[j]], behind[ahead[j]] = ahead[j], behind[j]
+        for k in (int(behind[j]), int(ahead[j])):
+            measure(k, size)
+    return points[~gone]
 
 
 def simplify_dp(points: Ring, tolerance: float) -> Ring:
@@ -214,20 +220,19 @@ def simplify_dp(points: Ring, tolerance: float) -> Ring:
 
 
 def smooth(points: Ring) -> Ring:
-    """Midpoints of the segments, then without the points that are nearly on a line.
+    """A line or ring through the middles of its segments, without those that nearly lie on a line.
 
-    A dropped point's triangle covers at most three quarters of the first corner's. Open lines keep their ends.
+    What goes matters no more than three quarters of the first corner does. A ring is thinned all around, wherever it
+    begins; a line keeps its ends.
     """
     points = np.asarray(points, float)
     if len(points) < 3:
         return points
-    middle = (points[:-1] + points[1:]) / 2
+    area = 0.75 * abs(signed_area(points[:3]))
+    middles = (points[1:] + points[:-1]) / 2
     if (points[0] == points[-1]).all():
-        out = np.vstack([middle, points[:1]])
-        out = np.roll(out, min(len(out), 4), axis=0)
-    else:
-        out = np.vstack([points[:1], middle, points[-1:]])
-    return simplify_vw(out, abs(signed_area(points[:3])) * 0.75)
+        return closed(thinned(middles, area, cyclic=True))
+    return thinned(np.concatenate([points[:1], middles, points[-1:]]), area, cyclic=False)
 
 
 def smooth_polygon(rings: list[Ring]) -> list[Ring]:
@@ -237,7 +242,6 @@ def smooth_polygon(rings: list[Ring]) -> list[Ring]:
 def aligned(cells, res: int, smoothen: bool = True) -> list[list[Ring]]:
     """Polygons by ancestor at ``res``; when smoothed, corners near a corner of the ancestor are moved onto it."""
     cells = np.asarray(cells, np.int64)
-    own = int(G.resolution(cells[0])) if len(cells) else 0
     up = (cells & ~np.int64(15 << 52)) | np.int64(res << 52) | np.int64((1 << ((15 - res) * 3)) - 1)
     out = []
     for parent in np.unique(up):
@@ -253,7 +257,6 @@ def aligned(cells, res: int, smoothen: bool = True) -> list[list[Ring]]:
                 out.append(p)
         else:
             out += polygons
-    _ = own
     return out
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,17 +111,21 @@ def bounding_rect(graph: DataFrame) -> DataFrame:
     return p.agg(F.min("p.x").alias("x0"), F.min("p.y").alias("y0"), F.max("p.x").alias("x1"), F.max("p.y").alias("y1"))
 
 
-def concave_hull(graph: DataFrame, concavity: float = 2.0, most: int = 200_000) -> list[tuple[float, float]]:
-    """A ring around the nodes' centres; beyond ``most`` nodes, around the centres of coarser cells that hold them."""
-    import numpy as np
+class TooManyNodes(ValueError):
+    """A hull of more points than one machine should hold; ask for one around coarser cells."""
 
+
+def concave_hull(graph: DataFrame, concavity: float = 2.0, reduce_by: int = 0, most: int = 200_000) -> list[tuple[float, float]]:
+    """A ring around the nodes' centres, or around those of their ancestors ``reduce_by`` resolutions up. The points, of
+    which there may be ``most``, meet on the driver; with more it is an error, never another answer."""
     n = nodes(graph)
-    res = n.agg(F.max(B.raw_resolution("cell"))).first()[0]
-    while res and n.count() > most:
-        res -= 1
-        n = n.select(B.raw_parent("cell", res).alias("cell")).distinct()
-    p = n.select(X.to_lonlat("cell").alias("p")).select("p.x", "p.y").toPandas().to_numpy()
-    return [tuple(v) for v in S.concave_hull(np.asarray(p), concavity).tolist()] if len(p) else []
+    if reduce_by:
+        n = n.select(B.raw_parent("cell", F.greatest(F.lit(0), B.raw_resolution("cell") - reduce_by)).alias("cell")).distinct()
+    p = n.limit(most + 1).select(X.to_lonlat("cell").alias("p")).select("p.x", "p.y").toArrow()
+    if p.num_rows > most:
+        raise TooManyNodes(f"more than {most}")
+    points = np.stack([p.column(c).to_numpy() for c in ("x", "y")], axis=1) if p.num_rows else np.zeros((0, 2))
+    return [tuple(v) for v in S.concave_hull(points, concavity).tolist()] if len(points) else []
 
 
 def nearest_nodes(cells: DataFrame, cell: str, node_frame: DataFrame, k_max: int) -> DataFrame:

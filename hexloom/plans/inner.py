@@ -347,6 +347,30 @@ def raster_to_cells(spark, sf):
     return RA.to_cells(pixels, (60, 60), t, RES, nodata=0, compact=False)
 
 
+_FILLED = f"filled AS (SELECT c.p_partkey, e.cell FROM centres c JOIN every e ON e.t = c.t AND {_in_house('(e.lon - c.lon)', '(e.lat - c.lat)')})"
+
+
+@query("geometry_cells", f"""WITH {INNER}, {CENTRES}, {REL}, {_GRID}, {_FILLED}, two AS (SELECT x.p_partkey, y.cell FROM here x JOIN here y ON y.p_partkey = x.p_partkey + 3)
+  SELECT p_partkey, 'point' AS kind, cell FROM here WHERE p_partkey % 4 = 0 UNION SELECT p_partkey, 'points', cell FROM here WHERE p_partkey % 4 = 1 UNION SELECT p_partkey, 'points', cell FROM two WHERE p_partkey % 4 = 1
+  UNION SELECT p_partkey, 'polygons', cell FROM filled WHERE p_partkey % 4 = 2 UNION SELECT p_partkey, 'collection', cell FROM filled WHERE p_partkey % 4 = 3 UNION SELECT p_partkey, 'collection', cell FROM two WHERE p_partkey % 4 = 3""")
+def geometry_cells(spark, sf):
+    """GeoJSON of four kinds: points, several points, overlapping polygons, and collections of a point and a polygon."""
+    c = inner_cells(spark, sf).select("p_partkey", X.to_lonlat("cell").alias("c"))
+    far = c.select((F.col("p_partkey") - 3).alias("p_partkey"), F.col("c").alias("d"))
+    c = c.join(far, "p_partkey", "left")
+    at = lambda p: F.concat(F.lit("["), F.col(f"{p}.x").cast("string"), F.lit(","), F.col(f"{p}.y").cast("string"), F.lit("]"))
+    corner = lambda x, y: F.concat(F.lit("["), (F.col("c.x") + x).cast("string"), F.lit(","), (F.col("c.y") + y).cast("string"), F.lit("]"))
+    rings = F.concat(F.lit("[["), F.concat_ws(",", *[corner(x, y) for x, y in _HOUSE]), F.lit("]]"))
+    shape = lambda kind, what: F.concat(F.lit(f'{{"type":"{kind}","coordinates":'), what, F.lit("}"))
+    several = F.concat(F.lit("["), F.concat_ws(",", at("c"), F.when(F.col("d").isNotNull(), at("d"))), F.lit("]"))
+    twice = F.concat(F.lit("["), rings, F.lit(","), rings, F.lit("]"))
+    both = F.concat(F.lit('{"type":"GeometryCollection","geometries":['), F.concat_ws(",", shape("Polygon", rings), F.when(F.col("d").isNotNull(), shape("Point", at("d")))), F.lit("]}"))
+    k = F.col("p_partkey") % 4
+    g = F.when(k == 0, shape("Point", at("c"))).when(k == 1, shape("MultiPoint", several)).when(k == 2, shape("MultiPolygon", twice)).otherwise(both)
+    kind = F.get(F.array(*map(F.lit, ("point", "points", "polygons", "collection"))), k.cast("int"))
+    return c.select("p_partkey", kind.alias("kind"), F.explode(X.geometry_cells(g, RES)).alias("cell"))
+
+
 _EVERY_CORNER = _geo("hexes", "(SELECT t, ra, rb, cell, s.k AS k FROM every, range(6) s(k))", f"({_X.format(a='ra', b='rb')} + cos(radians(30 + 60 * k)) * {1 / math.sqrt(3)!r})", f"({_Y.format(b='rb')} + sin(radians(30 + 60 * k)) * {1 / math.sqrt(3)!r})")
 
 

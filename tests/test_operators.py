@@ -472,3 +472,42 @@ def test_what_is_made_of_paths(spark):
     assert row.cells == cells and row.length_m > 0 and len(row.points) == len(cells) and "edges" not in row
     (row,) = RO.differential_map(g, one(cells[0]), "c", one(cells[-1]), "c", one(cells[2]), "c", RO.path_lengths).collect()
     assert len(row.before) == 1 and row.before[0].length_m > 0 and row.after == []
+
+
+def test_errors_and_strict_forms(spark):
+    from hexloom.functions import errors as E
+
+    assert E.error_of(0) is None and E.error_of(5).name == "CellInvalid" and E.error_of(99).code == 1
+    with pytest.raises(E.GridError, match="ResDomain"):
+        E.check_resolution(16)
+    a, b, far = cell(10, 20, 5), cell(10, 20, 6), cell(60, 20, 5)
+    df = spark.createDataFrame([(a, b, far), (None, None, None)], "a long, b long, far long")
+    assert E.check_same_resolution(df, "a", "far") == 5 and E.check_same_resolution(df.limit(0), "a") is None
+    with pytest.raises(E.GridError, match="ResMismatch"):
+        E.check_same_resolution(df, "a", "b")
+    with pytest.raises(Exception, match="ResMismatch"):
+        df.select(E.same_resolution("a", "b")).collect()
+    assert [r[0] for r in df.select(E.same_resolution("a", "far")).collect()] == [a, None]
+    with pytest.raises(Exception, match="NotNeighbors"):
+        df.filter("a IS NOT NULL").select(E.required(X.directed_edge("a", "far"), "NotNeighbors", "a", "far")).collect()
+
+
+def test_rings_are_thinned_wherever_they_begin():
+    from hexloom.kernel import shapes as S
+
+    t = np.linspace(0, 2 * np.pi, 41)[:-1]
+    ring = np.stack([np.cos(t) * (2 + np.cos(9 * t) / 5), np.sin(t)], axis=1)
+    whole = S.thinned(ring, 0.01, cyclic=True)
+    turned = S.thinned(np.roll(ring, 11, axis=0), 0.01, cyclic=True)
+    assert 3 <= len(whole) < 41 and {tuple(p) for p in whole} == {tuple(p) for p in turned}
+    line = np.array([(0, 0), (1, 0.01), (2, 0), (3, 2), (4, 0)], float)
+    assert S.thinned(line, 0.1, cyclic=False).tolist() == [[0, 0], [2, 0], [3, 2], [4, 0]]
+    assert len(S.thinned(line[:3], 9, cyclic=True)) == 3
+
+
+def test_a_hull_of_too_many_nodes_is_an_error(spark):
+    cells = C.line(np.array([(10.0, 20.0), (14.0, 22.0)]), 4).tolist()
+    g = GR.from_cells(spark.createDataFrame([(a, b, 1) for a, b in zip(cells[:-1], cells[1:], strict=True)], "a long, b long, w long"), "a", "b", "w")
+    with pytest.raises(GR.TooManyNodes):
+        GR.concave_hull(g, most=3)
+    assert len(GR.concave_hull(g, reduce_by=2, most=len(cells))) >= 3
