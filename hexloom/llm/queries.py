@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat_format.SQL, "op5_line_dedup": line_dedup.SQL, "op8_jaccard_join": jaccard_join.SQL}
+    return {"op2_chat_format": chat_format.SQL, "op5_line_dedup": line_dedup.SQL, "op7_vector_search": vector_search.SQL, "op8_jaccard_join": jaccard_join.SQL}

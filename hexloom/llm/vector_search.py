@@ -10,7 +10,8 @@ bound reaches the k-th best found so far are scored exactly.
 
 Queries are collected in blocks of at most ``BLOCK_BYTES`` and sent to all tasks; a block costs one scan of the
 vectors and no shuffle of them. With the block goes each query's k-th best score among ``BAR_ROWS`` vectors, which the
-result can't fall below: a task gives back no more than k rows per query, and only those that reach it.
+result can't fall below: a task gives back no more than k rows per query, and only those that reach it; the best of the
+``BAR_ROWS`` take part in the result themselves, so that no query has fewer than k.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows with
 a null id; vectors of different length are not compared; of rows that share an id the largest vector (in array order)
@@ -142,13 +143,18 @@ def _search(df: DataFrame, is_query, k: int, block_bytes: int) -> DataFrame:
         sums = here.select(*[F.avg(F.col("embedding")[j].cast("double")).alias(f"c{j}") for j in range(d)]).first()
         centre, turn = np.array(sums, np.float64), rotation(d)
         coded = written(here.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_coder(d, centre, turn), CODES), "codes")
-        some = _matrix(here.select(F.col("embedding").cast("array<double>").alias("embedding"), "vec_id").orderBy(F.xxhash64("vec_id")).limit(BAR_ROWS).toArrow(), d)
+        sample = here.select(F.col("embedding").cast("array<double>").alias("embedding"), "vec_id").orderBy(F.xxhash64("vec_id"), "vec_id").limit(BAR_ROWS).toArrow()
+        some = sample.column("vec_id").to_numpy(), _matrix(sample, d)
         blocks = -(-row["q"] * d * 8 // block_bytes)
         for b in range(blocks):
             asked = coded.filter(is_query).filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).select("embedding", "vec_id").toArrow()
             if not asked.num_rows:
                 continue
-            found = _scan(coded, asked.column("vec_id").to_numpy(), _matrix(asked, d), some, centre, turn, k)
+            ids, q = asked.column("vec_id").to_numpy(), _matrix(asked, d)
+            first = _best_of(ids, q, *some, k)
+            bars = np.array([s[-1] if len(s) == k else -np.inf for _, s in first])
+            known = pa.table({"query_id": ids, "ids": pa.array([i for i, _ in first], pa.list_(pa.int64())), "scores": pa.array([s for _, s in first], pa.list_(pa.float64()))})
+            found = _scan(coded, ids, q, bars, centre, turn, k).unionByName(df.sparkSession.createDataFrame(known, SCHEMA))
             parts.append(written(found, "near") if blocks > 1 else found)
     if not parts:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -157,22 +163,27 @@ def _search(df: DataFrame, is_query, k: int, block_bytes: int) -> DataFrame:
         out = out.unionByName(p)
     pairs = out.select("query_id", F.explode(F.arrays_zip("ids", "scores")).alias("p")).select("query_id", F.col("p.ids").alias("vec_id"), F.col("p.scores").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    pairs = pairs.distinct()  # what is among the first vectors was found again by a task
     return written(pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest", keep=True)
 
 
-def _bars(q: np.ndarray, some: np.ndarray, k: int) -> np.ndarray:
-    """A score that each query's k-th best reaches: the (k + 1)-th best in a sample, which may hold the query itself."""
-    if len(some) <= k:
-        return np.full(len(q), -np.inf)
-    out = np.empty(len(q))
+def _best_of(ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each query's ``k`` nearest of some vectors, exactly: ids and scores."""
+    out = []
     for a in range(0, len(q), 512):
-        score = q[a : a + 512] @ some.T
-        out[a : a + 512] = np.partition(score, len(some) - k - 1, axis=1)[:, len(some) - k - 1]
-    return out - 1e-9 * np.abs(out)  # summed in another order
+        near = q[a : a + 512] @ x.T
+        near[ids[a : a + 512, None] == own[None, :]] = -np.inf
+        top = np.argsort(-near, axis=1, kind="stable")[:, : k + 8]  # a few more, as that sum is rounded otherwise
+        for i, row in enumerate(top):
+            row = row[own[row] != ids[a + i]]
+            score = _products(np.repeat(q[a + i][None], len(row), axis=0), x[row])
+            order = np.lexsort((own[row], -score))[:k]
+            out.append((own[row][order], score[order]))
+    return out
 
 
-def _scan(coded: DataFrame, ids: np.ndarray, q: np.ndarray, some: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> DataFrame:
-    sent = coded.sparkSession.sparkContext.broadcast((ids, q, _bars(q, some, k), centre, turn))
+def _scan(coded: DataFrame, ids: np.ndarray, q: np.ndarray, bars: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int) -> DataFrame:
+    sent = coded.sparkSession.sparkContext.broadcast((ids, q, bars, centre, turn))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, bars, centre, turn = sent.value
@@ -217,11 +228,19 @@ def _merge(vid, x, codes, ids, q, planes, k, best_id, best) -> None:
 
 
 def _score(a, rows, cols, vid, x, q, best_id, best, k) -> None:
-    exact = (q[a + rows] * x[cols]).sum(axis=1)
+    exact = _products(q[a + rows], x[cols])
     good = (exact >= best[a + rows, -1])
     _insert(a + rows[good], vid[cols[good]], exact[good], best_id, best, k)
 
 
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products, added up in the order of the components, as any plain loop does."""
+    out = np.zeros(len(a))
+    for j in range(a.shape[1]):
+        out += a[:, j] * b[:, j]
+    return out
+
+
 def _insert(row, vid, score, best_id, best, k) -> None:
     if not len(row):
         return
@@ -240,3 +259,15 @@ def _insert(row, vid, score, best_id, best, k) -> None:
 def query(spark, sf_dir: str) -> DataFrame:
     """``op7_vector_search``: queries are the rows whose id is divisible by 20."""
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, 20)
+
+
+SQL = """
+WITH valid AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])), lambda a, b: a + b) AS score
+  FROM valid q JOIN valid c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 20
+"""

@@ -64,6 +64,7 @@ def test_recall_on_the_table(spark):
     for row, q in zip(score, ids[ids % 20 == 0], strict=True):
         row[ids == q] = -np.inf
         hits += len(got[q] & set(ids[np.argsort(-row)[:20]].tolist()))
+        assert len(got[q]) == 20
     assert hits >= 0.95 * 20 * len(score)
 
 
