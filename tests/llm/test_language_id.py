@@ -107,3 +107,10 @@ def test_stage_keeps_columns_and_long_texts(spark):
     assert out.columns == docs.columns
     assert sorted((r.doc_id, r.lang_pred or "", r.lang_score) for r in out.collect()) == [*((k, "mine", 5) for k in range(5)), (9, "", 6)]
     assert L.stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_ties_go_to_the_language_that_sorts_first(spark):
+    rows = [(1, "same words", "zz"), (2, "same words", "aa"), (3, "same words", "mm")]
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    (r,) = L.predict(spark.createDataFrame([(1, "same words same")], "doc_id long, text string"), model).collect()
+    assert r.lang_pred == "aa" and r.lang_score == pytest.approx(1 / 3)

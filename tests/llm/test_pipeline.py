@@ -61,3 +61,34 @@ def test_stages(spark, tmp_path):
         docs = spark.createDataFrame(out.collect(), out.schema)
     whole = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert whole == set(had)
+
+
+def test_nothing_but_the_result_is_left(spark, tmp_path):
+    import os
+
+    from hexloom.sources.shared import shared_dir
+
+    fixture(spark, str(tmp_path))
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() > 0
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and left.pop().startswith("sentencepiece-")
+
+
+def test_empty_tables_long_texts_and_columns_beside(spark, tmp_path):
+    rows = [(k, f"the{k} fine words of text number {k * k} stand here", "en", "s", 7, "a", 1.5) for k in range(12)]
+    rows.append((50, " ".join(f"some long{k % 3000} words" for k in range(30_000)), "en", "s", 1, None, None))
+    rows += [(None, "a row without any id at all here", "en", None, None, "b", 2.5), (51, None, None, None, None, None, None)]
+    schema = SCHEMA + ", lang_pred string, component_id double"
+    for name, some in (("full", rows), ("empty", [])):
+        d = str(tmp_path / name)
+        spark.createDataFrame(some, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, d)
+        assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "lang_pred", "component_id", "token_ids"]
+        got = {r.doc_id: r for r in out.collect()}
+        assert len(got) == (14 if some else 0)
+        if some:
+            assert got[3].lang_pred == "a" and got[None].component_id == 2.5 and len(got[50].token_ids) > 90_000

@@ -154,3 +154,15 @@ def test_first_letters_and_signs_against_unrestricted_distance():
         assert k == kind_of(w, terms, [], root=True), (w, k)
     x = X.Model(terms).features(pa.array([f"you {w}, go" for w in words[:9]] + ["call 555 a.b now", "1 idiot-like"]))
     assert x[:, 5].tolist() == [1] * 9 + [0, 0] and x[:, :4].sum(axis=1).tolist() == [0] * 9 + [0, 1]
+
+
+def test_ties_repeated_rows_and_columns_beside(spark):
+    rows = [(i, "you idiot fool" if i % 2 else "a fine day", 0.5, "p") for i in range(30)]
+    docs = spark.createDataFrame(rows + rows[:1], "doc_id long, text string, score double, predicted string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(1, 0)], "doc_id long, toxic int")
+    m = X.train(docs, labels)
+    again = X.train(docs.repartition(5), labels)
+    assert (m.terms, m.words) == (again.terms, again.words)  # words that occur alike are chosen in one order
+    out = X.score(docs, m)
+    assert out.columns == ["doc_id", "predicted", "score"] and out.count() == 31
+    assert len({r.score for r in out.collect()}) == 2
