@@ -399,9 +399,9 @@ def aligned_polygons(spark, sf):
 
 
 def _cell_graph(spark, sf):
-    """Edges between neighbouring cells around some customers."""
-    c = I.customer_points(spark, sf).filter("lat BETWEEN -5 AND 5").select(X.from_lonlat("lon", "lat", 3).alias("cell")).distinct()
-    near = c.select(F.explode(X.grid_disk("cell", 2)).alias("cell")).distinct()
+    """Edges out of the cells around all customers."""
+    c = I.customer_points(spark, sf).select(X.from_lonlat("lon", "lat", 3).alias("cell")).distinct()
+    near = c.select(F.explode(X.grid_disk("cell", 1)).alias("cell")).distinct()
     e = near.select(F.explode(B.outgoing_edges("cell")).alias("edge"))
     return GR.from_edges(e.withColumn("weight", (F.pmod(F.xxhash64("edge"), F.lit(9)) + 1).cast("long")))
 
