@@ -144,3 +144,24 @@ def test_stage_keeps_one_of_each_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, gone string")
     got = sorted((r.doc_id or 0, r.gone or "") for r in J.stage(spark, docs, "").collect())
     assert got == [(0, "z"), (1, "x"), (3, ""), (4, "w")]
+
+
+def test_a_run_of_many_components(spark, monkeypatch):
+    """Documents that share a passage and do not link: runs of more nodes than a cell holds, nearly all of them alone."""
+    common = " ".join(f"common{k}" for k in range(24))
+    rows = []
+    for d in range(27_000):
+        tail = [f"own{d - d % 2}x{k}" if d % 500 < 2 and k < 9 else f"own{d}x{k}" for k in range(10)]
+        rows.append((d, f"{common} {' '.join(tail)}"))
+    sizes = []
+    real = J._across
+
+    def across(members, *rest):
+        sizes.append(members.groupBy("run").count().agg({"count": "max"}).first()[0])
+        return real(members, *rest)
+
+    monkeypatch.setattr(J, "_across", across)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in J.join(docs).collect()}
+    assert got == {d: (30, d - 1 if d % 500 == 1 else d) for d, _ in rows}
+    assert sizes[0] > J.BLOCK
