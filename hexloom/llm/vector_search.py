@@ -176,7 +176,7 @@ def _best_of(ids: np.ndarray, q: np.ndarray, own: np.ndarray, x: np.ndarray, k:
         top = np.argsort(-near, axis=1, kind="stable")[:, : k + 8]  # a few more, as that sum is rounded otherwise
         for i, row in enumerate(top):
             row = row[own[row] != ids[a + i]]
-            score = _products(np.repeat(q[a + i][None], len(row), axis=0), x[row])
+            score = _products(q[a + i : a + i + 1].T, x.T, np.zeros(len(row), np.int64), row)
             order = np.lexsort((own[row], -score))[:k]
             out.append((own[row][order], score[order]))
     return out
@@ -188,6 +188,7 @@ def _scan(coded: DataFrame, ids: np.ndarray, q: np.ndarray, bars: np.ndarray, ce
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, bars, centre, turn = sent.value
         planes = [Planes(q[a : a + 256], centre, turn) for a in range(0, len(q), 256)]
+        across = np.ascontiguousarray(q.T)
         best_id = np.full((len(ids), k), np.iinfo(np.int64).max)
         best = np.repeat(bars[:, None], k, axis=1)  # places held by the bar have no id
         for batch in batches:
@@ -195,7 +196,8 @@ def _scan(coded: DataFrame, ids: np.ndarray, q: np.ndarray, bars: np.ndarray, ce
                 part = batch.slice(at, 4096)
                 bits = np.frombuffer(b"".join(part.column("bits").to_pylist()), U).reshape(part.num_rows, -1)
                 codes = Codes(bits, *(part.column(c).to_numpy() for c in ("norm", "fit", "shift")), q.shape[1])
-                _merge(part.column("vec_id").to_numpy(), _matrix(part, q.shape[1]), codes, ids, q, planes, k, best_id, best)
+                x = np.ascontiguousarray(_matrix(part, q.shape[1]).T)
+                _merge(part.column("vec_id").to_numpy(), x, codes, ids, across, planes, k, best_id, best)
         for at in range(0, len(ids), 4096):
             i, s = best_id[at : at + 4096], best[at : at + 4096]
             full = i < np.iinfo(np.int64).max
@@ -209,7 +211,8 @@ def _scan(coded: DataFrame, ids: np.ndarray, q: np.ndarray, bars: np.ndarray, ce
 
 
 def _merge(vid, x, codes, ids, q, planes, k, best_id, best) -> None:
-    """Bring the vectors ``x`` into the best lists, exact scores only for those that the bounds let through."""
+    """Bring vectors into the best lists, exact scores only for those that the bounds let through. ``x`` and ``q`` have a
+    vector in each column."""
     for a in range(0, len(ids), 256):
         est, err = estimates(codes, planes[a // 256])
         rows, cols = np.nonzero(ids[a : a + 256, None] == vid[None, :])
@@ -228,16 +231,17 @@ def _merge(vid, x, codes, ids, q, planes, k, best_id, best) -> None:
 
 
 def _score(a, rows, cols, vid, x, q, best_id, best, k) -> None:
-    exact = _products(q[a + rows], x[cols])
+    exact = _products(q, x, a + rows, cols)
     good = (exact >= best[a + rows, -1])
     _insert(a + rows[good], vid[cols[good]], exact[good], best_id, best, k)
 
 
-def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Inner products, added up in the order of the components, as any plain loop does."""
-    out = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        out += a[:, j] * b[:, j]
+def _products(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of columns ``i`` of ``a`` with columns ``j`` of ``b``, added up in the order of the components, as
+    any plain loop does."""
+    out = np.zeros(len(i))
+    for x, y in zip(a, b, strict=True):
+        out += x[i] * y[j]
     return out
 
 
