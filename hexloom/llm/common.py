@@ -76,7 +76,10 @@ def stratified(df: DataFrame, by: str, most: int, per: dict | None = None) -> Da
 U = np.uint64
 _BASE = U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = U(pow(int(_BASE), -1, 1 << 64))
-_pows = [np.ones(1, U), np.ones(1, U)]
+#: Powers of the base and of its inverse: the first ``STEP``, and every ``STEP``-th, which makes any power one product.
+STEP = 4096
+_low = [np.multiply.accumulate(np.concatenate([[U(1)], np.full(STEP - 1, x)])) for x in (_BASE, _INVERSE)]
+_high = [np.ones(1, U), np.ones(1, U)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -92,29 +95,38 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pows[0]) < n:
-        size = max(n, 2 * len(_pows[0]), CHUNK_BYTES + 1)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            full = np.full(size, base, U)
-            full[0] = 1
-            _pows[k] = np.multiply.accumulate(full)
-    return _pows[0][:n], _pows[1]
+def _reach(n: int) -> None:
+    """Have the ``STEP``-th powers up to ``n``: kept for good, they are few."""
+    if len(_high[0]) * STEP < n:
+        size = -(-n // STEP) + 1
+        for k, low in enumerate(_low):
+            step = low[-1:] * (_BASE, _INVERSE)[k]
+            _high[k] = np.multiply.accumulate(np.concatenate([np.ones(1, U), np.repeat(step, size - 1)]))
+
+
+def _up(n: int) -> np.ndarray:
+    """The first ``n`` powers of the base."""
+    _reach(n)
+    return (_high[0][: -(-n // STEP), None] * _low[0][None, :]).ravel()[:n]
+
+
+def _down(at: np.ndarray) -> np.ndarray:
+    """Powers of the inverse."""
+    return _high[1][at // STEP] * _low[1][at % STEP]
 
 
 def prefix_hash(raw: np.ndarray) -> np.ndarray:
     """Prefix sums of the bytes' polynomial hash, for ``span_hash``."""
-    up, _ = _powers(len(raw) + 1)
     out = np.zeros(len(raw) + 1, U)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=out[1:])
+    np.cumsum(_BYTE[raw] * _up(len(raw)), out=out[1:])
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte spans [start, end)."""
-    _, down = _powers(len(prefix))
+    _reach(len(prefix))
     h = prefix[end] - prefix[start]
-    h *= down[start]
+    h *= _down(start)
     h ^= (end - start).astype(U) * U(0xA24BAED4963EE407)
     return mix(h)
 

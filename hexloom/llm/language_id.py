@@ -83,8 +83,8 @@ class Model:
             total += (np.bincount(of_text, weights=n, minlength=w.texts)[:, None] * self.base[kind]).reshape(-1)
             order = np.argsort(of, kind="stable")
             at, begin = at[order], np.cumsum(hits) - hits
-            for a in range(0, len(mine), 1 << 17):  # bounded steps: a word's n-grams times its texts
-                x, y, m = of_text[a : a + (1 << 17)], of_word[a : a + (1 << 17)], n[a : a + (1 << 17)]
+            for a in range(0, len(mine), 1 << 15):  # bounded steps: a word's n-grams times its texts
+                x, y, m = of_text[a : a + (1 << 15)], of_word[a : a + (1 << 15)], n[a : a + (1 << 15)]
                 gram = at[gathered(begin[y], hits[y])]
                 row, weight = np.repeat(x, hits[y]), np.repeat(m / hits[y], hits[y])
                 lo, count = self.first[kind][gram], np.diff(self.first[kind])[gram]

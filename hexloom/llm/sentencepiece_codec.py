@@ -39,6 +39,7 @@ MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
+BATCH = 8192
 
 
 @dataclass
@@ -186,13 +187,18 @@ class Codec:
         """Ids of all texts and each one's number of ids."""
         if self.symbols is not None:
             texts = [self._normal(t) for t in texts]
-        got = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-        if self.of_byte is not None:
-            some = [k for k, ids in enumerate(got) if self.unknown in ids]
-            for k, e in zip(some, self.tok.encode_batch([texts[k] for k in some], add_special_tokens=False), strict=True):
-                got[k] = [x for i, t in zip(e.ids, e.tokens, strict=True) for x in ([self.of_byte[b] for b in t.encode()] if i == self.unknown else [i])]
-        n = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for ids in got for i in ids), np.int32, int(n.sum())), n
+        parts, sizes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for a in range(0, len(texts), BATCH):  # what the library returns takes far more memory than the ids
+            some = texts[a : a + BATCH]
+            got = [e.ids for e in self.tok.encode_batch_fast(some, add_special_tokens=False)]
+            if self.of_byte is not None:
+                odd = [k for k, ids in enumerate(got) if self.unknown in ids]
+                for k, e in zip(odd, self.tok.encode_batch([some[k] for k in odd], add_special_tokens=False), strict=True):
+                    got[k] = [x for i, t in zip(e.ids, e.tokens, strict=True) for x in ([self.of_byte[b] for b in t.encode()] if i == self.unknown else [i])]
+            n = np.fromiter(map(len, got), np.int64, len(got))
+            sizes.append(n)
+            parts.append(np.fromiter((i for ids in got for i in ids), np.int32, int(n.sum())))
+        return np.concatenate(parts), np.concatenate(sizes)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a string column and offsets of each text's ids."""
