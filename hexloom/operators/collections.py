@@ -30,10 +30,16 @@ def is_superset(a: DataFrame, b: DataFrame, cell: str) -> DataFrame:
 
 
 def contains(members: DataFrame, asked: DataFrame, cell: str) -> DataFrame:
-    """Rows of ``asked`` of which the cell or an ancestor is in ``members``."""
-    ancestors = F.array_compact(F.array(*[B.parent(cell, r) for r in range(16)]))
-    up = asked.select(F.col(cell).alias("_c"), F.explode(ancestors).alias("_a")).join(members.select(F.col(cell).alias("_a")), "_a", "left_semi")
-    return asked.join(up.select("_c").distinct(), asked[cell] == F.col("_c"), "left_semi")
+    """Rows of ``asked`` of which the cell or an ancestor is in ``members``: one semi-join if these have one resolution,
+    else one on the ancestors at each of theirs."""
+    found = members.select(B.resolution(cell).alias("r")).filter("r IS NOT NULL").distinct().collect()  # 16 rows at most
+    levels = sorted(x["r"] for x in found)
+    own = members.select(F.col(cell).alias("_a"))
+    if len(levels) < 2:
+        up = B.parent(cell, levels[0]) if levels else F.lit(None).cast("long")
+        return asked.join(own, up == F.col("_a"), "left_semi")
+    up = asked.select(F.col(cell).alias("_c"), F.explode(F.array_compact(F.array(*[B.parent(cell, r) for r in levels]))).alias("_a"))
+    return asked.join(up.join(own, "_a", "left_semi").select("_c").distinct(), asked[cell] == F.col("_c"), "left_semi")
 
 
 def counts_by_resolution(df: DataFrame, cell: str) -> DataFrame:

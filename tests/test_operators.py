@@ -511,3 +511,16 @@ def test_a_hull_of_too_many_nodes_is_an_error(spark):
     with pytest.raises(GR.TooManyNodes):
         GR.concave_hull(g, most=3)
     assert len(GR.concave_hull(g, reduce_by=2, most=len(cells))) >= 3
+
+
+def test_members_of_one_and_of_several_resolutions(spark):
+    cells = disk(10, 20, 6, 3)
+    asked = frame(spark, [*cells, cells[0], None, 55])
+    up = lambda c, r: int(C.compact(C.children(c, r))[0]) if r > 6 else (c & ~(15 << 52)) | (r << 52) | ((1 << ((15 - r) * 3)) - 1)
+    one = frame(spark, cells[:5])
+    assert sorted(r.cell for r in CO.contains(one, asked, "cell").collect()) == sorted([*cells[:5], cells[0]])
+    coarse = {up(c, 5) for c in cells[:2]}
+    several = frame(spark, [*coarse, cells[-1], None])
+    want = sorted(c for c in [*cells, cells[0]] if up(c, 5) in coarse or c == cells[-1])
+    assert sorted(r.cell for r in CO.contains(several, asked, "cell").collect()) == want
+    assert CO.contains(one.limit(0), asked, "cell").count() == 0
