@@ -69,10 +69,6 @@ def _rings(items: list, depth: int) -> pa.Array:
     return pa.array([plain(x, depth) for x in items], kind)
 
 
-def _polygon(value) -> list[np.ndarray]:
-    return [np.array([(p["x"], p["y"]) for p in ring], float).reshape(-1, 2) for ring in value]
-
-
 @lru_cache(maxsize=None)
 def _udf(name: str, kind: str, *parameters) -> Callable:
     """The Arrow function ``name`` of this module with its plain parameters bound."""

@@ -224,7 +224,6 @@ def cell_area(spark, sf):
 
 
 _HAV = "2 * asin(sqrt(pow(sin(radians(w.lat - v.lat) / 2), 2) + cos(radians(v.lat)) * cos(radians(w.lat)) * pow(sin(radians(w.lon - v.lon) / 2), 2)))"
-_SIDE = "[4, 2, 3, 1, 5, 6]"  # the direction across the side between corners k - 1 and k, from the corner at 30 degrees on
 SIDES = f"""sides AS (SELECT v.p_partkey, v.cell, [6, 2, 3, 1, 5, 4][v.k + 1] AS d, {_HAV} AS rads, v.lon AS lon0, v.lat AS lat0, w.lon AS lon1, w.lat AS lat1 FROM corners v JOIN corners w ON w.p_partkey = v.p_partkey AND w.k = (v.k + 1) % 6)"""
 
 
