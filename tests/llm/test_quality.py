@@ -127,6 +127,44 @@ def test_rare_language_is_learned_whole(spark):
     assert min(v for k, v in logs.items() if k != 99) > logs[99] + 0.1
 
 
+def test_all_trusted_rows_teach(spark):
+    """More rows than the 3,000 that a fit once read: every row's own words are known."""
+    rows = [(i, "en", f"own{i} the common words") for i in range(4_000)]
+    m = Q.train(spark.createDataFrame(rows, "doc_id long, lang string, text string"))
+    asked = spark.createDataFrame([(i, f"own{i}") for i in range(4_001)], "doc_id long, text string")
+    logs = {r.doc_id: r.log_sum for r in Q.perplexities(asked, m).collect()}
+    assert min(v for k, v in logs.items() if k < 4_000) > logs[4_000] + 0.1
+
+
+@pytest.mark.parametrize("sent", [0, 1_000_000])
+def test_a_model_of_many_cells_and_a_full_filter(spark, monkeypatch, sent):
+    monkeypatch.setattr(Q, "HOT", 4)
+    monkeypatch.setattr(Q, "CELL_GRAMS", 1)
+    monkeypatch.setattr(Q, "SEEN_BITS", 10)
+    monkeypatch.setattr(Q, "FLUSH_GRAMS", 20)
+    monkeypatch.setattr(Q, "SENT_WORDS", sent)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(15))) for _ in range(60)]
+    m = Q.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    assert m.cell_bits > Q.CELL_BITS
+    log, _, _ = kneser_ney(texts)
+    asked = [*texts, "x", "a x b"]
+    got = Q.perplexities(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), m).collect()
+    assert {r.doc_id: r.log_sum for r in got} == pytest.approx({k: log(t) for k, t in enumerate(asked)}, abs=1e-4)
+
+
+def test_thresholds_are_exact(spark):
+    """An odd number of values, of which a sketch of 10,000 can only come near the quantile."""
+    rng = random.Random(6)
+    values = [(rng.choice(["a", "b", None]), rng.random()) for _ in range(60_001)]
+    df = spark.createDataFrame(values, "lang string, s double")
+    for q in (0.0, 0.5, 0.995, 1.0):
+        for got in [*Q._ranked(df, q, "lang").collect(), Q._ranked(df, q).first()]:
+            own = sorted(s for lang, s in values if "lang" not in got or lang == got["lang"])
+            assert got["n"] == len(own) and got["q"] == own[max(1, math.ceil(q * len(own))) - 1]
+    assert Q._ranked(df.limit(0), 0.5).first() is None
+
+
 def test_long_text_and_ties(spark):
     text = "a b c d " * 15_000
     docs = [(1, "en", text), (2, "en", "a b c d"), (2, "en", "a b c d"), (None, "en", "a b")]
