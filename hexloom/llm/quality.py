@@ -8,7 +8,9 @@ probability is the sum of these values over its n-grams, above that of as many u
 
 The fit is made of joins and sorts that may spill. Trigrams are shuffled once, by their middle word, which the context of
 a trigram, its backoff and that one's context share; what each n-gram adds travels in blobs to the n-gram's cell, one of
-as many ranges of the hash as the model asks for. The driver holds the ``HOT`` most frequent n-grams and a bit filter of
+as many ranges of the hash as the model asks for. To keep less on disk at once, trigrams are counted in ``SHARES`` shares
+of the middle words, each of which is another pass over the trusted texts; a share is deleted when its blobs are written,
+and blobs when their cells are. The driver holds the ``HOT`` most frequent n-grams and a bit filter of
 the others (at most 2^``SEEN_BITS`` bits: beyond that more n-grams are asked in vain, with the same result).
 
 Scoring is a join of the documents' n-grams with the model, summed by document. One pass over the texts adds up the
@@ -37,6 +39,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +48,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from hexloom.llm.common import Words, bytes_of, mix, pieces, scratch, size_of, stratified, written
+from hexloom.llm.common import Words, bytes_of, deleted, dropped, mix, pieces, scratch, size_of, stratified, written
 from hexloom.llm.lm_scoring import pack, unpack
 
 U = np.uint64
 STEADY, QUANTILE, SLACK, ENOUGH = 30.0, 0.995, 1.1, 50
 FLUSH_GRAMS, FLUSH_HITS, FLUSH_ROWS = 1_000_000, 1_000_000, 60_000
 HOT, SLOT_BITS, CELL_BITS, CELL_GRAMS, SEEN_BITS, COPY_BYTES = 1 << 18, 19, 6, 1 << 19, 28, 512 << 20
-SENT_ROWS, SENT_WORDS, ROUNDS, PARTS = 500_000, 4_000_000, 4, 2
+SENT_ROWS, SENT_WORDS, SHARES, ROUNDS, PARTS = 500_000, 4_000_000, 2, 4, 4
 SALTS = (U(0x9FB21C651E98DF25), U(0xC2B2AE3D27D4EB4F))
 END, BEGIN = mix(np.array([211], U))[0], mix(np.array([223], U))[0]
 _K = U(0x9E3779B97F4A7C15)
@@ -94,9 +97,9 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(a * _K + b)
 
 
-def _count(rows: DataFrame) -> DataFrame:
-    """Distinct trigrams (by the hash of their first two words, and the hashes of the last two) and their counts, added up
-    in each task before they are shuffled by their middle word."""
+def _count(rows: DataFrame, share: int) -> DataFrame:
+    """Distinct trigrams (by the hash of their first two words, and the hashes of the last two) of a share of the middle
+    words, and their counts, added up in each task before they are shuffled by their middle word."""
 
     def flush(held: list) -> pa.RecordBatch:
         xy, y, z, n = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -111,6 +114,8 @@ def _count(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for part in pieces(batch, "text"):
                 x, y, z, _ = _sequence(Words(*bytes_of(part.column("text"))))
+                own = np.flatnonzero((y >> U(32)) % U(SHARES) == share)
+                x, y, z = x[own], y[own], z[own]
                 xy = pair(x, y)
                 _, first, n = np.unique(pair(xy, z), return_index=True, return_counts=True)
                 held.append((xy[first], y[first], z[first], n))
@@ -152,13 +157,9 @@ def _cut(discounts: np.ndarray, n: np.ndarray) -> np.ndarray:
     return discounts[np.minimum(n, 3) - 1]
 
 
-def _tell(rows: DataFrame, add, cell_bits: int, turn: int) -> DataFrame:
-    """What ``add`` finds that n-grams add, and how often these occur, in blobs by the n-gram's cell; of the cells whose
-    turn it is."""
-
-    def own(key: np.ndarray, value: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        now = np.flatnonzero((key >> U(64 - cell_bits)) % U(ROUNDS) == turn)
-        return key[now], value[now].astype(np.float32), n[now].astype(np.int64)
+def _tell(rows: DataFrame, add, cell_bits: int) -> DataFrame:
+    """What ``add`` finds that n-grams add, and how often these occur, in blobs by the n-gram's cell, and the round whose
+    turn it is then."""
 
     def flush(held: list) -> pa.RecordBatch:
         key, value, n = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -166,13 +167,14 @@ def _tell(rows: DataFrame, add, cell_bits: int, turn: int) -> DataFrame:
         key, value, n = key[order], value[order], n[order]
         cells, cut = _by_cell(key, cell_bits)
         blobs = [pa.array([pack_keys(key[a:b]) for a, b in cut], pa.binary()), *[pa.array([pack(v[a:b]) for a, b in cut], pa.binary()) for v in (value, n)]]
-        return pa.RecordBatch.from_arrays([pa.array(cells), *blobs], names=["cell", "keys", "values", "counts"])
+        return pa.RecordBatch.from_arrays([pa.array(cells), *blobs, pa.array(cells % ROUNDS)], names=["cell", "keys", "values", "counts", "turn"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             if batch.num_rows:
-                new = [own(*told) for told in add({c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names})]
+                told = add({c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names})
+                new = [(key, value.astype(np.float32), n.astype(np.int64)) for key, value, n in told]
                 held += new
                 size += sum(len(k) for k, _, _ in new)
                 if size > FLUSH_GRAMS:
@@ -181,7 +183,7 @@ def _tell(rows: DataFrame, add, cell_bits: int, turn: int) -> DataFrame:
         if size:
             yield flush(held)
 
-    return rows.mapInArrow(run, "cell long, keys binary, values binary, counts binary")
+    return rows.mapInArrow(run, "cell long, keys binary, values binary, counts binary, turn long")
 
 
 def _by_cell(key: np.ndarray, cell_bits: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -290,7 +292,8 @@ def train(trusted: DataFrame, max_docs: int | None = None) -> Model | None:
 
 
 def _train(trusted: DataFrame) -> Model | None:
-    tri = written(_contexts(_count(trusted)), "trigrams")
+    shares = [written(_contexts(_count(trusted, k)), "trigrams") for k in range(SHARES)]
+    tri = reduce(DataFrame.unionAll, shares)
     some = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
     first2 = F.col("f2")
     got = tri.agg(F.count("*"), some(first2), *[some(F.col("n") == k) for k in range(1, 5)], *[some(first2 & (F.col("n2") == k)) for k in range(1, 5)]).first()
@@ -341,15 +344,25 @@ def _train(trusted: DataFrame) -> Model | None:
         below = uni.select("z", "n1").toArrow()
         below = below.take(np.argsort(below.column("z").to_numpy()))
         sent = tri.sparkSession.sparkContext.broadcast((below.column("z").to_numpy(), below.column("n1").to_numpy()))
-    used = tri if few else tri.join(uni.select("z", "n1"), "z")
     bits = _seen_bits(grams, cell_bits)
+    told = [written(_tell(uni, of_words, cell_bits), "told", by="turn")]
+    for share in shares:
+        if few:
+            told.append(written(_tell(share, of_trigrams, cell_bits), "told", by="turn"))
+        else:  # a part of the words at a time, as what is joined is shuffled
+            for k in range(ROUNDS):
+                used = share.filter(F.pmod("z", F.lit(ROUNDS)) == k).join(uni.select("z", "n1"), "z")
+                told.append(written(_tell(used, of_trigrams, cell_bits), "told", by="turn"))
+        dropped(share)
+    if few:
+        sent.destroy()  # a broadcast stays on the disks of all executors
     cells = None
     for turn in range(ROUNDS):  # a part of the cells at a time, as what is shuffled takes as much disk as the model
-        told = _tell(used, of_trigrams, cell_bits, turn).unionAll(_tell(uni, of_words, cell_bits, turn))
-        done = written(told.groupBy("cell").applyInArrow(_cell(bits, cell_bits), "cell long, known binary, values binary, counts binary, seen binary"), "cells", keep=True)
+        now = reduce(DataFrame.unionAll, [t.filter(F.col("turn") == turn).drop("turn") for t in told])
+        done = written(now.groupBy("cell").applyInArrow(_cell(bits, cell_bits), "cell long, known binary, values binary, counts binary, seen binary"), "cells", keep=True)
         cells = done if cells is None else cells.unionAll(done)
-    if few:
-        sent.destroy()  # a broadcast stays on the disks of all executors
+        for t in told:
+            deleted(t.sparkSession, f"{t._hexloom_path}/turn={turn}")
     slots = _slots(*_most_frequent(cells))
     seen = np.zeros(1 << (bits - 3), np.uint8).reshape(1 << cell_bits, -1)
     for r in cells.select("cell", "seen").toLocalIterator():

@@ -42,14 +42,15 @@ def scratch() -> Iterator[None]:
             dropped(df)
 
 
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back, which cuts its lineage.
 
-    ``keep``: the table outlives the innermost ``scratch`` block (but not one around that).
+    ``keep``: the table outlives the innermost ``scratch`` block (but not one around that). ``by``: its last column, each
+    of whose values gets a folder of its own.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     back = spark.read.schema(df.schema).parquet(path)
     back._hexloom_path = path
     level = len(_scratch) - 1 - keep

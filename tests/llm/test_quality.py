@@ -153,6 +153,34 @@ def test_a_model_of_many_cells_and_a_full_filter(spark, monkeypatch, sent):
     assert {r.doc_id: r.log_sum for r in got} == pytest.approx({k: log(t) for k, t in enumerate(asked)}, abs=1e-4)
 
 
+def test_what_was_used_leaves_the_disk(spark, monkeypatch):
+    """Trigrams are counted share by share; while cells are made no trigrams are left, nor blobs of the rounds before."""
+    from pathlib import Path
+
+    from hexloom.sources.shared import shared_dir, written
+
+    top = Path(shared_dir(spark).removeprefix("file://"))
+    before, left, rows = set(top.iterdir()), [], []
+
+    def spy(df, name, **how):
+        out = written(df, name, **how)
+        if name == "trigrams":
+            rows.append(out.count())
+        if name == "cells":
+            now = [d for d in top.iterdir() if d not in before]
+            left.append(({d.name.split("-")[0] for d in now}, {int(t.name.split("=")[1]) for d in now for t in d.glob("turn=*")}))
+        return out
+
+    monkeypatch.setattr(Q, "written", spy)
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(30)) for _ in range(100)]
+    Q.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    s = [["<", "<", *t.split(), ">"] for t in texts]
+    assert sum(rows) == len({g for w in s for g in zip(w, w[1:], w[2:], strict=False)}) and max(rows) < 0.6 * sum(rows)
+    assert [names for names, _ in left] == [{"words", "told", "cells"}] * Q.ROUNDS
+    assert [turns for _, turns in left] == [set(range(k, Q.ROUNDS)) for k in range(Q.ROUNDS)]
+
+
 def test_thresholds_are_exact(spark):
     """An odd number of values, of which a sketch of 10,000 can only come near the quantile."""
     rng = random.Random(6)
