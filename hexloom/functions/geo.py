@@ -95,7 +95,7 @@ def _fixed(run: Callable, n: int) -> Callable:
     return (one, two, three)[n - 1]
 
 
-_ARITY = dict(from_lonlat=2, from_lonlat_at=3, to_lonlat=1, boundary=1, area=1, disk=1, disk_distances=1, ring=1, distance=2, neighbors=2, edge_to=2, edge_destination=1, edge_destinations=1, edge_lengths=1, centres=1, edge_reversed=1, edge_boundary=1, edge_length=1, path=2, line=1, local_ij=2, from_local_ij=2, polygon_cells=1, polygon_cells_touching=1, touches=1, geometry_cells=1, contains_point=2, inside=2, envelope=1, dissolve=1, smooth=1, aligned=1, covered=1, vertexes=1, vertex_ids=1, vertex_to_lonlat=1, valid_vertex=1, max_polygon_cells=1, faces=1)
+_ARITY = dict(from_lonlat=2, from_lonlat_at=3, to_lonlat=1, boundary=1, area=1, disk=1, disk_distances=1, ring=1, distance=2, neighbors=2, edge_to=2, edge_destination=1, edge_destinations=1, edge_lengths=1, centres=1, edge_reversed=1, edge_boundary=1, edge_length=1, path=2, unbroken=1, line=1, local_ij=2, from_local_ij=2, polygon_cells=1, polygon_cells_touching=1, touches=1, geometry_cells=1, contains_point=2, inside=2, envelope=1, dissolve=1, smooth=1, aligned=1, covered=1, vertexes=1, vertex_ids=1, vertex_to_lonlat=1, valid_vertex=1, max_polygon_cells=1, faces=1)
 
 
 def from_lonlat(lon: Column | str, lat: Column | str, res: int) -> Column:
@@ -234,7 +234,8 @@ def are_neighbors(a: Column | str, b: Column | str) -> Column:
 def _neighbors(a, b):
     (x, gx), (y, gy) = _cells(a), _cells(b)
     at = np.flatnonzero(gx & gy & (G.resolution(x) == G.resolution(y)))
-    return _scatter(len(x), at, (G.neighbors(x[at]) == y[at, None]).any(axis=1) if len(at) else np.zeros(0, bool), pa.bool_())
+    uniq, which = np.unique(x[at], return_inverse=True)
+    return _scatter(len(x), at, (G.neighbors(uniq)[which] == y[at, None]).any(axis=1) if len(at) else np.zeros(0, bool), pa.bool_())
 
 
 def directed_edge(a: Column | str, b: Column | str) -> Column:
@@ -360,8 +361,25 @@ def grid_path(a: Column | str, b: Column | str) -> Column:
 
 def _path(a, b):
     (x, gx), (y, gy) = _cells(a), _cells(b)
-    good = gx & gy & (G.resolution(x) == G.resolution(y))
-    return pa.array([C.path(p, q) if g else None for p, q, g in zip(x.tolist(), y.tolist(), good.tolist(), strict=True)], pa.list_(pa.int64()))
+    at = np.flatnonzero(gx & gy)
+    n, cells = C.paths(x[at], y[at])
+    return _lists(len(x), at[n > 0], n[n > 0], pa.array(cells))
+
+
+def unbroken(cells: Column | str) -> Column:
+    """Whether each cell of an array, but the last, is a neighbour of the next one."""
+    return _udf("unbroken", "boolean")(col(cells))
+
+
+def _unbroken(cells):
+    at = np.flatnonzero(np.asarray(cells.is_valid()))
+    size = cells.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    own = np.repeat(np.arange(len(cells)), size)
+    h, good = _cells(cells.flatten())
+    go = np.flatnonzero(own[1:] == own[:-1]) if len(own) else np.zeros(0, np.int64)
+    near = good[go] & good[go + 1]
+    near[near] = C.edge_to(h[go[near]], h[go[near] + 1]) != 0
+    return _scatter(len(cells), at, (np.bincount(own[go[~near]], minlength=len(cells)) == 0)[at], pa.bool_())
 
 
 def line_cells(points: Column | str, res: int) -> Column:

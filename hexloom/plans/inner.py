@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexloom.functions import bits as B
@@ -69,7 +69,7 @@ def inner_cells(spark, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     turn = F.call_function("pmod", F.call_function("div", k, F.lit(97).cast("long")), F.lit(len(_AT_CENTRE)).cast("long"))
     base = F.get(F.array(*[F.lit(b).cast("long") for b in _AT_CENTRE]), turn.cast("int"))
-    return I.table(spark, sf, "part").select("p_partkey", "p_size", I._cell(base, F.call_function("pmod", k * 5, F.lit(SPREAD).cast("long")), RES).alias("cell"))
+    return I.dealt(I.table(spark, sf, "part").select("p_partkey", "p_size"), "p_partkey").select("p_partkey", "p_size", I._cell(base, F.call_function("pmod", k * 5, F.lit(SPREAD).cast("long")), RES).alias("cell"))
 
 
 REL = f"""rel AS (SELECT {_sum([f"d{r}" for r in range(1, RES + 1)], 0, RES)} AS ra, {_sum([f"d{r}" for r in range(1, RES + 1)], 1, RES)} AS rb, {" | ".join(f"(d{r} << {(15 - r) * 3})" for r in range(1, RES + 1))} AS bits
@@ -119,11 +119,8 @@ def _pairs(spark, sf):
 
 @query("grid_path", f"WITH {INNER}, {_PAIRED} SELECT p_partkey, k + 1 AS cells, cell AS first, other AS last, TRUE AS unbroken FROM pairs")
 def grid_path(spark, sf):
-    p = _pairs(spark, sf).withColumn("path", X.grid_path("cell", "other"))
-    steps = p.select("p_partkey", F.posexplode("path").alias("i", "c"))
-    steps = steps.withColumn("next", F.lead("c").over(Window.partitionBy("p_partkey").orderBy("i")))
-    unbroken = steps.groupBy("p_partkey").agg(F.bool_and(F.coalesce(X.are_neighbors("c", "next"), F.lit(True))).alias("unbroken"))
-    return p.join(unbroken, "p_partkey").select("p_partkey", F.size("path").alias("cells"), F.element_at("path", 1).alias("first"), F.element_at("path", -1).alias("last"), "unbroken")
+    p = _pairs(spark, sf).select("p_partkey", X.grid_path("cell", "other").alias("path"))
+    return p.select("p_partkey", F.size("path").alias("cells"), F.element_at("path", 1).alias("first"), F.element_at("path", -1).alias("last"), X.unbroken("path").alias("unbroken"))
 
 
 @query("are_neighbors", f"WITH {INNER}, {_PAIRED} SELECT p_partkey, k = 1 AS neighbors, k AS distance FROM pairs")

@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt out by ``key`` to all cores: a file of one row group, which is small, but of rows that cost much, would
+    be one task's work."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 4, key)
+
+
 def _cell(base: Column, n: Column, r: int) -> Column:
     head = F.shiftleft(base.cast("long"), 45).bitwiseOR(F.lit((1 << 59) | (r << 52) | ((1 << ((15 - r) * 3)) - 1)))
     return head.bitwiseOR(F.shiftleft(base7(n), (15 - r) * 3))
