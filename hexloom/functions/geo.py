@@ -11,6 +11,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -388,11 +389,12 @@ def line_cells(points: Column | str, res: int) -> Column:
 
 
 def _line(points, res):
-    out = []
-    for p in points.to_pylist():
-        xy = np.array([(q["x"], q["y"]) for q in p], float) if p else None
-        out.append(C.line(xy, res) if xy is not None else None)
-    return pa.array(out, pa.list_(pa.int64()))
+    size = points.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    p = points.flatten()
+    x, y = (pc.struct_field(p, k).fill_null(float("nan")).to_numpy(zero_copy_only=False) for k in (0, 1))
+    n, cells = C.lines(x, y, size, res)
+    at = np.flatnonzero(n)
+    return _lists(len(points), at, n[at], pa.array(cells))
 
 
 def to_local_ij(origin: Column | str, c: Column | str) -> Column:

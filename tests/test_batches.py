@@ -55,3 +55,14 @@ def test_paths_of_a_batch():
 def test_costly_rows_are_dealt_out(spark):
     """A small file of one row group isn't one task's work."""
     assert inner.inner_cells(spark, SF).rdd.getNumPartitions() > 1
+
+
+def test_lines_of_a_batch():
+    a = cells(1500)
+    x, y = (np.stack(v, axis=1).ravel() for v in zip(G.to_lonlat(a), G.to_lonlat(apart(a)), strict=True))
+    points = pa.ListArray.from_arrays(pa.array(np.arange(0, 3001, 2, dtype=np.int32)), X._points(np.stack([x, y], axis=1)))
+    assert calls(X._line, points, 4) < 30_000
+    got = X._line(pa.concat_arrays([points, pa.array([None, [], [{"x": 1.0, "y": None}]], points.type)]), 4).to_pylist()
+    assert got[-3:] == [None, None, None]
+    for k in range(0, 1500, 50):
+        assert got[k] == C.line(np.stack([x[2 * k : 2 * k + 2], y[2 * k : 2 * k + 2]], axis=1), 4).tolist()
