@@ -58,16 +58,14 @@ def _points(xy: np.ndarray) -> pa.Array:
 
 
 def _rings(items: list, depth: int) -> pa.Array:
-    kind = _POINT
-    for _ in range(depth):
-        kind = pa.list_(kind)
-
-    def plain(x, d):
-        if x is None:
-            return None
-        return [{"x": float(p[0]), "y": float(p[1])} for p in x] if d == 1 else [plain(y, d - 1) for y in x]
-
-    return pa.array([plain(x, depth) for x in items], kind)
+    """Nested lists of arrays of points, ``depth`` deep; None is null."""
+    flat = [x for x in items if x is not None]
+    size = np.array([len(x) for x in flat], np.int64)
+    if depth > 1:
+        values = _rings([y for x in flat for y in x], depth - 1)
+    else:
+        values = _points(np.concatenate([np.asarray(x, float).reshape(-1, 2) for x in flat]) if flat else np.zeros((0, 2)))
+    return _lists(len(items), np.array([k for k, x in enumerate(items) if x is not None], np.int64), size, values)
 
 
 @lru_cache(maxsize=None)
@@ -548,12 +546,18 @@ def dissolve(cells: Column | str, smoothen: bool = False) -> Column:
 
 
 def _dissolve(cells, smoothen):
-    out = []
-    for c in cells.to_pylist():
-        h = np.array([x for x in c if x is not None], np.int64) if c is not None else None
-        p = None if h is None else S.dissolve(h[G.is_valid(h)])
-        out.append([S.smooth_polygon(x) for x in p] if p is not None and smoothen else p)
-    return _rings(out, 3)
+    at = np.flatnonzero(np.asarray(cells.is_valid()))
+    own = np.repeat(np.arange(len(cells)), cells.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    h, good = _cells(cells.flatten())
+    d = S.dissolve_all(h[good], own[good], len(cells))
+    if smoothen:
+        out: list = [None] * len(cells)
+        polygons = d.lists()
+        for k in at.tolist():
+            out[k] = [S.smooth_polygon(p) for p in polygons[k]]
+        return _rings(out, 3)
+    rings = pa.ListArray.from_arrays(pa.array(d.rings.astype(np.int32)), _points(d.points))
+    return _lists(len(cells), at, d.size[at], pa.ListArray.from_arrays(pa.array(d.polygons.astype(np.int32)), rings))
 
 
 def dissolve_aligned(cells: Column | str, res: int, smoothen: bool = True) -> Column:

@@ -8,6 +8,7 @@ import pyarrow as pa
 from hexloom.functions import geo as X
 from hexloom.kernel import cells as C
 from hexloom.kernel import grid as G
+from hexloom.kernel import shapes as S
 from hexloom.plans import inner
 
 SF = "/root/testdata/sf0.001"
@@ -66,3 +67,16 @@ def test_lines_of_a_batch():
     assert got[-3:] == [None, None, None]
     for k in range(0, 1500, 50):
         assert got[k] == C.line(np.stack([x[2 * k : 2 * k + 2], y[2 * k : 2 * k + 2]], axis=1), 4).tolist()
+
+
+def test_dissolved_groups_of_a_batch():
+    h = cells(1500)
+    o, near, k = G.disk_distances(h, 1)
+    size = np.bincount(o[k == 1], minlength=len(h))
+    rings = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(near[k == 1]))
+    assert calls(X._dissolve, rings, False) < 20_000
+    got = X._dissolve(pa.concat_arrays([rings, pa.array([None, []], rings.type)]), False).to_pylist()
+    assert got[-2:] == [None, []]
+    for k in range(0, 1500, 100):
+        alone = S.dissolve(np.array(rings[k].as_py()))
+        assert got[k] == [[[{"x": x, "y": y} for x, y in ring] for ring in p] for p in alone]
