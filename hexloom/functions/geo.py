@@ -595,9 +595,8 @@ def vertexes(c: Column | str) -> Column:
 def _vertexes(c):
     h, good = _cells(c)
     at = np.flatnonzero(good)
-    rings = V.rings(h[at])
-    xy = np.concatenate(rings) if rings else np.zeros((0, 2))
-    return _lists(len(h), at, np.array([len(r) for r in rings], np.int64), _points(xy))
+    n, rings = V.ring_arrays(h[at])
+    return _lists(len(h), at, n, _points(rings[np.arange(6) < n[:, None]]))
 
 
 def vertex_ids(c: Column | str) -> Column:
@@ -608,8 +607,8 @@ def vertex_ids(c: Column | str) -> Column:
 def _vertex_ids(c):
     h, good = _cells(c)
     at = np.flatnonzero(good)
-    ids = V.of_cells(h[at]) if len(at) else []
-    return _lists(len(h), at, np.array([len(v) for v in ids], np.int64), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64)))
+    n, ids = V.id_arrays(h[at])
+    return _lists(len(h), at, n, pa.array(ids[ids != 0]))
 
 
 def vertex_to_lonlat(v: Column | str) -> Column:

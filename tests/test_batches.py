@@ -80,3 +80,15 @@ def test_dissolved_groups_of_a_batch():
     for k in range(0, 1500, 100):
         alone = S.dissolve(np.array(rings[k].as_py()))
         assert got[k] == [[[{"x": x, "y": y} for x, y in ring] for ring in p] for p in alone]
+
+
+def test_vertexes_of_a_batch():
+    h = np.concatenate([cells(1500), G.pack(G.PENTAGONS, np.zeros((5, 12), np.int64), 5)])
+    ids = X._vertex_ids(pa.array(h))
+    assert calls(X._vertex_ids, pa.array(h)) < 20_000 and ids.value_lengths().to_pylist()[-12:] == [5] * 12
+    v = ids.flatten()
+    assert calls(X._vertex_to_lonlat, v) < 20_000 and calls(X._valid_vertex, v) < 20_000
+    assert X._valid_vertex(pa.concat_arrays([v, pa.array([0, None, int(h[0])], pa.int64())])).to_pylist() == [True] * len(v) + [False, None, False]
+    ring = X._vertexes(pa.array(h)).flatten()
+    far = [np.abs(X._vertex_to_lonlat(v).field(k).to_numpy() - ring.field(k).to_numpy()) for k in (0, 1)]
+    assert far[1].max() < 1e-9 and np.minimum(far[0], 360 - far[0]).max() < 1e-9
