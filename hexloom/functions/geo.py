@@ -94,7 +94,7 @@ def _fixed(run: Callable, n: int) -> Callable:
     return (one, two, three)[n - 1]
 
 
-_ARITY = dict(from_lonlat=2, from_lonlat_at=3, to_lonlat=1, boundary=1, area=1, disk=1, disk_distances=1, ring=1, distance=2, neighbors=2, edge_to=2, edge_destination=1, edge_destinations=1, edge_lengths=1, centres=1, edge_reversed=1, edge_boundary=1, edge_length=1, path=2, unbroken=1, line=1, local_ij=2, from_local_ij=2, polygon_cells=1, polygon_cells_touching=1, touches=1, geometry_cells=1, contains_point=2, inside=2, envelope=1, dissolve=1, smooth=1, aligned=1, covered=1, vertexes=1, vertex_ids=1, vertex_to_lonlat=1, valid_vertex=1, max_polygon_cells=1, faces=1)
+_ARITY = dict(from_lonlat=2, from_lonlat_at=3, to_lonlat=1, boundary=1, area=1, disk=1, disk_distances=1, ring=1, distance=2, neighbors=2, edge_to=2, edge_destination=1, edge_destinations=1, edge_lengths=1, centres=1, edge_reversed=1, edge_boundary=1, edge_length=1, path=2, unbroken=1, line=1, local_ij=2, from_local_ij=2, polygon_cells=1, polygon_cells_touching=1, polygon_cells_around=1, touches=1, geometry_cells=1, contains_point=2, inside=2, envelope=1, dissolve=1, smooth=1, aligned=1, covered=1, vertexes=1, vertex_ids=1, vertex_to_lonlat=1, valid_vertex=1, max_polygon_cells=1, faces=1)
 
 
 def from_lonlat(lon: Column | str, lat: Column | str, res: int) -> Column:
@@ -444,9 +444,9 @@ def _flat(p: pa.Array) -> tuple[np.ndarray, P.Polygons]:
     return rows, P.Polygons.of_rings(np.repeat(np.arange(len(rows)), size), inner[ring].astype(np.int64), inner[ring + 1].astype(np.int64), x, y, len(rows))
 
 
-def _polygon_cells(p, res, touching=False):
+def _polygon_cells(p, res, touching=False, around=False):
     rows, polygons = _flat(p)
-    n, cells = P.cells_of(polygons, res, touching)
+    n, cells = P.cells_of(polygons, res, touching, around)
     return _lists(len(p), rows, n, pa.array(cells))
 
 
@@ -459,6 +459,15 @@ def _polygon_cells_touching(p, res):
     return _polygon_cells(p, res, True)
 
 
+def polygon_cells_around(polygon: Column | str, res: int) -> Column:
+    """Cells that share a point with a polygon, and their neighbours."""
+    return _udf("polygon_cells_around", "array<bigint>", res)(col(polygon))
+
+
+def _polygon_cells_around(p, res):
+    return _polygon_cells(p, res, True, True)
+
+
 def geometry_cells(g: Column | str, res: int, touching: bool = False, form: str = "geojson") -> Column:
     """Distinct cells of a geometry of any kind (Point to GeometryCollection), from GeoJSON text or, with ``form`` "wkb",
     well-known binary; null for what is no geometry. Collections are the union of their parts."""

@@ -173,9 +173,9 @@ def _touching(p: Polygons, keys: _Keys, edge: np.ndarray) -> np.ndarray:
     return edge[hit]
 
 
-def cells_of(p: Polygons, res: int, touching: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def cells_of(p: Polygons, res: int, touching: bool = False, around: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Cells whose centres are inside (or with ``touching`` that share a point with) each polygon, sorted: the number of
-    cells of each polygon, and all of them."""
+    cells of each polygon, and all of them. ``around``: and their neighbours."""
     keys, n = _Keys(res), len(p.some)
     counts, out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for a in range(0, n, keys.most):
@@ -184,6 +184,8 @@ def cells_of(p: Polygons, res: int, touching: bool = False) -> tuple[np.ndarray,
         found = _flooded(part, keys, edge)
         if touching:
             found = np.union1d(found, _touching(part, keys, edge))
+        if around:
+            found = _with_neighbors(found, keys)
         polygon, cell = keys.split(found)
         counts.append(np.bincount(polygon, minlength=len(part.some)))
         out.append(cell)

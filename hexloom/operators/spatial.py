@@ -84,12 +84,17 @@ def region_join(cells: DataFrame, c: str, regions: DataFrame, polygon: str, coar
     repeat, and regions that are equal, are all kept.
 
     A region is covered by cells of ``coarse``, and by their neighbours, as descendants reach over their ancestor's
-    sides; a row meets it on its one ancestor there, in an equi-join, so nothing meets twice. The exact test runs only
-    on what met. No side is sent whole to all tasks.
+    sides; a distinct cell meets it on its one ancestor there, in an equi-join, so nothing meets twice, however often a cell
+    repeats. Only ids are dealt out until it is known that a region has cells near it; the exact test runs only on what met,
+    and rows then take their cell's regions. No side is sent whole to all tasks: as files are small beside their rows,
+    Spark's estimates are no ground for that.
     """
-    numbered = written(regions.withColumn("_k", F.monotonically_increasing_id()), "regions")
-    cover = numbered.select("_k", F.explode(X.polygon_cells_touching(polygon, coarse)).alias("_c")).distinct()
-    cover = cover.select("_k", F.explode(X.grid_disk("_c", 1)).alias("_r")).distinct()
-    own = cells.withColumn("_r", B.parent(c, coarse)).withColumn("_p", X.to_lonlat(c))
-    met = own.join(cover.join(numbered, "_k").drop("_k"), "_r")
-    return met.filter(X.inside("_p", polygon)).drop("_r", "_p")
+    tasks = cells.sparkSession.sparkContext.defaultParallelism * 4
+    numbered = written(regions.repartition(tasks).withColumn("_k", F.monotonically_increasing_id()), "regions")
+    shape = numbered.select("_k", F.col(polygon).alias("_s"))
+    cover = shape.select("_k", F.explode(X.polygon_cells_around("_s", coarse)).alias("_r"))
+    own = cells.select(F.col(c).alias("_h")).distinct().withColumn("_r", B.parent("_h", coarse))
+    near = cover.join(own.select("_r").distinct().hint("merge"), "_r", "left_semi").join(shape.hint("merge"), "_k")
+    met = near.join(own.withColumn("_p", X.to_lonlat("_h")).hint("merge"), "_r").filter(X.inside("_p", "_s"))
+    found = met.select("_h", "_k").join(numbered.hint("merge"), "_k").drop("_k")
+    return cells.withColumn("_h", F.col(c)).join(found.hint("merge"), "_h").drop("_h")

@@ -92,3 +92,16 @@ def test_vertexes_of_a_batch():
     ring = X._vertexes(pa.array(h)).flatten()
     far = [np.abs(X._vertex_to_lonlat(v).field(k).to_numpy() - ring.field(k).to_numpy()) for k in (0, 1)]
     assert far[1].max() < 1e-9 and np.minimum(far[0], 360 - far[0]).max() < 1e-9
+
+
+def test_region_join_sends_no_side_to_all_tasks(spark):
+    """Whatever Spark's estimates are: small files may hold very many rows."""
+    plan = inner.region_join(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_cells_around_polygons():
+    ring = [{"x": x, "y": y} for x, y in ((0.0, 0.0), (3.0, 0.0), (3.0, 2.0), (0.0, 2.0))]
+    p = pa.array([[ring], None], pa.list_(pa.list_(X._POINT)))
+    near = G.disk_distances(np.array(X._polygon_cells_touching(p, 3).to_pylist()[0]), 1)[1]
+    assert X._polygon_cells_around(p, 3).to_pylist() == [np.unique(near).tolist(), None]
