@@ -1,5 +1,6 @@
 """Arrow functions work on whole batches: what Python calls doesn't grow with the rows."""
 
+import json
 import sys
 
 import numpy as np
@@ -105,3 +106,16 @@ def test_cells_around_polygons():
     p = pa.array([[ring], None], pa.list_(pa.list_(X._POINT)))
     near = G.disk_distances(np.array(X._polygon_cells_touching(p, 3).to_pylist()[0]), 1)[1]
     assert X._polygon_cells_around(p, 3).to_pylist() == [np.unique(near).tolist(), None]
+
+
+def test_geometries_of_a_batch():
+    lon, lat = G.to_lonlat(cells(1200))
+    x, y = lon * 0.9, lat * 0.9
+    texts = []
+    for k, (a, b) in enumerate(zip(x.tolist(), y.tolist(), strict=True)):
+        point, line = {"type": "Point", "coordinates": [a, b]}, {"type": "LineString", "coordinates": [[a, b], [a + 0.5, b]]}
+        texts.append(json.dumps((point, line, {"type": "GeometryCollection", "geometries": [point, line]})[k % 3]))
+    assert calls(X._geometry_cells, pa.array(texts), 4, False, "geojson") < 100 * len(texts)
+    got = X._geometry_cells(pa.array([*texts, None, "{}"]), 4, False, "geojson").to_pylist()
+    assert got[-2:] == [None, None] and got[0] == G.from_lonlat(x[:1], y[:1], 4).tolist()
+    assert all(got[k] == sorted(set(C.line(np.array([(x[k], y[k]), (x[k] + 0.5, y[k])]), 4).tolist())) for k in range(2, 200, 3))
