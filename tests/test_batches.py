@@ -119,3 +119,15 @@ def test_geometries_of_a_batch():
     got = X._geometry_cells(pa.array([*texts, None, "{}"]), 4, False, "geojson").to_pylist()
     assert got[-2:] == [None, None] and got[0] == G.from_lonlat(x[:1], y[:1], 4).tolist()
     assert all(got[k] == sorted(set(C.line(np.array([(x[k], y[k]), (x[k] + 0.5, y[k])]), 4).tolist())) for k in range(2, 200, 3))
+
+
+def edges():
+    return np.concatenate([(cells(500) & ~np.int64(127 << 56)) | np.int64(2 << 59) | np.int64(way << 56) for way in range(1, 7)])
+
+
+def test_edge_lengths_of_a_batch():
+    e = edges()
+    assert calls(X._edge_length, pa.array(e)) < 10_000
+    got = X._edge_length(pa.concat_arrays([pa.array(e), pa.array([None, 55], pa.int64())])).to_pylist()
+    assert got[-2:] == [None, None]
+    assert all(abs(got[k] - C.edge_lengths_rads(C.edge_reversed(e[k : k + 1]))[0]) < 1e-12 for k in range(0, len(e), 300))
