@@ -318,9 +318,8 @@ def edge_boundary(e: Column | str) -> Column:
 def _edge_boundary(e):
     h, good = _cells(e, C.is_valid_edge)
     at = np.flatnonzero(good)
-    lines = C.edge_boundary(h[at])
-    xy = np.concatenate(lines) if lines else np.zeros((0, 2))
-    return _lists(len(h), at, np.array([len(p) for p in lines], np.int64), _points(xy))
+    n, xy = C.edge_boundaries(h[at])
+    return _lists(len(h), at, n, _points(xy))
 
 
 def edge_length_rads(e: Column | str) -> Column:

@@ -131,3 +131,10 @@ def test_edge_lengths_of_a_batch():
     got = X._edge_length(pa.concat_arrays([pa.array(e), pa.array([None, 55], pa.int64())])).to_pylist()
     assert got[-2:] == [None, None]
     assert all(abs(got[k] - C.edge_lengths_rads(C.edge_reversed(e[k : k + 1]))[0]) < 1e-12 for k in range(0, len(e), 300))
+
+
+def test_edge_boundaries_of_a_batch():
+    e = edges()
+    assert calls(X._edge_boundary, pa.array(e)) < 10_000
+    there, back = (X._edge_boundary(pa.array(v)).to_pylist() for v in (e, C.edge_reversed(e)))
+    assert all(len(p) >= 2 and abs(p[0]["y"] - q[-1]["y"]) < 1e-9 and abs(p[-1]["y"] - q[0]["y"]) < 1e-9 for p, q in zip(there, back, strict=True))
