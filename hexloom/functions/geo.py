@@ -189,10 +189,9 @@ def grid_disk_distances(c: Column | str, k_min: int, k_max: int) -> Column:
 def _disk_distances(c, k_min, k_max):
     h, good = _cells(c)
     at = np.flatnonzero(good)
-    o, cells, d = G.disk_distances(h[at], k_max)
-    keep = d >= k_min
-    pairs = pa.StructArray.from_arrays([pa.array(d[keep].astype(np.int32)), pa.array(cells[keep])], names=["k", "cell"])
-    return _lists(len(h), at, np.bincount(o[keep], minlength=len(at)), pairs)
+    o, cells, d = G.disk_distances(h[at], k_max, k_min)
+    pairs = pa.StructArray.from_arrays([pa.array(d.astype(np.int32)), pa.array(cells)], names=["k", "cell"])
+    return _lists(len(h), at, np.bincount(o, minlength=len(at)), pairs)
 
 
 def grid_ring(c: Column | str, k: int, strict: bool = False) -> Column:
@@ -203,8 +202,7 @@ def grid_ring(c: Column | str, k: int, strict: bool = False) -> Column:
 def _ring(c, k, strict):
     h, good = _cells(c)
     at = np.flatnonzero(good)
-    o, cells, d = G.disk_distances(h[at], k)
-    o, cells = o[d == k], cells[d == k]
+    o, cells, _ = G.disk_distances(h[at], k, k)
     n = np.bincount(o, minlength=len(at))
     if strict and k:
         fine = n == 6 * k

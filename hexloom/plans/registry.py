@@ -360,7 +360,7 @@ def envelope_intersects(spark, sf):
 
 
 def _customer_cells(spark, sf, r: int):
-    return I.customer_points(spark, sf).withColumn("cell", X.from_lonlat("lon", "lat", r))
+    return I.dealt(I.customer_points(spark, sf), "c_custkey").withColumn("cell", X.from_lonlat("lon", "lat", r))
 
 
 @query("cell_from_lonlat")

@@ -10,7 +10,7 @@ from hexloom.functions import geo as X
 from hexloom.kernel import cells as C
 from hexloom.kernel import grid as G
 from hexloom.kernel import shapes as S
-from hexloom.plans import inner
+from hexloom.plans import inner, registry
 
 SF = "/root/testdata/sf0.001"
 
@@ -138,3 +138,19 @@ def test_edge_boundaries_of_a_batch():
     assert calls(X._edge_boundary, pa.array(e)) < 10_000
     there, back = (X._edge_boundary(pa.array(v)).to_pylist() for v in (e, C.edge_reversed(e)))
     assert all(len(p) >= 2 and abs(p[0]["y"] - q[-1]["y"]) < 1e-9 and abs(p[-1]["y"] - q[0]["y"]) < 1e-9 for p, q in zip(there, back, strict=True))
+
+
+def test_disks_on_a_face_are_not_searched(monkeypatch):
+    h, asked = cells(2000, 13), []
+    neighbors = G.neighbors
+    monkeypatch.setattr(G, "neighbors", lambda c: asked.append(len(c)) or neighbors(c))
+    o, c, k = G.disk_distances(h, 3)
+    assert sum(asked) < len(h) and (np.bincount(o) == 37).all() and np.array_equal(h, c[k == 0])
+    ring = G.disk_distances(h, 3, 3)
+    assert np.array_equal(ring[1], c[k == 3]) and np.array_equal(ring[0], o[k == 3])
+    five = cells(300, 2)
+    assert all(np.array_equal(*v) for v in zip(G.disk_distances(five, 3), G._searched(five, 3), strict=True))
+
+
+def test_disk_sizes_are_dealt_out(spark):
+    assert registry.grid_disk_sizes(spark, SF).rdd.getNumPartitions() > 1
