@@ -414,7 +414,7 @@ def graph_covered_area(spark, sf):
 @query("polyfill_estimate", "SELECT c_custkey, TRUE AS enough FROM customer")
 def polyfill_estimate(spark, sf):
     """No polygon has more cells than estimated."""
-    p = I.customer_points(spark, sf).withColumn("polygon", _square(0.5))
+    p = I.dealt(I.customer_points(spark, sf), "c_custkey").withColumn("polygon", _square(0.5))
     return p.select("c_custkey", (F.size(X.polygon_cells("polygon", 5)) <= X.max_polygon_cells("polygon", 5)).alias("enough"))
 
 

@@ -154,3 +154,7 @@ def test_disks_on_a_face_are_not_searched(monkeypatch):
 
 def test_disk_sizes_are_dealt_out(spark):
     assert registry.grid_disk_sizes(spark, SF).rdd.getNumPartitions() > 1
+
+
+def test_polygon_estimates_are_dealt_out(spark):
+    assert registry.polyfill_estimate(spark, SF).rdd.getNumPartitions() > 1
