@@ -113,6 +113,22 @@ class _Keys:
         return key >> self.bits, ((key & ((np.int64(1) << self.bits) - 1)) << self.shift) | self.tail
 
 
+#: Cells, of a rough estimate, that polygons looked at together have.
+SLICE_CELLS = 1 << 16
+
+
+def _weights(p: Polygons, res: int) -> np.ndarray:
+    """About how many cells each polygon's envelope and rings have."""
+    wide = np.degrees(C.EDGE_KM[res] / G.EARTH_KM)
+    out = np.ones(len(p.some))
+    if p.some.any():
+        start = p.start[:-1][p.some]
+        x, y = (np.maximum.reduceat(v, start) - np.minimum.reduceat(v, start) for v in (p.x0, p.y0))
+        rings = np.add.reduceat(np.hypot(p.x1 - p.x0, p.y1 - p.y0), start)
+        out[p.some] += x * y / (2.6 * wide**2) + 4 * rings / wide + np.diff(p.start)[p.some]
+    return out
+
+
 def _traced(p: Polygons, res: int, keys: _Keys) -> np.ndarray:
     """Pairs of the cells that the rings pass, and of their neighbours."""
     step = max(np.degrees(C.EDGE_KM[res] / G.EARTH_KM) * 0.5, 1e-9)
@@ -162,14 +178,13 @@ def _touching(p: Polygons, keys: _Keys, edge: np.ndarray) -> np.ndarray:
     """Of the pairs along the rings, those whose cell shares a point with the polygon."""
     polygon, cell = keys.split(edge)
     uniq, which = np.unique(cell, return_inverse=True)
-    rings = [r for r in G.boundary(uniq)] if len(uniq) else []
-    rings = [rings[k] for k in which]
-    size = np.array([len(r) for r in rings], np.int64)
-    xy = np.concatenate(rings) if rings else np.zeros((0, 2))
+    n, rings = G.boundaries(uniq)
+    size = n[which]
+    xy = rings[which][np.arange(12) < size[:, None]]
     end = np.cumsum(size)
-    own = Polygons.of_rings(np.arange(len(rings)), end - size, end, xy[:, 0], xy[:, 1], len(rings))
+    own = Polygons.of_rings(np.arange(len(size)), end - size, end, xy[:, 0], xy[:, 1], len(size))
     hit = crossed(own, polygon, p) | inside(own.px, own.py, polygon, p)
-    hit |= inside(p.px[polygon], p.py[polygon], np.arange(len(rings)), own)
+    hit |= inside(p.px[polygon], p.py[polygon], np.arange(len(size)), own)
     return edge[hit]
 
 
@@ -178,8 +193,12 @@ def cells_of(p: Polygons, res: int, touching: bool = False, around: bool = False
     cells of each polygon, and all of them. ``around``: and their neighbours."""
     keys, n = _Keys(res), len(p.some)
     counts, out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for a in range(0, n, keys.most):
-        part = p.slice(a, min(n, a + keys.most))
+    total = np.cumsum(_weights(p, res))
+    a = 0
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + SLICE_CELLS, "right")))
+        b = min(b, a + keys.most)
+        part, a = p.slice(a, b), b
         edge = _traced(part, res, keys)
         found = _flooded(part, keys, edge)
         if touching:

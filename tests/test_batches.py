@@ -2,6 +2,7 @@
 
 import json
 import sys
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -9,6 +10,7 @@ import pyarrow as pa
 from hexloom.functions import geo as X
 from hexloom.kernel import cells as C
 from hexloom.kernel import grid as G
+from hexloom.kernel import polygons as P
 from hexloom.kernel import shapes as S
 from hexloom.plans import inner, registry
 
@@ -158,3 +160,20 @@ def test_disk_sizes_are_dealt_out(spark):
 
 def test_polygon_estimates_are_dealt_out(spark):
     assert registry.polyfill_estimate(spark, SF).rdd.getNumPartitions() > 1
+
+
+def test_memory_of_polygons_follows_slices_not_batches():
+    ring = np.array([(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)])
+
+    def peak(n):
+        lon, lat = G.to_lonlat(cells(n))
+        xy = (np.stack([lon, lat], axis=1)[:, None] * 0.9 + ring).reshape(-1, 2)
+        end = np.arange(4, 4 * n + 1, 4)
+        p = P.Polygons.of_rings(np.arange(n), end - 4, end, xy[:, 0], xy[:, 1], n)
+        tracemalloc.start()
+        P.cells_of(p, 3, touching=True)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(6000) < 1.7 * peak(2000)
